@@ -6,8 +6,8 @@ from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import ntz, shift
@@ -17,8 +17,8 @@ from ..sources.snapshots import Model
 from .customers import upsert_customers
 from .seating import active_holds
 
-# Undecided requests of one showtime that one task may settle in memory.
-GROUP_LIMIT = 50_000
+# Requests of one showtime that one task may work through in sequence.
+GROUP_LIMIT = 200_000
 
 
 def explode_requests(requests: DataFrame) -> DataFrame:
@@ -38,22 +38,58 @@ def explode_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def _settle_showtime(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequential rule over rows that arrive by showtime and, within it, in order of turn.
+VERDICT = "request_id long, accepted boolean, rejected_seat long"
 
-    Only the seats given away in the current showtime are kept between rows.
+
+def _serve_in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sequential rule, over rows that come by showtime and in order of turn.
+
+    Turn 1 opens a showtime. A row without request id lists seats that are gone before. Only
+    the seats given away in the current showtime are remembered, so memory does not grow with
+    the number of requests.
     """
-    showtime, taken = None, set()
+    gone = set()
     for batch in batches:
-        won = []
-        for show, seats in zip(batch["showtime_id"], batch["seat_ids"]):
-            if show != showtime:
-                showtime, taken = show, set()
-            wanted = seats.tolist()
-            won.append(taken.isdisjoint(wanted))
-            if won[-1]:
-                taken.update(wanted)
-        yield batch[won]
+        rows = batch.to_pydict()
+        verdicts = {"request_id": [], "accepted": [], "rejected_seat": []}
+        for turn, request, seats in zip(rows["turn"], rows["request_id"], rows["seat_ids"]):
+            if turn == 1:
+                gone = set()
+            rejected, chosen = None, set()
+            for seat in seats:
+                if seat is None:
+                    continue
+                if request is not None and (seat in gone or seat in chosen):
+                    rejected = seat
+                    break
+                chosen.add(seat)
+            if rejected is None:
+                gone |= chosen
+            if request is not None:
+                verdicts["request_id"].append(request)
+                verdicts["accepted"].append(rejected is None)
+                verdicts["rejected_seat"].append(rejected)
+        kinds = [pa.int64(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, kind) for v, kind in zip(verdicts.values(), kinds)], names=list(verdicts)
+        )
+
+
+def _decide_in_turn(contest: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """Verdicts by one shuffle: each showtime in one task, in order of turn.
+
+    The window makes Spark guarantee both. A plain ``repartition`` would not do: it is dropped
+    over a join on the same key, and AQE may then split a showtime over tasks.
+    """
+    queue = contest
+    if taken is not None:
+        queue = queue.unionByName(
+            taken.select("showtime_id", F.col("taken").alias("seat_ids")), allowMissingColumns=True
+        )
+    in_turn = Window.partitionBy("showtime_id").orderBy("requested_at", "request_id")
+    return queue.select(
+        F.row_number().over(in_turn).alias("turn"), "request_id", "seat_ids"
+    ).mapInArrow(_serve_in_turn, VERDICT)
 
 
 def _first_come_round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,27 +122,63 @@ def _first_come_round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
     return winners, rest
 
 
-def _winners(contest: DataFrame, group_limit: int) -> DataFrame:
-    """The accepted requests among those with distinct, uncommitted seats.
+def _largest_showtime(requests: DataFrame) -> int:
+    sizes = requests.groupBy("showtime_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _decide_by_rounds(contest: DataFrame, taken: DataFrame | None, group_limit: int) -> DataFrame:
+    """Verdicts for showtimes with too many requests for one task.
 
-    While some showtime has more undecided requests than one task should work through, rounds
-    decide requests by aggregation alone. Every round gives seats away in each open showtime,
-    so there are at most as many rounds as an auditorium has seats and usually a handful.
-    What is then left is small per showtime and is settled in sequence.
+    Rounds decide winners by aggregation alone until what is undecided is small per showtime.
+    Every round gives seats away in each open showtime, so there are at most as many rounds as
+    an auditorium has seats, and usually a handful. Then every request is judged against the
+    seats given away in its showtime, an array that cannot outgrow the auditorium; AQE may
+    split a showtime with very many requests in that join.
     """
-    decided, undecided = [], contest
-    while True:
-        sizes = undecided.groupBy("showtime_id").agg(F.count(F.lit(1)).alias("n"))
-        if (sizes.agg(F.max("n")).first()[0] or 0) <= group_limit:
-            break
+    ensure_checkpoint_dir(contest.sparkSession)
+    queue = contest
+    if taken is not None:
+        queue = queue.join(taken, "showtime_id", "left")
+    else:
+        queue = queue.withColumn("taken", F.lit(None).cast("array<bigint>"))
+    real = F.filter("seat_ids", lambda s: s.isNotNull())
+    undecided = (
+        queue.filter(F.col("taken").isNull() | ~F.coalesce(F.arrays_overlap("seat_ids", "taken"), F.lit(False)))
+        .filter(F.size(real) == F.size(F.array_distinct(real)))
+        .select("request_id", "requested_at", "showtime_id", real.alias("seat_ids"))
+        .checkpoint()
+    )
+    rounds = []
+    while _largest_showtime(undecided) > group_limit:
         winners, undecided = _first_come_round(undecided)
-        decided.append(winners)
-    settled = (
-        undecided.repartition("showtime_id")
-        .sortWithinPartitions("showtime_id", "requested_at", "request_id")
-        .mapInPandas(_settle_showtime, undecided.schema)
+        rounds.append(winners)
+    settled = _decide_in_turn(undecided, None).filter("accepted").select("request_id")
+    winners = reduce(DataFrame.unionByName, rounds, undecided.join(settled, "request_id", "left_semi"))
+
+    turn = F.struct("requested_at", "request_id")
+    given = (
+        winners.select("showtime_id", F.explode("seat_ids").alias("seat_id"), turn.alias("since"))
+        .groupBy("showtime_id")
+        .agg(F.array_sort(F.collect_list(F.struct("seat_id", "since"))).alias("given"))
+        .select("showtime_id", F.col("given.seat_id").alias("given"), F.col("given.since"))
+    )
+
+    def unavailable(seat, position):
+        # the turn that got this seat, null while nobody has
+        holder = F.get("since", (F.array_position("given", seat) - 1).cast("int"))
+        return (
+            (F.array_position("seat_ids", seat) <= position)
+            | F.coalesce(holder < turn, F.lit(False))
+            | F.coalesce(F.array_contains("taken", seat), F.lit(False))
+        )
+
+    conflicts = F.filter("seat_ids", unavailable)
+    return queue.join(given, "showtime_id", "left").select(
+        "request_id",
+        (F.size(conflicts) == 0).alias("accepted"),
+        F.get(conflicts, 0).alias("rejected_seat"),
     )
-    return reduce(DataFrame.unionByName, decided, settled)
 
 
 def admit_bookings(
@@ -119,56 +191,33 @@ def admit_bookings(
     the slots committed before. ``rejected_seat`` is the first seat, in the order of the
     request, that was unavailable when its turn came.
 
-    Slots per showtime travel as one array, which cannot outgrow the auditorium, so requests
-    only ever join one row per showtime and AQE may split a showtime with very many of them.
+    Showtimes are independent, so most are decided in one task each. Those with more than
+    ``group_limit`` requests are decided by rounds of distributed aggregation instead, with
+    the same result.
     """
-    spark = requests.sparkSession
-    ensure_checkpoint_dir(spark)
     ids = F.transform("seats", lambda s: s["id"])
     slim = requests.select("request_id", "requested_at", "showtime_id", ids.alias("seat_ids"))
-    blocked = F.lit(False)
+    # null never equals null, so without showtime or seats there is nothing to compete for
+    real = F.filter("seat_ids", lambda s: s.isNotNull())
+    competes = F.coalesce(F.col("showtime_id").isNotNull() & (F.size(real) > 0), F.lit(False))
+    alone = slim.filter(~competes).select(
+        "request_id",
+        F.col("seat_ids").isNotNull().alias("accepted"),
+        F.lit(None).cast("bigint").alias("rejected_seat"),
+    )
+    contest = slim.filter(competes)
     taken = None
     if holds is not None:
         slots = holds.select("showtime_id", "seat_id").dropna()
         taken = slots.groupBy("showtime_id").agg(F.collect_set("seat_id").alias("taken"))
-        slim = slim.join(taken, "showtime_id", "left")
-        blocked = F.coalesce(F.arrays_overlap("seat_ids", "taken"), F.lit(False))
-    slim = slim.select(
-        "request_id", "requested_at", "showtime_id", "seat_ids", blocked.alias("blocked")
-    ).checkpoint()
-
-    # A null seat or showtime competes with nobody, as null is never equal to null.
-    real = F.filter("seat_ids", lambda s: s.isNotNull())
-    distinct = F.size(real) == F.size(F.array_distinct(real))
-    contest = slim.filter(
-        ~F.col("blocked") & F.col("showtime_id").isNotNull() & (F.size(real) > 0) & distinct
-    ).select("request_id", "requested_at", "showtime_id", real.alias("seat_ids"))
 
-    turn = F.struct("requested_at", "request_id")
-    served = (
-        _winners(contest, group_limit)
-        .select("showtime_id", turn.alias("since"), F.explode("seat_ids").alias("seat_id"))
-        .groupBy("showtime_id")
-        .agg(F.collect_list(F.struct("seat_id", "since")).alias("served"))
-    )
-    judged = slim.join(served, "showtime_id", "left")
-    if taken is not None:
-        judged = judged.join(taken, "showtime_id", "left")
-
-    def unavailable(seat, position):
-        earlier = F.exists(
-            "served", lambda o: (o["seat_id"] == seat) & (o["since"] < turn)
-        )
-        reasons = (F.array_position("seat_ids", seat) <= position) | F.coalesce(earlier, F.lit(False))
-        if taken is not None:
-            reasons = reasons | F.coalesce(F.array_contains("taken", seat), F.lit(False))
-        return F.col("showtime_id").isNotNull() & seat.isNotNull() & reasons
-
-    conflicts = F.filter("seat_ids", unavailable)
-    return judged.select(
-        "request_id",
-        F.coalesce(F.size(conflicts) == 0, F.lit(False)).alias("accepted"),
-        F.get(conflicts, 0).alias("rejected_seat"),
+    sizes = contest.groupBy("showtime_id").agg(F.count(F.lit(1)).alias("n"))
+    if _largest_showtime(contest) <= group_limit:
+        return alone.unionByName(_decide_in_turn(contest, taken))
+    hot = sizes.filter(F.col("n") > group_limit).select("showtime_id")
+    return (
+        alone.unionByName(_decide_in_turn(contest.join(hot, "showtime_id", "left_anti"), taken))
+        .unionByName(_decide_by_rounds(contest.join(hot, "showtime_id", "left_semi"), taken, group_limit))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 from ..operators.reports import mv_daily_revenue, mv_movie_performance, mv_timeslot_analysis
 from ..sinks.tables import write_full_refresh
+from ..sources.snapshots import read_fact
 
 REPORTS = {
     "mv_daily_revenue": mv_daily_revenue,
@@ -20,7 +21,7 @@ def refresh_all_reports(spark: SparkSession, fact_path: str, reports_path: str)
     The reports read the published Parquet fact, a columnar scan of the few columns each one
     needs, rather than a cached copy of all 26.
     """
-    fact = spark.read.parquet(fact_path)
+    fact = read_fact(spark, fact_path)
     written = {}
     for name, report in REPORTS.items():
         target = f"{reports_path.rstrip('/')}/{name}"

@@ -72,7 +72,8 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> D
         )
     else:
         kept = keyed.distinct()
-    fresh = kept.join(existing.select(*keys), list(keys), "left_anti").select(*incoming.columns)
+    known = existing.select(*keys).distinct()
+    fresh = kept.join(known, list(keys), "left_anti").select(*incoming.columns)
     has_null = F.lit(False)
     for key in keys:
         has_null = has_null | F.col(key).isNull()

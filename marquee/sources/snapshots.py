@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .schemas import OPERATIONAL
+from .schemas import FACT_BOOKINGS, OPERATIONAL
 
 Model = dict[str, DataFrame]
 
@@ -58,3 +60,16 @@ def load_booking_model(spark: SparkSession, source: str | JdbcSource) -> Model:
         name: spark.read.schema(schema).parquet(f"{root}/{name}")
         for name, schema in OPERATIONAL.items()
     }
+
+
+def read_fact(spark: SparkSession, path: str, since: date | None = None) -> DataFrame:
+    """Published fact, optionally only the months from ``since`` on.
+
+    The month filter prunes whole partitions; the day filter of a report then only has to skip
+    row groups inside them.
+    """
+    fact = spark.read.schema(FACT_BOOKINGS).parquet(path)
+    if since is None:
+        return fact
+    year, month = F.col("year"), F.col("month_num")
+    return fact.filter((year > since.year) | ((year == since.year) & (month >= since.month)))

@@ -29,9 +29,9 @@ def refresh_touched_months(spark: SparkSession, landing: str, fact_path: str, ch
     the calendar, comes to the driver; it becomes a date filter on the payment scan.
     """
     m = load_booking_model(spark, landing)
-    reserved = changed.select("reservation_id").dropna()
+    reserved = changed.select("reservation_id").dropna().distinct()
     via_tickets = m["tickets"].join(reserved, "reservation_id", "left_semi").select("payment_id")
-    ids = changed.select("payment_id").dropna().unionByName(via_tickets)
+    ids = changed.select("payment_id").dropna().unionByName(via_tickets).distinct()
     paid = m["payments"].filter(F.col("payment_date").isNotNull())
     touched = paid.join(ids, F.col("id") == F.col("payment_id"), "left_semi")
     month = F.to_date(F.date_trunc("month", "payment_date"))

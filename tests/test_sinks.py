@@ -10,7 +10,7 @@ from cinema import BASE, hold, money
 from conftest import rows
 from pyspark.sql import functions as F
 
-from marquee.operators.reports import mv_daily_revenue
+from marquee.operators.reports import daily_revenue, mv_daily_revenue
 from marquee.plans.dimensions import DIM_TIME_COLUMNS, calendar_bounds, dim_movies, dim_time
 from marquee.plans.refresh import refresh_all_reports
 from marquee.sinks.json_rows import to_json_rows
@@ -25,7 +25,7 @@ from marquee.sinks.tables import (
 from marquee.sources.request_log import as_samples, read_request_log
 from marquee.sources.schemas import DIM_TIME, HOLD_DEFAULTS, OPERATIONAL
 from marquee.sources.seed_rows import seed_fact_rows
-from marquee.sources.snapshots import JdbcSource, load_booking_model
+from marquee.sources.snapshots import JdbcSource, load_booking_model, read_fact
 
 AS_OF = date(2025, 11, 18)
 
@@ -41,6 +41,18 @@ def test_full_refresh_replaces_and_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan
 
 
+def test_published_fact_is_read_by_month(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    october = seed_fact_rows(spark, AS_OF).withColumn("month_num", F.lit(10)).withColumn("id", -F.col("id"))
+    write_full_refresh(seed_fact_rows(spark, AS_OF).unionByName(october), path)
+    recent = read_fact(spark, path, AS_OF)
+    assert recent.columns[:3] == ["id", "booking_date", "booking_time"] and recent.count() == 21
+    assert read_fact(spark, path).count() == 42
+    plan = daily_revenue(recent, AS_OF)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(booking_date), GreaterThanOrEqual(booking_date" in plan
+    assert "PartitionFilters: [((year" in plan
+
+
 def test_failed_refresh_keeps_the_old_table(spark, tmp_path):
     path = str(tmp_path / "fact")
     fact = seed_fact_rows(spark, AS_OF)
