@@ -529,6 +529,13 @@ SQL = {
     "json_functions": """
         SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
                '{"id":' || event_id || ',"label":"' || event_type || '"}' AS document FROM events""",
+    "json_first_showtime": """
+        SELECT movie_id AS id, arg_min(id, start_time) AS showtime_id FROM showtimes
+        WHERE CAST(start_time AS DATE) = DATE '2024-01-03' GROUP BY 1""",
+    "json_first_available": (
+        PAIRS,
+        """SELECT showtime_id, min(seat_id) FILTER (NOT taken) AS seat_id FROM pairs GROUP BY 1""",
+    ),
     "fmt_currency": f"""
         SELECT id, {_currency("amount")} AS amount_label,
                {_currency("CAST(amount * 0.3333 AS DECIMAL(18,6))")} AS third_label,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import calendar as cal
+from .functions import documents as docs
 from .functions import numeric as num
 from .operators import (
     admission,
@@ -435,6 +436,23 @@ def json_functions(t: TradeTables) -> DataFrame:
     return t.events.select("event_id", k.alias("k"), document.alias("document"))
 
 
+@_query
+def json_first_showtime(t: TradeTables) -> DataFrame:
+    """First showtime of every schedule document."""
+    entries = seating.schedule(t.booking_model(), SHOW_DATE)
+    return entries.select("id", docs.first_showtime_id("showtimes").alias("showtime_id"))
+
+
+@_query
+def json_first_available(t: TradeTables) -> DataFrame:
+    """First free seat of every showtime's seat list document; a list is one auditorium long."""
+    seat = F.struct("row_code", "number", F.col("seat_id").alias("id"), "status")
+    lists = seating.seat_map(t.booking_model()).groupBy("showtime_id").agg(
+        F.to_json(F.array_sort(F.collect_list(seat))).alias("document")
+    )
+    return lists.select("showtime_id", docs.first_available_seat("document").alias("seat_id"))
+
+
 @_query
 def fmt_currency(t: TradeTables) -> DataFrame:
     third = (F.col("amount") * F.lit("0.3333").cast("decimal(5,4)")).cast("decimal(18,6)")

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.schemas import BOOKING_REQUESTS, OPERATIONAL
 
-# Published tables; seats are reference data and not part of the feed.
+# Published tables; seats never change and are not part of the feed.
 PUBLISHED = [name for name in OPERATIONAL if name != "seats"]
 
 

@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from marquee.functions import calendar as cal
+from marquee.functions import documents as docs
 from marquee.functions import hashing
 from marquee.functions import numeric as num
 
@@ -94,6 +95,16 @@ def test_percent_rounds_halves_up(spark):
     assert spark.range(1).select(num.percent_of(F.lit(0), F.lit(0))).first()[0] is None
 
 
+def test_json_documents(spark):
+    shows = ['[{"id":7,"time":"10:00"},{"id":9,"time":"12:00"}]', "[]"]
+    assert apply(spark, shows, "string", docs.first_showtime_id) == [7, None]
+    seats = [
+        '[{"id":1,"row_code":"A","number":1,"status":"TAKEN"},{"id":2,"status":"available"}]',
+        '[{"id":1,"status":"TAKEN"}]',
+    ]
+    assert apply(spark, seats, "string", docs.first_available_seat) == [2, None]
+
+
 def test_seat_grid(spark):
     got = apply(spark, [1, 5, 6, 15, 16, 20], "int", num.seat_grid_column)
     assert got == [1, 5, 7, 16, 18, 22]
