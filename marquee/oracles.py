@@ -292,6 +292,15 @@ SQL = {
               FROM (SELECT customer_id, count(*) AS b FROM payments GROUP BY 1))""",
     "booking_lines": "SELECT * FROM booking_lines",
     "integrity_not_null": _per_column(NULL_CHECKS, "WHERE {0} IS NULL"),
+    "integrity_fact_not_null": """
+        SELECT 'fact_bookings' AS table_name, c.name AS column_name, count(*) - any_value(c.n) AS violations
+        FROM fact, (
+          SELECT unnest(['booking_date', 'booking_time', 'movie_id', 'movie_title', 'showtime_id',
+                         'showtime_start', 'auditorium_id', 'customer_id', 'total_revenue']) AS name,
+                 unnest([count(booking_date), count(booking_time), count(movie_id), count(movie_title),
+                         count(showtime_id), count(showtime_start), count(auditorium_id),
+                         count(customer_id), count(total_revenue)]) AS n FROM fact) c
+        GROUP BY c.name""",
     "integrity_text_length": _per_column(LENGTH_CHECKS, "WHERE length({0}) > {1}"),
     "integrity_unique": " UNION ALL ".join(
         f"SELECT '{table}({keys})' AS constraint_name, concat_ws('|', {keys}) AS key_value, "
@@ -455,7 +464,7 @@ SQL = {
                   false AS is_holiday FROM days""",
     ),
     "int_series": """
-        SELECT payment_id, CAST(unnest(generate_series(1, count(*))) AS INTEGER) AS ordinal
+        SELECT payment_id, unnest(generate_series(1, count(*))) AS ordinal
         FROM tickets GROUP BY payment_id""",
     "date_series": """
         SELECT date, count(*) AS customers FROM (

@@ -26,7 +26,8 @@ from .plans import dimensions, fact, reconciliation
 from .session import configure
 from .sinks.json_rows import to_json_rows
 from .sinks.tables import append_ignore_duplicates, append_with_defaults
-from .sources.generators import build_seats, build_showtimes, date_sequence, int_sequence
+from .sources.generators import build_seats, build_showtimes, date_sequence, explode_int_series
+from .sources.schemas import FACT_NOT_NULL, PAYMENT_DEFAULTS
 from .sources.trade_tables import TradeTables
 
 AS_OF = date(2001, 8, 1)
@@ -118,6 +119,11 @@ _each(
 )
 
 
+@_query
+def integrity_fact_not_null(t: TradeTables) -> DataFrame:
+    return integrity.integrity_not_null({"fact_bookings": _fact(t)}, {"fact_bookings": FACT_NOT_NULL})
+
+
 @_query
 def double_bookings(t: TradeTables) -> DataFrame:
     return integrity.double_bookings(t.reservation_holds())
@@ -295,8 +301,8 @@ def dim_time(t: TradeTables) -> DataFrame:
 @_query
 def int_series(t: TradeTables) -> DataFrame:
     """Seat ordinals 1..n of every booking."""
-    sizes = t.tickets().groupBy("payment_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return sizes.select("payment_id", F.explode(int_sequence(1, F.col("n"))).alias("ordinal"))
+    sizes = t.tickets().groupBy("payment_id").agg(F.count(F.lit(1)).alias("n"))
+    return explode_int_series(sizes, "n", "ordinal").drop("n")
 
 
 @_query
@@ -340,7 +346,7 @@ def append_ignore_duplicates_(t: TradeTables) -> DataFrame:
 def append_with_defaults_(t: TradeTables) -> DataFrame:
     """Second copies of all payments that lack date and method."""
     bare = t.payments().select((-F.col("id") - 1).alias("id"), "customer_id", "amount")
-    defaults = {"payment_method": "CREDIT_CARD", "payment_date": cal.ntz(HOLDS_AS_OF)}
+    defaults = {**PAYMENT_DEFAULTS, "payment_date": cal.ntz(HOLDS_AS_OF)}
     return append_with_defaults(t.payments(), bare, defaults)
 
 

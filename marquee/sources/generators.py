@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.calendar import at_time
 from ..functions.hashing import draw_below
 
+SERIES_BLOCK = 10_000
+
 # Seat rows and seats per row.
 ROW_CODES = list("ABCDEFGHIJ")
 SEATS_PER_ROW = 20
@@ -23,12 +25,18 @@ def int_series(spark: SparkSession, first: int, last: int, name: str = "n") -> D
     return spark.range(first, last + 1).select(F.col("id").alias(name))
 
 
-def int_sequence(first: Column | int, last: Column) -> Column:
-    """Array form of the series for use inside a row; empty when last < first."""
-    start = F.lit(first) if isinstance(first, int) else first
-    return F.when(last >= start, F.sequence(start, last)).otherwise(
-        F.array().cast("array<int>")
+def explode_int_series(df: DataFrame, last: str, name: str = "n") -> DataFrame:
+    """Numbers from 1 to the value of a column, one output row per number.
+
+    Long series unroll in blocks, so that no row ever carries a long array.
+    """
+    block = F.lit(SERIES_BLOCK).cast("bigint")
+    end = F.col(last).cast("bigint")
+    starts = df.filter(F.col(last) >= 1).withColumn(
+        "_from", F.explode(F.sequence(F.lit(1).cast("bigint"), end, block))
     )
+    numbers = F.sequence(F.col("_from"), F.least(F.col("_from") + block - 1, end))
+    return starts.withColumn(name, F.explode(numbers)).drop("_from")
 
 
 def date_series(spark: SparkSession, first: date, last: date, name: str = "date") -> DataFrame:

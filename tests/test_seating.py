@@ -7,7 +7,7 @@ from cinema import BASE, NOON, at, hold, money
 from conftest import rows
 
 from marquee.operators import seating
-from marquee.sources.generators import build_seats, build_showtimes, date_series, int_series
+from marquee.sources.generators import build_seats, build_showtimes, date_series, explode_int_series, int_series
 
 HOLDS = [
     hold(1, 10, 101, status="BOOKED"),
@@ -64,6 +64,9 @@ def test_generators(spark, make_model):
     m = make_model(**BASE)
     assert [r[0] for r in int_series(spark, 3, 5).collect()] == [3, 4, 5]
     assert date_series(spark, date(2024, 2, 28), date(2024, 3, 1)).count() == 3
+    sizes = spark.createDataFrame([("a", 3), ("b", 0), ("c", 25_001)], "k string, n int")
+    series = explode_int_series(sizes, "n", "i").groupBy("k").agg({"i": "sum", "*": "count"})
+    assert rows(series, "k", "sum(i)", "count(1)") == [("a", 6, 3), ("c", 25_001 * 25_002 // 2, 25_001)]
     seats = build_seats(m["auditoriums"])
     assert seats.count() == seats.distinct().count() == 400
     shows = build_showtimes(m["movies"], date(2025, 1, 1), m["movies"]["id"]).collect()
