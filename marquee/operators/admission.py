@@ -229,7 +229,8 @@ def _after(existing: DataFrame):
 def booking_outputs(requests: DataFrame, decisions: DataFrame, m: Model) -> dict[str, DataFrame]:
     """Rows that accepted requests add: customers, payments, confirmed holds and tickets.
 
-    New ids continue after those in use. ``request_id`` is kept for tracing.
+    New ids continue after those in use. ``request_id`` is kept for tracing. Each of the tables
+    reads ``decisions``, so pass stored or checkpointed ones.
     """
     won = requests.join(decisions.filter("accepted").select("request_id"), "request_id", "left_semi")
     people = upsert_customers(m["customers"], won)

@@ -23,7 +23,7 @@ from .operators import (
     seating,
 )
 from .plans import dimensions, fact, reconciliation
-from .session import configure
+from .session import configure, ensure_checkpoint_dir
 from .sinks.json_rows import to_json_rows
 from .sinks.tables import append_ignore_duplicates, append_with_defaults
 from .sources.generators import build_seats, build_showtimes, date_sequence, explode_int_series
@@ -234,7 +234,9 @@ def booking_outputs(t: TradeTables) -> DataFrame:
     """The rows of all accepted requests side by side; new ids are left out."""
     requests = t.booking_requests()
     m = t.booking_model()
-    made = admission.booking_outputs(requests, admission.admit_bookings(requests), m)
+    ensure_checkpoint_dir(t.spark)
+    decisions = admission.admit_bookings(requests).checkpoint()
+    made = admission.booking_outputs(requests, decisions, m)
     holds = made["reservation_holds"].withColumnRenamed("id", "reservation_id")
     tickets = made["tickets"].drop("id", "request_id")
     payments = made["payments"].withColumnRenamed("id", "payment_id").drop("customer_id", "request_id")

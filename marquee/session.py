@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,9 +18,25 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
+# Size of shuffle partitions to aim for, and shuffle partitions per core at least.
+PARTITION_BYTES = 128 * 1024 * 1024
+PARTITIONS_PER_CORE = 4
+
+
+def configure(spark: SparkSession, shuffle_bytes: int = 0) -> SparkSession:
+    """Apply the settings and let shuffles start with enough partitions.
+
+    ``shuffle_bytes`` is the expected size of the largest shuffle. AQE merges partitions that
+    turn out small, but it cannot divide those of an aggregate, so the start must be high.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    sc = spark.sparkContext
+    partitions = math.ceil(shuffle_bytes / PARTITION_BYTES)
+    if not sc.master.startswith("local"):
+        partitions = max(partitions, PARTITIONS_PER_CORE * sc.defaultParallelism)
+    if partitions > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
     return spark
 
 

@@ -104,24 +104,6 @@ def test_chain_of_overlaps_in_one_hot_showtime(spark):
     assert got == one_by_one(chain)
 
 
-@pytest.fixture
-def eager_skew_splitting(spark):
-    """Make AQE split partitions at the size of test data."""
-    small = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
-    }
-    before = {key: spark.conf.get(key, None) for key in small}
-    for key, value in small.items():
-        spark.conf.set(key, value)
-    yield
-    for key, value in before.items():
-        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def test_split_partitions_do_not_split_a_showtime(spark, eager_skew_splitting):
     requests = random_requests(8, n=3000, showtimes=12, seats=150, hot=0.5)
     holds = [hold(n, n % 12 + 1, n) for n in range(60)]

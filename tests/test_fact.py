@@ -105,3 +105,23 @@ def test_integrity_reports(make_model):
     assert ("customers", "name", 1) in rows(integrity.integrity_text_length(m))
     assert ("customers", "email", 1) in rows(integrity.integrity_not_null(m))
     assert rows(integrity.double_bookings(m["reservation_holds"])) == [(10, 5, 2)]
+
+
+def test_hot_payment_and_showtime(make_model, eager_skew_splitting):
+    """A third of the tickets belong to one payment, most to one showtime."""
+    n = 900
+    m = make_model(
+        **BASE,
+        payments=[payment(k, amount=k + 1, customer=1 + k % 2) for k in range(n)],
+        reservation_holds=[hold(k, 10 if k % 5 else 11, 101, 1) for k in range(n)],
+        tickets=[(k, k, 0 if k % 3 == 0 else k, money(1)) for k in range(n)],
+    )
+    seats = {}
+    for k in range(n):
+        key = (0 if k % 3 == 0 else k, 10 if k % 5 else 11)
+        seats[key] = seats.get(key, 0) + 1
+    fact = fact_bookings(m).withColumn("payment", F.col("total_revenue").cast("long") - 1)
+    assert rows(fact, "payment", "showtime_id", "seats_booked") == sorted(
+        ((p, s, c) for (p, s), c in seats.items()), key=repr
+    )
+    assert fact.select("id").distinct().count() == len(seats)
