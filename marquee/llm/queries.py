@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, near_dup, quality, sharding, token_counts
+from . import bpe, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 512
 SEED = 7
 SHARDS = 8
+NEIGHBOURS = 10
 
 
 def _query(run: Query) -> Query:
@@ -50,6 +51,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.drop("lang")
 
 
+@_query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"), NEIGHBOURS, SEED)
+
+
 def learnable() -> Column:
     """Whether language models may learn from a document (fixed by the contract)."""
     return ~held_out() & F.col("lang").isNotNull()
