@@ -2,15 +2,97 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from marquee.llm import bpe, langid, line_dedup, mixing, near_dup
+from marquee.llm.common import WORD, prepare, store, unused
+from marquee.llm.queries import RANKS, SEED, learnable
+
+#: Least share of a document's letters in its main language.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a clear main language, which becomes their ``lang``.
+
+    Rejected are texts that are null or without a letter, and those of which no language labels
+    LEAST_SCORE of the letters. Models are learnt from the labelled documents of ``docs``.
+    """
+    prepare(spark)
+    model = langid.fit(docs.where(learnable()))
+    found = langid.identify(docs, model)
+    clear = (F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SCORE)
+    return found.where(clear).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated three-line windows removed; ``n_chars`` follows the text.
+
+    A document of which that leaves no word goes.
+    """
+    prepare(spark)
+    found = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)
+    counted = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return found.where(~emptied).withColumn("n_chars", counted.cast("long")).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the least id.
+
+    A text that repeats under the same id stays once.
+    """
+    prepare(spark)
+    own, text_hash = unused(docs, "own", "text_hash")
+    kept = (
+        near_dup.classes(docs)
+        .where("kept")
+        .select(F.col("doc_id").alias(own), F.col("print").alias(text_hash), "class")
+    )
+    one = kept.groupBy("class").agg(F.min(F.struct(own, text_hash)).alias("one")).select("one.*")
+    same = docs["doc_id"].eqNullSafe(one[own]) & (F.xxhash64(docs["text"]) == one[text_hash])
+    return docs.join(one, same).select(*[docs[c] for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, each as often as its source's target asks for."""
+    prepare(spark)
+    return mixing.training_order(mixing.mix(docs, SEED), docs.columns).drop("position")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its text."""
+    prepare(spark)
+    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).select(
+        "doc_id",
+        "lang",
+        "source",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        (F.col("decoded") == whole).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("near dedup", dedup_near),
+    ("mixing", mix_sources),
+    ("BPE", encode),
+]
+#: SQL expresses neither the language models nor the merges; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, the result of each written before the next reads it."""
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = store(docs, "pipeline")
     return docs

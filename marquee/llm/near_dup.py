@@ -82,9 +82,9 @@ def _alike_in_size() -> Column:
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``df``: key, ``print`` (hash of the text), class_id, class_size, kept.
+    """One row per row of ``df``: key, print, class, class_id, class_size, kept.
 
-    ``class_id`` is the least key of the class, ``class_size`` its number of rows. ``kept`` is
+    ``print`` is a hash of the text and ``class`` a name of the class. ``class_id`` is the least key of the class, ``class_size`` its number of rows. ``kept`` is
     true for the rows of that key in the class, so that one document of each class stays. A text
     that is null or has no word is like no other: its row is a class of its own, with its own key
     as class_id. One to four words count as one shingle. Null keys are never the least, unless a
@@ -172,19 +172,19 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         links = store(new if links is None else links.union(new), "near-dup-links")
         found = components(links)
 
-    rows = signed.select("key", "print", "node").join(found, "node", "left").select(
+    # A text without words is a class of its own, told by its key and print.
+    alone = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("print"))
+    rows = signed.join(found, "node", "left").select(
         "key",
         "print",
-        F.coalesce("component", "node").alias("class"),
+        F.coalesce("component", "node", F.encode(alone, "UTF-8")).alias("class"),
     )
-    named = rows.where("class is not null").groupBy("class").agg(
-        F.min("key").alias("class_id"), F.count("*").alias("class_size")
-    )
-    alone = F.col("class").isNull()
-    return rows.join(named, "class", "left").select(
+    named = rows.groupBy("class").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
+    return rows.join(named, "class").select(
         F.col("key").alias(key),
         "print",
-        F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        (alone | F.col("key").eqNullSafe(F.col("class_id"))).alias("kept"),
+        "class",
+        "class_id",
+        "class_size",
+        F.col("key").eqNullSafe(F.col("class_id")).alias("kept"),
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, token_counts
+from . import bpe, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, templates, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,14 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"), NEIGHBOURS, SEED)
 
 
+@_query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return templates.extract(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def learnable() -> Column:
     """Whether language models may learn from a document (fixed by the contract)."""
     return ~held_out() & F.col("lang").isNotNull()
@@ -87,7 +95,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("print")
+    found = near_dup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
 
 
 @_query
