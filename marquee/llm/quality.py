@@ -173,6 +173,11 @@ def binomial_tail(k: Column, n: Column, risk: float) -> Column:
     return F.when(k >= n * risk, F.lit(1.0)).otherwise(F.exp(first) * (added["total"] + rest))
 
 
+def _cutoffs_below(value: Column, grid: list[float]) -> Column:
+    """Number of cutoffs that the value lies above; the strictest are last in a grid."""
+    return F.size(F.filter(F.array(*map(F.lit, grid)), lambda cutoff: value > cutoff))
+
+
 def calibrate(labelled: DataFrame) -> DataFrame:
     """Cutoffs from (stratum, good boolean, measures): one row per stratum and measure.
 
@@ -182,12 +187,11 @@ def calibrate(labelled: DataFrame) -> DataFrame:
     named = [
         F.struct(
             F.lit(name).alias("measure"),
-            F.size(F.filter(F.array(*map(F.lit, grid)), lambda c, v=F.col(name): v > c)).alias("above"),
+            _cutoffs_below(F.col(name), grid).alias("above"),
             F.lit(len(grid)).alias("steps"),
         )
         for name, grid in GRIDS.items()
     ]
-    # "above" cutoffs lie below the value; the strictest cutoffs are last in a grid.
     levels = (
         labelled.select("stratum", "good", F.inline(F.array(*named)))
         .groupBy("stratum", "measure", "steps", "above")

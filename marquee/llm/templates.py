@@ -50,6 +50,8 @@ FURNITURE_WORDS = set(
 )
 #: Names of elements that hold the article.
 MAIN_TAGS = ("article", "main")
+#: Elements of text and lists, which hold no article by themselves.
+LEAF_TAGS = set("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table tr td th pre blockquote".split())
 MAIN_WORDS = set("article content post entry story main body-text maincontent".split())
 _WORD = re.compile(r"[a-z]+")
 
@@ -198,10 +200,11 @@ class Template:
     def _main(self, paths: dict[str, dict]) -> str | None:
         """Path of the frame's element that holds the article."""
         free = {k: t for k, t in paths.items() if not in_furniture(tuple(k.split(">")))}
-        named = [k for k in free if is_main(k.split(">")[-1])]
+        holders = [k for k in free if k.split(">")[-1].split(".")[0] not in LEAF_TAGS]
+        named = [k for k in holders if is_main(k.split(">")[-1])]
         if named:
             return min(named, key=lambda k: (not k.split(">")[-1].startswith(MAIN_TAGS), k.count(">"), k))
-        within = {k: sum(t["chars"] for j, t in free.items() if (j + ">").startswith(k + ">")) for k in free}
+        within = {k: sum(t["chars"] for j, t in free.items() if (j + ">").startswith(k + ">")) for k in holders}
         total = sum(t["chars"] for t in free.values())
         holding = [k for k, n in within.items() if total and n >= MAIN_SHARE * total]
         return max(holding, key=lambda k: (k.count(">"), k)) if holding else None

@@ -1,0 +1,88 @@
+"""Sharding: exact sizes, gapless slots, and draws that follow the hypergeometric law."""
+
+from __future__ import annotations
+
+import zlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from marquee.llm import sharding
+from marquee.llm.common import prepare
+from marquee.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_draws_follow_the_law():
+    rng, known = np.random.default_rng(1), np.random.default_rng(2)
+    for good, bad, drawn in ((5, 7, 4), (300, 100, 50), (1000, 9000, 2500), (3, 0, 2), (0, 4, 3), (9, 9, 18)):
+        ours = np.array([sharding.hypergeometric(rng, good, bad, drawn) for _ in range(6000)])
+        numpys = known.hypergeometric(good, bad, drawn, 6000)
+        assert abs(ours.mean() - numpys.mean()) <= 5 * numpys.std() / np.sqrt(3000) + 1e-9
+        assert abs(ours.std() - numpys.std()) <= 0.06 * numpys.std() + 1e-9
+        assert ours.min() >= max(0, drawn - bad) and ours.max() <= min(good, drawn)
+
+
+def test_draws_of_large_counts():
+    rng = np.random.default_rng(3)
+    draws = [sharding.hypergeometric(rng, 4 * 10**9, 28 * 10**9, 200_000) for _ in range(400)]
+    deviation = np.sqrt(200_000 / 8 * 7 / 8)
+    assert abs(np.mean(draws) - 25_000) < deviation / 4
+    assert 0.85 < np.std(draws) / deviation < 1.15
+
+
+def test_matrix_has_the_sums():
+    rows = [0, 3, 17, 1000, 41, 0]
+    columns = sharding.shard_sizes(sum(rows), 7)
+    matrix = sharding.communication_matrix(rows, columns, 5)
+    assert [sum(line) for line in matrix] == rows
+    assert [sum(c) for c in zip(*matrix)] == columns
+    assert min(min(line) for line in matrix) >= 0
+
+
+def check(rows, n, shards=8):
+    by_shard = Counter(r.shard for r in rows)
+    assert len(rows) == n
+    assert sorted(by_shard.get(i, 0) for i in range(shards)) == sorted(sharding.shard_sizes(n, shards))
+    for shard in by_shard:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(by_shard[shard]))
+
+
+def test_documents(spark):
+    texts = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
+    rows = QUERIES["op10_sharding"](spark, SMALL).collect()
+    check(rows, len(texts))
+    for row in rows:
+        text = (texts[row.doc_id] or "").encode()
+        assert (row.size, row.text_crc32) == (len(text) + 1, zlib.crc32(text))
+        assert (row.law, row.grown_shard) == ("rows", None)
+
+
+def test_orders_are_uniform(spark):
+    """Where one row lands, over many seeds: every shard and half as often as the others."""
+    df = prepare(spark).range(24).withColumnRenamed("id", "doc_id").repartition(3)
+    places = Counter()
+    for seed in range(30):
+        for row in sharding.shard(df, 2, seed).where("doc_id < 12").collect():
+            places[row.shard, row.slot // 3] += 1
+    assert len(places) == 8
+    expected = 30 * 12 / 8
+    assert sum((n - expected) ** 2 / expected for n in places.values()) < 30  # chi square, 7 degrees
+
+
+def test_reruns_agree_whatever_the_partitions(spark):
+    df = prepare(spark).read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source")
+    key = lambda r: (r.doc_id, r.shard, r.slot)
+    a = sorted(map(key, sharding.shard(df, 8, 7).collect()))
+    assert a == sorted(map(key, sharding.shard(df.repartition(5), 8, 7).collect()))
+    assert a != sorted(map(key, sharding.shard(df, 8, 8).collect()))
+
+
+def test_odd_rows(odd_documents, no_documents):
+    clashing = odd_documents.withColumn("shard", F.lit("x")).withColumn("rank", F.lit(1)).withColumn("bucket", F.lit(1))
+    out = sharding.shard(clashing, 3, 1)
+    assert set(out.columns) == {*clashing.columns, "slot"}
+    check(out.collect(), odd_documents.count(), 3)
+    assert sharding.shard(no_documents, 3, 1).collect() == []
