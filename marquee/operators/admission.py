@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import ntz, shift
+from ..functions.calendar import shift
 from ..session import ensure_checkpoint_dir
 from ..sinks.keys import with_surrogate_key
 from ..sources.snapshots import Model
 from .customers import upsert_customers
 from .seating import active_holds
 
-# Requests of one showtime that one task may work through in sequence.
-GROUP_LIMIT = 200_000
-
-
 def explode_requests(requests: DataFrame) -> DataFrame:
     """One row per wanted seat, with its position in the request."""
     return requests.select(
@@ -38,66 +32,55 @@ def explode_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-VERDICT = "request_id long, accepted boolean, rejected_seat long"
+# Why a request is rejected (fixed values).
+NO_EMAIL, NO_AMOUNT, NO_SEATS = "NO_EMAIL", "NO_AMOUNT", "NO_SEATS"
+UNKNOWN_SHOWTIME, UNKNOWN_SEAT, SEAT_TAKEN = "UNKNOWN_SHOWTIME", "UNKNOWN_SEAT", "SEAT_TAKEN"
 
 
-def _serve_in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sequential rule, over rows that come by showtime and in order of turn.
+def _checked(requests: DataFrame, showtimes: DataFrame | None, seats: DataFrame | None) -> DataFrame:
+    """Requests in slim form, with the reason why one cannot be booked whoever else wants what.
 
-    Turn 1 opens a showtime. A row without request id lists seats that are gone before. Only
-    the seats given away in the current showtime are remembered, so memory does not grow with
-    the number of requests.
+    A null showtime or seat refers to nothing and is no error; unknown ones are.
     """
-    gone = set()
-    for batch in batches:
-        rows = batch.to_pydict()
-        verdicts = {"request_id": [], "accepted": [], "rejected_seat": []}
-        for turn, request, seats in zip(rows["turn"], rows["request_id"], rows["seat_ids"]):
-            if turn == 1:
-                gone = set()
-            rejected, chosen = None, set()
-            for seat in seats:
-                if seat is None:
-                    continue
-                if request is not None and (seat in gone or seat in chosen):
-                    rejected = seat
-                    break
-                chosen.add(seat)
-            if rejected is None:
-                gone |= chosen
-            if request is not None:
-                verdicts["request_id"].append(request)
-                verdicts["accepted"].append(rejected is None)
-                verdicts["rejected_seat"].append(rejected)
-        kinds = [pa.int64(), pa.bool_(), pa.int64()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, kind) for v, kind in zip(verdicts.values(), kinds)], names=list(verdicts)
+    ids = F.transform("seats", lambda s: s["id"])
+    slim = requests.select(
+        "request_id",
+        "requested_at",
+        "showtime_id",
+        ids.alias("seat_ids"),
+        F.when(F.col("seats").isNull(), NO_SEATS)
+        .when(F.col("customer_email").isNull(), NO_EMAIL)
+        .when(F.col("payment_amount").isNull(), NO_AMOUNT)
+        .alias("reason"),
+    )
+    names_seat = F.size(F.coalesce("seat_ids", F.array().cast("array<bigint>"))) > 0
+    if showtimes is not None:
+        known = showtimes.select(F.col("id").alias("showtime_id"), F.lit(True).alias("shown")).distinct()
+        unknown = F.col("shown").isNull() & F.col("showtime_id").isNotNull() & names_seat
+        slim = (
+            slim.join(known, "showtime_id", "left")
+            .withColumn("reason", F.coalesce("reason", F.when(unknown, UNKNOWN_SHOWTIME)))
+            .drop("shown")
         )
-
-
-def _decide_in_turn(contest: DataFrame, taken: DataFrame | None) -> DataFrame:
-    """Verdicts by one shuffle: each showtime in one task, in order of turn.
-
-    The window makes Spark guarantee both. A plain ``repartition`` would not do: it is dropped
-    over a join on the same key, and AQE may then split a showtime over tasks.
-    """
-    queue = contest
-    if taken is not None:
-        queue = queue.unionByName(
-            taken.select("showtime_id", F.col("taken").alias("seat_ids")), allowMissingColumns=True
+    if seats is not None:
+        named = slim.select("request_id", F.explode("seat_ids").alias("seat_id")).dropna()
+        odd = named.join(seats.select(F.col("id").alias("seat_id")), "seat_id", "left_anti")
+        odd = odd.select("request_id", F.lit(True).alias("odd")).distinct()
+        slim = (
+            slim.join(odd, "request_id", "left")
+            .withColumn("reason", F.coalesce("reason", F.when(F.col("odd"), UNKNOWN_SEAT)))
+            .drop("odd")
         )
-    in_turn = Window.partitionBy("showtime_id").orderBy("requested_at", "request_id")
-    return queue.select(
-        F.row_number().over(in_turn).alias("turn"), "request_id", "seat_ids"
-    ).mapInArrow(_serve_in_turn, VERDICT)
+    return slim
 
 
-def _first_come_round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round over all showtimes: (requests certain to win, requests still undecided).
+def _round(undecided: DataFrame) -> DataFrame:
+    """The undecided requests that have not lost yet, with ``won`` for those certain to win.
 
     A request that is the earliest on each of its seats wins whatever happens elsewhere, and
     whoever else wants one of those seats loses. Rows meet only in ``min`` aggregates, which
-    combine before the shuffle, and in a join against one row per showtime.
+    combine before the shuffle, and in a join against one row per showtime, whose arrays cannot
+    outgrow the auditorium.
     """
     turn = F.struct("requested_at", "request_id", F.size("seat_ids").alias("wanted"))
     earliest = (
@@ -109,56 +92,83 @@ def _first_come_round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
         earliest.groupBy("showtime_id", "turn")
         .agg(F.collect_list("seat_id").alias("seat_ids"))
         .filter(F.size("seat_ids") == F.col("turn.wanted"))
-        .select("turn.request_id", "turn.requested_at", "showtime_id", "seat_ids")
-        .checkpoint()
+        .groupBy("showtime_id")
+        .agg(
+            F.collect_list("turn.request_id").alias("winners"),
+            F.flatten(F.collect_list("seat_ids")).alias("gone"),
+        )
     )
-    gone = winners.groupBy("showtime_id").agg(F.flatten(F.collect_list("seat_ids")).alias("gone"))
-    rest = (
-        undecided.join(gone, "showtime_id", "left")
-        .filter(F.col("gone").isNull() | ~F.arrays_overlap("seat_ids", "gone"))
-        .drop("gone")
+    won = F.array_contains("winners", F.col("request_id"))
+    lost = ~won & F.arrays_overlap("seat_ids", "gone")
+    return (
+        undecided.drop("won")
+        .join(winners, "showtime_id", "left")
+        .withColumn("won", F.coalesce(won, F.lit(False)))
+        .filter(~F.coalesce(lost, F.lit(False)))
+        .drop("winners", "gone")
         .checkpoint()
     )
-    return winners, rest
 
 
-def _largest_showtime(requests: DataFrame) -> int:
-    sizes = requests.groupBy("showtime_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def _decide_by_rounds(contest: DataFrame, taken: DataFrame | None, group_limit: int) -> DataFrame:
-    """Verdicts for showtimes with too many requests for one task.
+def admit_bookings(
+    requests: DataFrame,
+    holds: DataFrame | None = None,
+    showtimes: DataFrame | None = None,
+    seats: DataFrame | None = None,
+) -> DataFrame:
+    """Decide every request: (request_id, accepted, rejected_seat, reason).
 
-    Rounds decide winners by aggregation alone until what is undecided is small per showtime.
-    Every round gives seats away in each open showtime, so there are at most as many rounds as
-    an auditorium has seats, and usually a handful. Then every request is judged against the
-    seats given away in its showtime, an array that cannot outgrow the auditorium; AQE may
-    split a showtime with very many requests in that join.
+    Requests are served by time, then id. One taken seat, or the same seat twice in one
+    request, rejects the whole request, and a rejected request takes nothing. ``holds`` are
+    the slots committed before. ``rejected_seat`` is the first seat, in the order of the
+    request, that was unavailable when its turn came. Requests that cannot be booked at all,
+    without seats, e-mail or amount, or with a showtime or seat that is not in ``showtimes`` and
+    ``seats`` (where given), are rejected first and take nothing either.
+
+    The requests are stored once in slim form. Rounds then decide winners by aggregation until
+    none is undecided: each gives seats away in every open showtime, so there are at most as many
+    as an auditorium has seats, and usually a handful. Last, every request is judged against the
+    seats given away in its showtime; AQE may split a showtime with very many requests there.
     """
-    ensure_checkpoint_dir(contest.sparkSession)
-    queue = contest
-    if taken is not None:
+    ensure_checkpoint_dir(requests.sparkSession)
+    slim = _checked(requests, showtimes, seats).checkpoint()
+    # null never equals null, so without showtime or seats there is nothing to compete for
+    real = F.filter("seat_ids", lambda s: s.isNotNull())
+    competes = F.coalesce(
+        F.col("reason").isNull() & F.col("showtime_id").isNotNull() & (F.size(real) > 0), F.lit(False)
+    )
+    no_seat = F.lit(None).cast("bigint").alias("rejected_seat")
+    alone = slim.filter(~competes).select(
+        "request_id", F.col("reason").isNull().alias("accepted"), no_seat, "reason"
+    )
+    queue = slim.filter(competes).drop("reason")
+    if holds is not None:
+        slots = holds.select("showtime_id", "seat_id").dropna()
+        if seats is not None:
+            slots = slots.join(seats.select(F.col("id").alias("seat_id")), "seat_id", "left_semi")
+        taken = slots.groupBy("showtime_id").agg(F.collect_set("seat_id").alias("taken"))
         queue = queue.join(taken, "showtime_id", "left")
     else:
         queue = queue.withColumn("taken", F.lit(None).cast("array<bigint>"))
-    real = F.filter("seat_ids", lambda s: s.isNotNull())
+
+    blocked = F.coalesce(F.arrays_overlap("seat_ids", "taken"), F.lit(False))
     undecided = (
-        queue.filter(F.col("taken").isNull() | ~F.coalesce(F.arrays_overlap("seat_ids", "taken"), F.lit(False)))
+        queue.filter(~blocked)
         .filter(F.size(real) == F.size(F.array_distinct(real)))
         .select("request_id", "requested_at", "showtime_id", real.alias("seat_ids"))
-        .checkpoint()
     )
     rounds = []
-    while _largest_showtime(undecided) > group_limit:
-        winners, undecided = _first_come_round(undecided)
-        rounds.append(winners)
-    settled = _decide_in_turn(undecided, None).filter("accepted").select("request_id")
-    winners = reduce(DataFrame.unionByName, rounds, undecided.join(settled, "request_id", "left_semi"))
+    while True:
+        decided = _round(undecided)
+        rounds.append(decided.filter("won"))
+        undecided = decided.filter("not won")
+        if undecided.isEmpty():
+            break
 
     turn = F.struct("requested_at", "request_id")
     given = (
-        winners.select("showtime_id", F.explode("seat_ids").alias("seat_id"), turn.alias("since"))
+        reduce(DataFrame.unionByName, rounds)
+        .select("showtime_id", F.explode("seat_ids").alias("seat_id"), turn.alias("since"))
         .groupBy("showtime_id")
         .agg(F.array_sort(F.collect_list(F.struct("seat_id", "since"))).alias("given"))
         .select("showtime_id", F.col("given.seat_id").alias("given"), F.col("given.since"))
@@ -174,51 +184,14 @@ def _decide_by_rounds(contest: DataFrame, taken: DataFrame | None, group_limit:
         )
 
     conflicts = F.filter("seat_ids", unavailable)
-    return queue.join(given, "showtime_id", "left").select(
+    free = F.size(conflicts) == 0
+    contested = queue.join(given, "showtime_id", "left").select(
         "request_id",
-        (F.size(conflicts) == 0).alias("accepted"),
+        free.alias("accepted"),
         F.get(conflicts, 0).alias("rejected_seat"),
+        F.when(~free, SEAT_TAKEN).alias("reason"),
     )
-
-
-def admit_bookings(
-    requests: DataFrame, holds: DataFrame | None = None, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Decide every request: (request_id, accepted, rejected_seat).
-
-    Requests are served by time, then id. One taken seat, or the same seat twice in one
-    request, rejects the whole request, and a rejected request takes nothing. ``holds`` are
-    the slots committed before. ``rejected_seat`` is the first seat, in the order of the
-    request, that was unavailable when its turn came.
-
-    Showtimes are independent, so most are decided in one task each. Those with more than
-    ``group_limit`` requests are decided by rounds of distributed aggregation instead, with
-    the same result.
-    """
-    ids = F.transform("seats", lambda s: s["id"])
-    slim = requests.select("request_id", "requested_at", "showtime_id", ids.alias("seat_ids"))
-    # null never equals null, so without showtime or seats there is nothing to compete for
-    real = F.filter("seat_ids", lambda s: s.isNotNull())
-    competes = F.coalesce(F.col("showtime_id").isNotNull() & (F.size(real) > 0), F.lit(False))
-    alone = slim.filter(~competes).select(
-        "request_id",
-        F.col("seat_ids").isNotNull().alias("accepted"),
-        F.lit(None).cast("bigint").alias("rejected_seat"),
-    )
-    contest = slim.filter(competes)
-    taken = None
-    if holds is not None:
-        slots = holds.select("showtime_id", "seat_id").dropna()
-        taken = slots.groupBy("showtime_id").agg(F.collect_set("seat_id").alias("taken"))
-
-    sizes = contest.groupBy("showtime_id").agg(F.count(F.lit(1)).alias("n"))
-    if _largest_showtime(contest) <= group_limit:
-        return alone.unionByName(_decide_in_turn(contest, taken))
-    hot = sizes.filter(F.col("n") > group_limit).select("showtime_id")
-    return (
-        alone.unionByName(_decide_in_turn(contest.join(hot, "showtime_id", "left_anti"), taken))
-        .unionByName(_decide_by_rounds(contest.join(hot, "showtime_id", "left_semi"), taken, group_limit))
-    )
+    return alone.unionByName(contested)
 
 
 def _after(existing: DataFrame):
@@ -234,7 +207,8 @@ def booking_outputs(requests: DataFrame, decisions: DataFrame, m: Model) -> dict
     """
     won = requests.join(decisions.filter("accepted").select("request_id"), "request_id", "left_semi")
     people = upsert_customers(m["customers"], won)
-    by_email = people.select(F.col("id").alias("customer_id"), F.col("email").alias("customer_email"))
+    # where a feed holds an e-mail twice, the oldest customer books
+    by_email = people.groupBy(F.col("email").alias("customer_email")).agg(F.min("id").alias("customer_id"))
     booked = with_surrogate_key(
         won, ["request_id"], "payment_id", _after(m["payments"])
     ).join(by_email, "customer_email")
@@ -274,8 +248,8 @@ def booking_outputs(requests: DataFrame, decisions: DataFrame, m: Model) -> dict
 
 
 def conflict_report(requests: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rejected requests with the message their sender gets."""
-    lost = decisions.filter(~F.col("accepted"))
+    """Requests that lost a seat, with the message their sender gets."""
+    lost = decisions.filter(F.col("reason") == SEAT_TAKEN)
     return lost.join(requests.select("request_id", "showtime_id"), "request_id").select(
         "request_id",
         "showtime_id",
@@ -299,21 +273,32 @@ def hold_seats(
     holds: DataFrame,
     as_of: datetime,
     reuse_expired: bool = False,
-    group_limit: int = GROUP_LIMIT,
+    customers: DataFrame | None = None,
+    **known: DataFrame | None,
 ) -> dict[str, DataFrame]:
     """Short holds instead of bookings: decisions and the new HELD rows.
 
     By default any existing row blocks a seat, because the slot is unique in the table; with
-    ``reuse_expired`` only active holds block, as the availability check intends.
+    ``reuse_expired`` only active holds, as of ``as_of``, block, as the availability check
+    intends. A hold runs for five minutes from its request. ``customers`` give the id of the
+    customer with the request's e-mail, null without one.
     """
     blocking = active_holds(holds, as_of) if reuse_expired else holds
-    decisions = admit_bookings(requests, blocking, group_limit)
+    decisions = admit_bookings(requests, blocking, **known)
     won = requests.join(decisions.filter("accepted").select("request_id"), "request_id", "left_semi")
-    rows = explode_requests(won).select(
+    if customers is None:
+        who = won.select("request_id", F.lit(None).cast("bigint").alias("customer_id"))
+    else:
+        by_email = customers.groupBy(F.col("email").alias("customer_email")).agg(
+            F.min("id").alias("customer_id")
+        )
+        who = won.join(by_email, "customer_email", "left").select("request_id", "customer_id")
+    rows = explode_requests(won).join(who, "request_id").select(
         "request_id",
         "showtime_id",
         "seat_id",
-        shift(ntz(as_of), "MINUTE", 5).alias("hold_expires_at"),
+        "customer_id",
+        shift("requested_at", "MINUTE", 5).alias("hold_expires_at"),
         F.lit("HELD").alias("status"),
     )
     return {"decisions": decisions, "reservation_holds": rows}

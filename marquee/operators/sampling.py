@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_below, hash32, uniform
 from ..sources.snapshots import Model
-from .seating import available_seats
+from .seating import free_seats, halls_of_showtimes
 
 NUMBERING_BUCKETS = 64
 
 
 def pick_available_seats(m: Model, k: int, seed: int = 1) -> DataFrame:
-    """``k`` random free seats for every showtime that has that many.
-
-    The rank filter comes first, so Spark keeps only the best ``k`` of each showtime in every
-    task before the shuffle.
-    """
-    luck = hash32("seat_id", "showtime_id", F.lit(seed))
-    free = available_seats(m).withColumn("luck", luck)
-    shuffled = Window.partitionBy("showtime_id").orderBy("luck", "seat_id")
-    chosen = free.withColumn("pick", F.row_number().over(shuffled)).filter(F.col("pick") <= k)
-    enough = F.count(F.lit(1)).over(Window.partitionBy("showtime_id")) == k
+    """``k`` random free seats for every showtime that has that many, drawn inside its row."""
+    luck = F.transform(
+        free_seats(),
+        lambda s: F.struct(
+            hash32(s["seat_id"], "showtime_id", F.lit(seed)).alias("luck"), s["seat_id"].alias("seat_id")
+        ),
+    )
     return (
-        chosen.withColumn("enough", enough).filter("enough").select("showtime_id", "pick", "seat_id")
+        halls_of_showtimes(m)
+        .select("showtime_id", F.array_sort(luck).alias("drawn"))
+        .filter(F.size("drawn") >= k)
+        .select("showtime_id", F.posexplode(F.slice("drawn", 1, k)).alias("place", "seat"))
+        .select("showtime_id", (F.col("place") + 1).alias("pick"), F.col("seat.seat_id").alias("seat_id"))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, time, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import ntz
@@ -39,41 +39,58 @@ def schedule(m: Model, show_date: date | None) -> DataFrame:
     )
 
 
-def showtime_seats(m: Model, showtime_id: int | None = None) -> DataFrame:
-    """Every seat of the auditorium of a showtime; None takes all showtimes."""
-    shows = m["showtimes"]
+def halls_of_showtimes(m: Model, showtime_id: int | None = None) -> DataFrame:
+    """One row per showtime: the seats of its auditorium and the ids of those taken, as arrays.
+
+    None takes all showtimes. Holds meet showtimes as one array each, and seats as one per
+    auditorium; neither array can outgrow an auditorium, and no row per seat is shuffled.
+    """
+    shows, holds = m["showtimes"], m["reservation_holds"].select("showtime_id", "seat_id")
     if showtime_id is not None:
         shows = shows.filter(F.col("id") == showtime_id)
-    halls = m["auditoriums"].select(F.col("id").alias("auditorium_id"))
-    placed = shows.select(F.col("id").alias("showtime_id"), "auditorium_id").join(halls, "auditorium_id")
-    seats = m["seats"].withColumnRenamed("id", "seat_id")
-    return placed.join(seats, "auditorium_id")
+        holds = holds.filter(F.col("showtime_id") == showtime_id)
+    taken = holds.groupBy("showtime_id").agg(F.collect_set("seat_id").alias("taken"))
+    seat = F.struct(F.col("id").alias("seat_id"), "row_code", "number")
+    halls = (
+        m["seats"]
+        .join(m["auditoriums"].select(F.col("id").alias("auditorium_id")), "auditorium_id", "left_semi")
+        .groupBy("auditorium_id")
+        .agg(F.array_sort(F.collect_list(seat)).alias("seats"))
+    )
+    return (
+        shows.select(F.col("id").alias("showtime_id"), "auditorium_id")
+        .join(taken, "showtime_id", "left")
+        .join(halls, "auditorium_id")
+        .select(
+            "showtime_id", "seats", F.coalesce("taken", F.array().cast("array<bigint>")).alias("taken")
+        )
+    )
 
 
-def taken_slots(m: Model, showtime_id: int | None = None) -> DataFrame:
-    """Slots with at least one hold, of any status and age."""
-    holds = m["reservation_holds"].select("showtime_id", "seat_id")
-    if showtime_id is not None:
-        holds = holds.filter(F.col("showtime_id") == showtime_id)
-    return holds.distinct()
+def _is_taken(seat_id: Column) -> Column:
+    return F.array_contains("taken", seat_id)
+
+
+def free_seats() -> Column:
+    """Seats of the hall that are not taken."""
+    return F.filter("seats", lambda s: ~_is_taken(s["seat_id"]))
 
 
 def seat_map(m: Model, showtime_id: int | None = None) -> DataFrame:
-    """Status of every seat: TAKEN with any hold, else available.
+    """Status of every seat: TAKEN with any hold, of any status and age, else available.
 
     One row per slot: the source allows one hold per slot, and where a feed breaks that rule
-    the copies are folded before the join (``double_bookings`` lists them).
+    the copies fold into one (``double_bookings`` lists them).
     """
-    taken = taken_slots(m, showtime_id).withColumn("held", F.lit(True))
     return (
-        showtime_seats(m, showtime_id)
-        .join(taken, ["showtime_id", "seat_id"], "left")
+        halls_of_showtimes(m, showtime_id)
+        .select("showtime_id", "taken", F.inline("seats"))
         .select(
             "showtime_id",
             "seat_id",
             "row_code",
             "number",
-            F.when(F.col("held"), "TAKEN").otherwise("available").alias("status"),
+            F.when(_is_taken(F.col("seat_id")), "TAKEN").otherwise("available").alias("status"),
         )
     )
 
@@ -85,44 +102,35 @@ def seat_map_of(m: Model, showtime_id: int) -> DataFrame:
 
 def available_seats(m: Model, showtime_id: int | None = None) -> DataFrame:
     """Slots without any hold."""
-    free = showtime_seats(m, showtime_id).join(
-        taken_slots(m, showtime_id), ["showtime_id", "seat_id"], "left_anti"
-    )
-    return free.select("showtime_id", "seat_id", "row_code", "number")
+    return halls_of_showtimes(m, showtime_id).select("showtime_id", F.inline(free_seats()))
 
 
 def available_seat_arrays(m: Model) -> DataFrame:
-    """Free seat ids per showtime in id order, and how many. An array cannot outgrow the
-    auditorium; a showtime with no free seat has no row."""
-    ids = F.array_sort(F.collect_list("seat_id"))
+    """Free seat ids per showtime in id order, and how many; a showtime with none has no row."""
+    ids = F.transform(free_seats(), lambda s: s["seat_id"])
     return (
-        available_seats(m)
-        .groupBy("showtime_id")
-        .agg(ids.alias("seat_ids"))
+        halls_of_showtimes(m)
+        .select("showtime_id", F.array_sort(ids).alias("seat_ids"))
         .withColumn("seat_count", F.size("seat_ids"))
+        .filter("seat_count > 0")
     )
 
 
 def seat_occupancy(m: Model) -> DataFrame:
     """Taken and free seats per showtime, the rate, and the first free seat by row and number."""
-    free = F.col("status") == "available"
-    position = F.struct("row_code", "number")
+    position = F.transform("free", lambda s: F.struct(s["row_code"].alias("row"), s["number"].alias("number")))
+    total, left = F.size("seats").cast("bigint"), F.size("free").cast("bigint")
     return (
-        seat_map(m)
-        .groupBy("showtime_id")
-        .agg(
-            F.count(F.lit(1)).alias("total_seats"),
-            F.count_if(~free).alias("taken_seats"),
-            F.count_if(free).alias("available_seats"),
-            F.min(F.when(free, position)).alias("first_free"),
-        )
+        halls_of_showtimes(m)
+        .withColumn("free", free_seats())
+        .withColumn("first_free", F.array_min(position))
         .select(
             "showtime_id",
-            "total_seats",
-            "taken_seats",
-            "available_seats",
-            (F.col("taken_seats").cast("double") / F.col("total_seats")).alias("occupancy"),
-            F.concat(F.col("first_free.row_code"), F.col("first_free.number").cast("string")).alias(
+            total.alias("total_seats"),
+            (total - left).alias("taken_seats"),
+            left.alias("available_seats"),
+            ((total - left).cast("double") / total).alias("occupancy"),
+            F.concat(F.col("first_free.row"), F.col("first_free.number").cast("string")).alias(
                 "first_available"
             ),
         )
@@ -160,6 +168,25 @@ def active_holds(
     return active
 
 
+def released_holds(holds: DataFrame, as_of: datetime) -> DataFrame:
+    """Slots whose short hold has run out by ``as_of`` and that nobody booked or confirmed.
+
+    A renewed hold runs until its latest expiry. Rows without a showtime, seat or expiry hold
+    nothing.
+    """
+    held = F.col("status") == "HELD"
+    return (
+        holds.dropna(subset=["showtime_id", "seat_id"])
+        .groupBy("showtime_id", "seat_id")
+        .agg(
+            F.max(F.when(held, F.col("hold_expires_at"))).alias("released_at"),
+            F.count_if(F.col("status") != "HELD").alias("sold"),
+        )
+        .filter((F.col("sold") == 0) & (F.col("released_at") <= ntz(as_of)))
+        .drop("sold")
+    )
+
+
 def slot_first_claim(claims: DataFrame) -> DataFrame:
     """First claim of each (showtime, seat) by time, then id.
 

@@ -78,14 +78,14 @@ fact AS (
 """
 
 
-def _queue(taken: str) -> str:
+def _queue(taken: str, valid: str = "true") -> str:
     """Requests served one after another per showtime; ``taken`` lists the slots gone before."""
     return f""",
 gone AS ({taken}),
 requests AS (
   SELECT request_id, showtime_id, any_value(requested_at) AS requested_at,
          list(seat_id ORDER BY position) AS seat_ids
-  FROM request_seats GROUP BY 1, 2),
+  FROM request_seats WHERE {valid} GROUP BY 1, 2),
 queue AS (
   SELECT *, row_number() OVER (PARTITION BY showtime_id ORDER BY requested_at, request_id) AS turn
   FROM requests),
@@ -102,7 +102,9 @@ served AS (
                                                     OR list_position(q.seat_ids, x) < i) AS conflicts
         FROM served s JOIN queue q ON q.showtime_id = s.showtime_id AND q.turn = s.turn + 1)),
 decisions AS (
-  SELECT request_id, rejected_seat IS NULL AS accepted, rejected_seat FROM served WHERE turn > 0)
+  SELECT request_id, rejected_seat IS NULL AS accepted, rejected_seat,
+         CASE WHEN rejected_seat IS NOT NULL THEN 'SEAT_TAKEN' END AS reason
+  FROM served WHERE turn > 0)
 """
 
 
@@ -414,19 +416,41 @@ SQL = {
         SELECT request_id, requested_at, showtime_id, position, seat_id, price FROM request_seats""",
     "admit_bookings": (_queue(NO_HOLDS), "SELECT * FROM decisions"),
     "admit_bookings_with_holds": (_queue(ACTIVE_HOLDS), "SELECT * FROM decisions"),
+    "admit_bookings_invalid": (
+        _queue(NO_HOLDS, "request_id % 11 > 0 AND request_id % 13 > 0 AND request_id % 17 > 0 AND request_id % 19 > 0"),
+        """SELECT * FROM decisions UNION ALL
+           SELECT DISTINCT request_id, false, CAST(NULL AS BIGINT),
+                  CASE WHEN request_id % 11 = 0 THEN 'NO_EMAIL' WHEN request_id % 13 = 0 THEN 'NO_AMOUNT'
+                       WHEN request_id % 17 = 0 THEN 'UNKNOWN_SHOWTIME' ELSE 'UNKNOWN_SEAT' END
+           FROM request_seats
+           WHERE request_id % 11 = 0 OR request_id % 13 = 0 OR request_id % 17 = 0 OR request_id % 19 = 0""",
+    ),
+    "released_holds": f"""
+        SELECT showtime_id, seat_id, max(hold_expires_at) AS released_at FROM reservation_holds
+        GROUP BY 1, 2 HAVING bool_and(status = 'HELD') AND max(hold_expires_at) <= {HOLDS_AS_OF}""",
+    "seat_map_of": """
+        SELECT s.id AS showtime_id, e.id AS seat_id, e.row_code, e.number,
+               CASE WHEN EXISTS (SELECT 1 FROM reservation_holds h WHERE h.showtime_id = s.id AND h.seat_id = e.id)
+                    THEN 'TAKEN' ELSE 'available' END AS status
+        FROM showtimes s JOIN seats e ON e.auditorium_id = s.auditorium_id WHERE s.id = 7""",
+    "fact_rebuilt_by_month": """
+        SELECT year, month_num, count(*) AS fact_rows, count(*) AS ids, count(*) AS same_ids
+        FROM fact GROUP BY 1, 2""",
     "hold_seats": (_queue(ALL_HOLDS), "SELECT * FROM decisions"),
     "hold_seats_reuse_expired": (
         _queue(ACTIVE_HOLDS),
-        f"""SELECT request_id, showtime_id, seat_id, {HOLDS_AS_OF} + INTERVAL 5 MINUTE AS hold_expires_at,
-                   'HELD' AS status
-            FROM request_seats WHERE request_id IN (SELECT request_id FROM decisions WHERE accepted)""",
+        """SELECT r.request_id, r.showtime_id, r.seat_id, c.id AS customer_id,
+                  r.requested_at + INTERVAL 5 MINUTE AS hold_expires_at, 'HELD' AS status
+           FROM request_seats r JOIN customers c ON c.email = r.customer_email
+           WHERE request_id IN (SELECT request_id FROM decisions WHERE accepted)""",
     ),
     "booking_outputs": (
         _queue(NO_HOLDS),
-        """SELECT r.request_id, r.showtime_id, r.seat_id, c.id AS customer_id,
-                  r.requested_at + INTERVAL 1 HOUR AS hold_expires_at, 'CONFIRMED' AS status, r.price,
-                  r.payment_amount AS amount, r.requested_at AS payment_date, r.payment_method
+        """SELECT r.request_id, r.showtime_id, r.seat_id, r.requested_at + INTERVAL 1 HOUR AS hold_expires_at,
+                  'CONFIRMED' AS status, r.price, r.payment_amount AS amount, r.requested_at AS payment_date,
+                  r.payment_method, c.email, k.c_mktsegment <> 'AUTOMOBILE' AS is_new
            FROM request_seats r JOIN customers c ON c.email = r.customer_email
+           JOIN customer k ON k.c_custkey = c.id
            WHERE request_id IN (SELECT request_id FROM decisions WHERE accepted)""",
     ),
     "conflict_report": (

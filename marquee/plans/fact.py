@@ -83,7 +83,10 @@ def fact_bookings(m: Model, pg_padded: bool = False) -> DataFrame:
         .groupBy(*GRAIN)
         .agg(F.sum("n").cast("int").alias("seats_booked"))
     )
-    rows = with_surrogate_key(booked, GRAIN).join(showings(m), "showtime_id").join(_people(m), "customer_id")
+    # ids of a month do not depend on other months, so months can be rebuilt one by one
+    month = F.year("payment_date") * 12 + F.month("payment_date")
+    keyed = with_surrogate_key(booked, GRAIN, within=month)
+    rows = keyed.join(showings(m), "showtime_id").join(_people(m), "customer_id")
     return rows.select(
         "id",
         F.col("payment_date").alias("booking_timestamp"),

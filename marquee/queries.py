@@ -27,7 +27,7 @@ from .session import configure, ensure_checkpoint_dir
 from .sinks.json_rows import to_json_rows
 from .sinks.tables import append_ignore_duplicates, append_with_defaults
 from .sources.generators import build_seats, build_showtimes, date_sequence, explode_int_series
-from .sources.schemas import FACT_NOT_NULL, PAYMENT_DEFAULTS
+from .sources.schemas import FACT_NOT_NULL, OPERATIONAL, PAYMENT_DEFAULTS
 from .sources.trade_tables import TradeTables
 
 AS_OF = date(2001, 8, 1)
@@ -35,6 +35,9 @@ HOLDS_AS_OF = datetime(1998, 6, 1)
 SHOW_DATE = date(2024, 1, 3)
 SEED = 7
 PICK_SEATS = 3
+SHOWTIME = 7
+# The fact is rebuilt in two parts, before and from this day on.
+REBUILT_FROM = date(1997, 1, 1)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +71,28 @@ def fact_bookings(t: TradeTables) -> DataFrame:
     return _fact(t).drop("id")
 
 
+@_query
+def fact_rebuilt_by_month(t: TradeTables) -> DataFrame:
+    """Rows, ids and ids in common with the whole fact, per month of a fact built in two parts."""
+    m = t.booking_model()
+    day = F.to_date("payment_date")
+    parts = [
+        fact.fact_bookings({**{n: m[n] for n in OPERATIONAL}, "payments": m["payments"].filter(which)})
+        for which in (day < F.lit(REBUILT_FROM), day >= F.lit(REBUILT_FROM))
+    ]
+    rebuilt = parts[0].unionByName(parts[1])
+    whole = fact.fact_bookings(m).select("id", "booking_timestamp", "showtime_id", F.lit(1).alias("same"))
+    return (
+        rebuilt.join(whole, ["id", "booking_timestamp", "showtime_id"], "left")
+        .groupBy("year", "month_num")
+        .agg(
+            F.count(F.lit(1)).alias("fact_rows"),
+            F.countDistinct("id").alias("ids"),
+            F.count("same").alias("same_ids"),
+        )
+    )
+
+
 @_query
 def daily_revenue(t: TradeTables) -> DataFrame:
     return reports.daily_revenue(_fact(t), AS_OF)
@@ -172,6 +197,16 @@ def active_holds(t: TradeTables) -> DataFrame:
     return seating.active_holds(t.reservation_holds(), HOLDS_AS_OF)
 
 
+@_query
+def released_holds(t: TradeTables) -> DataFrame:
+    return seating.released_holds(t.reservation_holds(), HOLDS_AS_OF)
+
+
+@_query
+def seat_map_of(t: TradeTables) -> DataFrame:
+    return seating.seat_map_of(t.booking_model(), SHOWTIME)
+
+
 @_query
 def slot_first_claim(t: TradeTables) -> DataFrame:
     return seating.slot_first_claim(admission.explode_requests(t.booking_requests()))
@@ -204,70 +239,104 @@ def explode_requests(t: TradeTables) -> DataFrame:
     return admission.explode_requests(t.booking_requests())
 
 
+def _known(t: TradeTables) -> dict[str, DataFrame]:
+    return {"showtimes": t.showtimes(), "seats": t.seats()}
+
+
 @_query
 def admit_bookings(t: TradeTables) -> DataFrame:
-    return admission.admit_bookings(t.booking_requests())
+    return admission.admit_bookings(t.booking_requests(), **_known(t))
 
 
 @_query
 def admit_bookings_with_holds(t: TradeTables) -> DataFrame:
     active = seating.active_holds(t.reservation_holds(), HOLDS_AS_OF)
-    return admission.admit_bookings(t.booking_requests(), active)
+    return admission.admit_bookings(t.booking_requests(), active, **_known(t))
+
+
+@_query
+def admit_bookings_invalid(t: TradeTables) -> DataFrame:
+    """Admission where some requests lack an e-mail or amount or name an unknown showtime or seat."""
+    number = F.col("request_id")
+    first = F.transform("seats", lambda s, i: s.withField("id", F.when(i == 0, -s["id"] - 1).otherwise(s["id"])))
+    spoilt = t.booking_requests().withColumns(
+        {
+            "customer_email": F.when(number % 11 != 0, F.col("customer_email")),
+            "payment_amount": F.when(number % 13 != 0, F.col("payment_amount")),
+            "showtime_id": F.when(number % 17 == 0, -F.col("showtime_id") - 1).otherwise(F.col("showtime_id")),
+            "seats": F.when(number % 19 == 0, first).otherwise(F.col("seats")),
+        }
+    )
+    return admission.admit_bookings(spoilt, **_known(t))
+
+
+def _held(t: TradeTables, reuse_expired: bool) -> dict[str, DataFrame]:
+    return admission.hold_seats(
+        t.booking_requests(), t.reservation_holds(), HOLDS_AS_OF, reuse_expired, t.customers(), **_known(t)
+    )
 
 
 @_query
 def hold_seats(t: TradeTables) -> DataFrame:
-    held = admission.hold_seats(t.booking_requests(), t.reservation_holds(), HOLDS_AS_OF)
-    return held["decisions"]
+    return _held(t, False)["decisions"]
 
 
 @_query
 def hold_seats_reuse_expired(t: TradeTables) -> DataFrame:
-    held = admission.hold_seats(
-        t.booking_requests(), t.reservation_holds(), HOLDS_AS_OF, reuse_expired=True
-    )
-    return held["reservation_holds"]
+    return _held(t, True)["reservation_holds"]
 
 
 @_query
 def booking_outputs(t: TradeTables) -> DataFrame:
-    """The rows of all accepted requests side by side; new ids are left out."""
+    """The rows of all accepted requests side by side, joined by their new ids.
+
+    Only customers of the AUTOMOBILE segment are known, the others are made. New ids depend on
+    hashes and are left out, but every join on them must find its one row.
+    """
     requests = t.booking_requests()
-    m = t.booking_model()
+    m = dict(t.booking_model(), **{n: getattr(t, n)() for n in ("payments", "reservation_holds", "tickets")})
+    m["customers"] = _automobile(t)
     ensure_checkpoint_dir(t.spark)
-    decisions = admission.admit_bookings(requests).checkpoint()
+    decisions = admission.admit_bookings(requests, **_known(t)).checkpoint()
     made = admission.booking_outputs(requests, decisions, m)
     holds = made["reservation_holds"].withColumnRenamed("id", "reservation_id")
     tickets = made["tickets"].drop("id", "request_id")
-    payments = made["payments"].withColumnRenamed("id", "payment_id").drop("customer_id", "request_id")
+    payments = made["payments"].withColumnRenamed("id", "payment_id").drop("request_id")
+    people = (
+        m["customers"].select("id", "email", F.lit(False).alias("is_new"))
+        .unionByName(made["customers"].select("id", "email", F.lit(True).alias("is_new")))
+        .withColumnRenamed("id", "customer_id")
+    )
     return (
         holds.join(tickets, "reservation_id")
-        .join(payments, "payment_id")
-        .drop("reservation_id", "payment_id")
+        .join(payments, ["payment_id", "customer_id"])
+        .join(people, "customer_id")
+        .drop("reservation_id", "payment_id", "customer_id")
     )
 
 
 @_query
 def conflict_report(t: TradeTables) -> DataFrame:
     requests = t.booking_requests()
-    return admission.conflict_report(requests, admission.admit_bookings(requests))
+    return admission.conflict_report(requests, admission.admit_bookings(requests, **_known(t)))
 
 
 @_query
 def conflicts_per_showtime(t: TradeTables) -> DataFrame:
     requests = t.booking_requests()
-    return admission.conflicts_per_showtime(requests, admission.admit_bookings(requests))
+    return admission.conflicts_per_showtime(requests, admission.admit_bookings(requests, **_known(t)))
+
+
+def _automobile(t: TradeTables) -> DataFrame:
+    """Customers of the AUTOMOBILE segment."""
+    segment = t.customer.filter("c_mktsegment = 'AUTOMOBILE'").select(F.col("c_custkey").alias("id"))
+    return t.customers().join(segment, "id", "left_semi")
 
 
 @_query
 def upsert_customers(t: TradeTables) -> DataFrame:
     """Customers of the AUTOMOBILE segment are known, all others come with their requests."""
-    known = t.customers().join(
-        t.customer.filter("c_mktsegment = 'AUTOMOBILE'").select(F.col("c_custkey").alias("id")),
-        "id",
-        "left_semi",
-    )
-    merged = customers.upsert_customers(known, t.booking_requests())
+    merged = customers.upsert_customers(_automobile(t), t.booking_requests())
     return merged.withColumn("id", F.when(~F.col("is_new"), F.col("id"))).withColumnRenamed(
         "id", "known_id"
     )

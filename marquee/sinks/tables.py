@@ -46,9 +46,11 @@ def _move_into_place(spark: SparkSession, staged: str, path: str) -> None:
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions present in ``df``; running it twice changes nothing."""
+    """Replace only the partitions present in ``df``; running it twice changes nothing. Rows are
+    spread by partition first, so that each is a few well-sized files."""
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *[F.col(c) for c in partition_by])
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)

@@ -143,6 +143,9 @@ TRADE = {
     ),
 }
 
+# What a change feed adds to a row: INSERT, UPDATE or DELETE, and a number that grows with time.
+CHANGE = _table(("change_kind", STR), ("change_version", LONG))
+
 SEAT_CHOICE = T.ArrayType(_table(("id", LONG), ("price", MONEY)))
 
 BOOKING_REQUESTS = _table(

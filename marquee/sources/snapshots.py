@@ -8,8 +8,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .schemas import FACT_BOOKINGS, OPERATIONAL
+from .schemas import CHANGE, FACT_BOOKINGS, OPERATIONAL
 
 Model = dict[str, DataFrame]
 
@@ -51,15 +52,41 @@ class JdbcSource:
         )
 
 
+def read_changes(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """All versions of the rows of one landing table, with CHANGE columns (null in a first copy)."""
+    schema = T.StructType([*OPERATIONAL[table].fields, *CHANGE.fields])
+    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{table}")
+
+
+def current_rows(changes: DataFrame) -> DataFrame:
+    """The latest version of every row, without those whose latest version is a deletion.
+
+    A row without a version is from the first copy and older than any change. ``max`` of a struct
+    combines before the shuffle, so a row with very many versions is one per task by then.
+    """
+    columns = [c for c in changes.columns if c not in CHANGE.fieldNames()]
+    version = F.struct(
+        F.coalesce("change_version", F.lit(-1)).alias("version"), "change_kind", *columns
+    )
+    latest = changes.groupBy("id").agg(F.max(version).alias("row"))
+    kept = latest.filter(F.coalesce(F.col("row.change_kind") != "DELETE", F.lit(True)))
+    return kept.select(*[F.col(f"row.{c}").alias(c) for c in columns])
+
+
+def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One operational table of a folder. It may hold changes of rows, as a change feed lands them;
+    the latest version counts. A plain copy has no change columns, and nothing to fold."""
+    path = f"{root.rstrip('/')}/{name}"
+    if "change_version" in spark.read.option("mergeSchema", True).parquet(path).columns:
+        return current_rows(read_changes(spark, root, name))
+    return spark.read.schema(OPERATIONAL[name]).parquet(path)
+
+
 def load_booking_model(spark: SparkSession, source: str | JdbcSource) -> Model:
     """Read the operational tables from a folder of Parquet tables or a database."""
     if isinstance(source, JdbcSource):
         return {name: source.read(spark, name) for name in OPERATIONAL}
-    root = source.rstrip("/")
-    return {
-        name: spark.read.schema(schema).parquet(f"{root}/{name}")
-        for name, schema in OPERATIONAL.items()
-    }
+    return {name: load_table(spark, source, name) for name in OPERATIONAL}
 
 
 def read_fact(spark: SparkSession, path: str, since: date | None = None) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
 
-from ..sources.schemas import BOOKING_REQUESTS, OPERATIONAL
+from ..sources.schemas import BOOKING_REQUESTS, CHANGE, OPERATIONAL
 
 # Published tables; seats never change and are not part of the feed.
 PUBLISHED = [name for name in OPERATIONAL if name != "seats"]
@@ -15,18 +15,12 @@ def read_change_feed(
     spark: SparkSession, landing: str, table: str, files_per_trigger: int | None = None
 ) -> DataFrame:
     """Stream of the rows of one table. Files already there are the first copy, new files the
-    changes."""
-    schema = BOOKING_REQUESTS if table == "booking_requests" else OPERATIONAL[table]
+    changes: inserts, updates and deletions, told by the CHANGE columns (null in a first copy)."""
+    if table == "booking_requests":
+        schema = BOOKING_REQUESTS
+    else:
+        schema = T.StructType([*OPERATIONAL[table].fields, *CHANGE.fields])
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(f"{landing.rstrip('/')}/{table}")
-
-
-def start_parquet(
-    stream: DataFrame, path: str, checkpoint: str, available_now: bool = False
-) -> StreamingQuery:
-    """Append the finished rows of a stream to a Parquet table."""
-    writer = stream.writeStream.format("parquet").outputMode("append")
-    writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start(path)

@@ -1,50 +1,97 @@
-"""Streaming versions of the fact load, daily revenue, seat claims, admission and expiry."""
+"""Streaming versions of the fact load, daily revenue, seat claims, admission and expiry.
+
+Every job works by micro-batch on what the batch touches: months, days or showtimes. None has a
+watermark, so nothing that comes late is lost, and none forgets a slot.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from datetime import UTC, datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.calendar import ntz
 from ..functions.numeric import money_sum
-from ..operators.admission import GROUP_LIMIT, admit_bookings
+from ..operators.admission import admit_bookings
+from ..operators.seating import slot_first_claim
 from ..plans.fact import fact_bookings
 from ..sinks.tables import overwrite_partitions
-from ..sources.snapshots import load_booking_model
+from ..sources.snapshots import load_booking_model, load_table, read_changes
 from .feed import read_change_feed
+from .slots import SLOT, read_slots, write_slots
 
 FACT_PARTITIONS = ["year", "month_num"]
-HOLD_MINUTES = 5
+CLAIM = "showtime_id long, seat_id long, request_id long, requested_at timestamp"
+RELEASED = "showtime_id long, seat_id long, released_at timestamp_ntz"
+_SLOTS = "showtime_id long, seat_id long"
+
+
+def _start(stream: DataFrame, checkpoint: str, run: Callable, available_now: bool) -> StreamingQuery:
+    """Run ``run(batch, batch_id)`` on every micro-batch, read once."""
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            run(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(once)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _in_periods(column: str, unit: str, starts: list) -> Column:
+    """Rows of the given months or days, with a range that reaches the scan."""
+    step = F.expr(f"INTERVAL 1 {unit}")
+    first, last = F.lit(starts[0]), F.lit(starts[-1])
+    when = F.col(column)
+    return (
+        (when >= first.cast("timestamp_ntz"))
+        & (when < (last.cast("timestamp_ntz") + step))
+        & F.to_date(F.date_trunc(unit, column)).isin(starts)
+    )
+
+
+def _touched(payments: DataFrame, unit: str) -> list:
+    """The months or days of payments, bounded by the calendar."""
+    start = F.to_date(F.date_trunc(unit, "payment_date")).alias("start")
+    dated = payments.filter(F.col("payment_date").isNotNull())
+    return sorted(row[0] for row in dated.select(start).distinct().collect())
 
 
 def refresh_touched_months(spark: SparkSession, landing: str, fact_path: str, changed: DataFrame) -> None:
     """Recompute the fact months that changed payments or reservations belong to.
 
-    ``changed`` has payment_id and reservation_id, either may be null. Whole months are
-    replaced, so replaying a batch gives the same table. Only the list of months, bounded by
-    the calendar, comes to the driver; it becomes a date filter on the payment scan.
+    ``changed`` has payment_id and reservation_id, either may be null. Whole months are replaced,
+    so replaying a batch gives the same table; fact ids depend on the month alone. A payment that
+    moved touches the months of all its versions.
     """
     m = load_booking_model(spark, landing)
     reserved = changed.select("reservation_id").dropna().distinct()
-    via_tickets = m["tickets"].join(reserved, "reservation_id", "left_semi").select("payment_id")
+    tickets = read_changes(spark, landing, "tickets")
+    via_tickets = tickets.join(reserved, "reservation_id", "left_semi").select("payment_id")
     ids = changed.select("payment_id").dropna().unionByName(via_tickets).distinct()
-    paid = m["payments"].filter(F.col("payment_date").isNotNull())
-    touched = paid.join(ids, F.col("id") == F.col("payment_id"), "left_semi")
-    month = F.to_date(F.date_trunc("month", "payment_date"))
-    months = sorted(row[0] for row in touched.select(month).distinct().collect())
+    versions = read_changes(spark, landing, "payments")
+    months = _touched(versions.join(ids, F.col("id") == F.col("payment_id"), "left_semi"), "MONTH")
     if not months:
         return
-    first, last = F.lit(months[0]), F.add_months(F.lit(months[-1]), 1)
-    affected = paid.filter(
-        (F.col("payment_date") >= first.cast("timestamp_ntz"))
-        & (F.col("payment_date") < last.cast("timestamp_ntz"))
-        & month.isin(months)
-    )
-    overwrite_partitions(fact_bookings({**m, "payments": affected}), fact_path, FACT_PARTITIONS)
+    affected = m["payments"].filter(_in_periods("payment_date", "MONTH", months))
+    fresh = fact_bookings({**m, "payments": affected})
+    fresh = fresh.persist()
+    left = {tuple(row) for row in fresh.select(*FACT_PARTITIONS).distinct().collect()}
+    for month in months:
+        if (month.year, month.month) not in left:  # it has lost its last row
+            _remove(spark, f"{fact_path}/year={month.year}/month_num={month.month}")
+    overwrite_partitions(fresh, fact_path, FACT_PARTITIONS)
+    fresh.unpersist()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stream_fact_bookings(
@@ -68,79 +115,69 @@ def stream_fact_bookings(
         .unionByName(keys("tickets", "payment_id", None))
         .unionByName(keys("reservation_holds", None, "id"))
     )
-    writer = changed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: refresh_touched_months(batch.sparkSession, landing, fact_path, batch)
+    return _start(
+        changed,
+        checkpoint,
+        lambda batch, _: refresh_touched_months(batch.sparkSession, landing, fact_path, batch),
+        available_now,
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_daily_revenue(payments: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Revenue per day from a payment stream. A day is final once the newest payment is
-    ``lateness`` past its end; payments later than that are dropped."""
-    day = F.window("paid_at", "1 day")
+def daily_revenue_of(payments: DataFrame) -> DataFrame:
+    """Revenue per day of payments with a date."""
     return (
-        payments.withColumn("paid_at", F.col("payment_date").cast("timestamp"))
-        .filter(F.col("paid_at").isNotNull())
-        .withWatermark("paid_at", lateness)
-        .groupBy(day.alias("day"))
+        payments.filter(F.col("payment_date").isNotNull())
+        .groupBy(F.to_date("payment_date").alias("booking_date"))
         .agg(money_sum("amount").alias("daily_revenue"), F.count(F.lit(1)).alias("bookings"))
-        .select(F.to_date("day.start").alias("booking_date"), "daily_revenue", "bookings")
     )
 
 
-CLAIM = "showtime_id long, seat_id long, request_id long, requested_at timestamp"
-
-
-def _first_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Earliest claim per slot of each Arrow batch, so a hot slot is few rows to shuffle."""
-    for batch in batches:
-        ordered = batch.sort_values(["requested_at", "request_id"])
-        yield ordered.drop_duplicates(["showtime_id", "seat_id"])
-
-
-def _claim_once(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    best = None
-    for batch in batches:
-        row = batch.sort_values(["requested_at", "request_id"]).iloc[0]
-        turn = (row["requested_at"], int(row["request_id"]))
-        best = turn if best is None else min(best, turn)
-    if state.exists:
-        return
-    state.update((best[1],))
-    expiry = int(best[0].timestamp() * 1000) + KEEP_CLAIMS_MS
-    state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(
-        {"showtime_id": [key[0]], "seat_id": [key[1]], "request_id": [best[1]], "requested_at": [best[0]]}
-    )
-
-
-# A slot is forgotten this long after its claim, well after its showtime has passed.
-KEEP_CLAIMS_MS = 60 * 24 * 3600 * 1000
+def stream_daily_revenue(
+    spark: SparkSession, landing: str, out: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Revenue per day, a table partitioned by day, kept up to date from the payment feed.
 
+    A batch recomputes the days its payments touch, however late they are.
+    """
 
-def stream_first_claim(claims: DataFrame, lateness: str = "1 day") -> DataFrame:
+    def refresh(batch: DataFrame, _: int) -> None:
+        versions = read_changes(spark, landing, "payments")
+        changed = versions.join(batch.select("id").distinct(), "id", "left_semi")
+        days = _touched(changed, "DAY")
+        if not days:
+            return
+        paid = load_table(spark, landing, "payments").filter(_in_periods("payment_date", "DAY", days))
+        fresh = daily_revenue_of(paid)
+        left = {row[0] for row in fresh.select("booking_date").collect()}
+        for day in days:
+            if day not in left:
+                _remove(spark, f"{out}/booking_date={day}")
+        overwrite_partitions(fresh, out, ["booking_date"])
+
+    return _start(read_change_feed(spark, landing, "payments"), checkpoint, refresh, available_now)
+
+
+def claim_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+    """First claims of one micro-batch on slots that nobody has claimed before it."""
+    claims = batch.dropna(subset=SLOT)
+    earlier = read_slots(claims, out, CLAIM, batch_id).select(*SLOT)
+    first = slot_first_claim(claims).join(earlier, SLOT, "left_anti")
+    write_slots(first, out, batch_id)
+
+
+def stream_first_claim(
+    claims: DataFrame, out: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
     """First claim per slot from a stream of (showtime_id, seat_id, request_id, requested_at).
 
-    Across micro-batches the earlier batch wins, inside one the earlier time, then id.
+    Across micro-batches the earlier batch wins, inside one the earlier time, then id. A slot
+    stays claimed for ever. Claims without a showtime or seat claim nothing.
     """
-    slim = claims.select(
-        "showtime_id", "seat_id", "request_id", F.col("requested_at").cast("timestamp")
-    ).dropna()
-    return (
-        slim.mapInPandas(_first_of_batch, CLAIM)
-        .withWatermark("requested_at", lateness)
-        .groupBy("showtime_id", "seat_id")
-        .applyInPandasWithState(
-            _claim_once, CLAIM, "request_id long", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    return _start(claims, checkpoint, lambda b, i: claim_batch(b, i, out), available_now)
 
 
 def admit_batch(
-    batch: DataFrame, batch_id: int, holds: DataFrame | None, out: str, group_limit: int = GROUP_LIMIT
+    batch: DataFrame, batch_id: int, holds: DataFrame | None, out: str, **known: DataFrame | None
 ) -> None:
     """Decide one micro-batch against all slots given away before it, and store the outcome.
 
@@ -148,24 +185,16 @@ def admit_batch(
     broken run of itself left behind and overwrites it.
     """
     spark = batch.sparkSession
-    slots_path, decisions_path = f"{out}/slots", f"{out}/decisions"
-    taken = None if holds is None else holds.select("showtime_id", "seat_id")
-    if batch_id > 0:
-        earlier = (
-            spark.read.schema("showtime_id long, seat_id long, batch_id long")
-            .option("ignoreMissingFiles", True)
-            .parquet(slots_path)
-            .filter(F.col("batch_id") < batch_id)
-            .select("showtime_id", "seat_id")
-        )
-        taken = earlier if taken is None else taken.unionByName(earlier)
-    verdicts = admit_bookings(batch, taken, group_limit)
-    verdicts.write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}")
-    stored = spark.read.parquet(f"{decisions_path}/batch_id={batch_id}").filter("accepted")
+    taken = read_slots(batch, f"{out}/slots", _SLOTS, batch_id)
+    if holds is not None:
+        shows = batch.select("showtime_id").distinct()
+        taken = taken.unionByName(holds.select(*SLOT).join(shows, "showtime_id", "left_semi"))
+    decided = f"{out}/decisions/batch_id={batch_id}"
+    admit_bookings(batch, taken, **known).write.mode("overwrite").parquet(decided)
+    stored = spark.read.parquet(decided).filter("accepted")
     won = batch.join(stored.select("request_id"), "request_id", "left_semi")
-    won.select("showtime_id", F.explode("seats.id").alias("seat_id")).write.mode("overwrite").parquet(
-        f"{slots_path}/batch_id={batch_id}"
-    )
+    given = won.select("showtime_id", F.explode("seats.id").alias("seat_id")).dropna()
+    write_slots(given, f"{out}/slots", batch_id)
 
 
 def stream_admit_bookings(
@@ -174,55 +203,58 @@ def stream_admit_bookings(
     checkpoint: str,
     holds: DataFrame | None = None,
     available_now: bool = False,
-    group_limit: int = GROUP_LIMIT,
+    **known: DataFrame | None,
 ) -> StreamingQuery:
     """Admission over a request stream. The slots given away are the durable state; arrival
-    decides between micro-batches, time and id inside one."""
-    writer = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: admit_batch(batch, batch_id, holds, out, group_limit)
+    decides between micro-batches, time and id inside one. ``known`` are the showtimes and seats
+    that requests are held against."""
+    return _start(
+        requests, checkpoint, lambda b, i: admit_batch(b, i, holds, out, **known), available_now
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-RELEASED = "showtime_id long, seat_id long, released_at timestamp"
-
-
-def _expire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    expires = state.get[0] if state.exists else None
-    settled = False
-    if not state.hasTimedOut:
-        for batch in batches:
-            settled = settled or bool((batch["status"] != "HELD").any())
-            held = batch.loc[batch["status"] == "HELD", "expires_ms"]
-            if len(held):
-                expires = max(int(held.max()), expires or 0)
-    if settled or expires is None:
-        if state.exists:
-            state.remove()
-    elif state.hasTimedOut or expires <= state.getCurrentWatermarkMs():
-        if state.exists:
-            state.remove()
-        released = pd.to_datetime([expires], unit="ms")
-        yield pd.DataFrame({"showtime_id": [key[0]], "seat_id": [key[1]], "released_at": released})
-    else:
-        state.update((expires,))
-        state.setTimeoutTimestamp(expires)
-
-
-def stream_hold_expiry(holds: DataFrame, lateness: str = "0 seconds") -> DataFrame:
-    """Seats released because their short hold ran out, from a stream of hold rows.
+def expire_batch(batch: DataFrame, batch_id: int, out: str, as_of: datetime) -> None:
+    """Release the seats whose short holds have run out by ``as_of``.
 
-    A hold counts from ``HOLD_MINUTES`` before its expiry; a booked or confirmed row for the
-    slot ends the wait without a release, a renewed hold prolongs it.
+    ``batch`` are new hold rows. Open holds are kept as one snapshot per batch, no larger than
+    the holds that still run; slots that are sold, and releases, are kept for ever and read by the
+    showtimes at hand. A hold that is sold, in this batch or before, is never released; a renewed
+    hold runs until its latest expiry; the same expiry is released once.
     """
-    expires = F.col("hold_expires_at").cast("timestamp")
-    events = holds.select(
-        "showtime_id",
-        "seat_id",
-        "status",
-        F.unix_millis(expires).alias("expires_ms"),
-        (expires - F.expr(f"INTERVAL {HOLD_MINUTES} MINUTES")).alias("held_at"),
-    ).withWatermark("held_at", lateness)
-    return events.groupBy("showtime_id", "seat_id").applyInPandasWithState(
-        _expire, RELEASED, "expires_ms long", "append", GroupStateTimeout.EventTimeTimeout
+    spark = batch.sparkSession
+    rows = batch.dropna(subset=SLOT)
+    write_slots(rows.filter("status <> 'HELD'").select(*SLOT).distinct(), f"{out}/settled", batch_id)
+    schema = "showtime_id long, seat_id long, expires timestamp_ntz"
+    held = rows.filter("status = 'HELD'").select(*SLOT, F.col("hold_expires_at").alias("expires"))
+    if batch_id > 0:
+        held = held.unionByName(spark.read.schema(schema).parquet(f"{out}/open/batch_id={batch_id - 1}"))
+    held = held.dropna().groupBy(*SLOT).agg(F.max("expires").alias("expires")).persist()
+    settled = read_slots(held, f"{out}/settled", _SLOTS, batch_id + 1)
+    released = read_slots(held, f"{out}/released", RELEASED, batch_id)
+    done = released.groupBy(*SLOT).agg(F.max("released_at").alias("released_at"))
+    waiting = (
+        held.join(settled, SLOT, "left_anti")
+        .join(done, SLOT, "left")
+        .filter(F.col("released_at").isNull() | (F.col("released_at") < F.col("expires")))
+        .drop("released_at")
     )
+    over = F.col("expires") <= ntz(as_of)
+    write_slots(waiting.filter(over).withColumnRenamed("expires", "released_at"), f"{out}/released", batch_id)
+    still = waiting.filter(~over).hint("rebalance")
+    still.write.mode("overwrite").parquet(f"{out}/open/batch_id={batch_id}")
+    held.unpersist()
+
+
+def stream_hold_expiry(
+    holds: DataFrame,
+    out: str,
+    checkpoint: str,
+    clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None),
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Seats released because their short hold ran out, from a stream of hold rows.
+
+    Each micro-batch asks ``clock`` once for the time it stands for. The releases are the table
+    ``released`` in ``out``.
+    """
+    return _start(holds, checkpoint, lambda b, i: expire_batch(b, i, out, clock()), available_now)

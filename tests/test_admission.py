@@ -6,14 +6,14 @@ from decimal import Decimal
 
 import pytest
 from cinema import BASE, NOON, hold, money
-from conftest import SMALL, rows
+from conftest import rows
 
 from marquee.operators import admission
 from marquee.operators.customers import upsert_customers
 from marquee.sources.schemas import BOOKING_REQUESTS, OPERATIONAL
-from marquee.sources.trade_tables import TradeTables
 
 HOLDS = OPERATIONAL["reservation_holds"]
+DECIDED = ["request_id", "accepted", "rejected_seat"]
 
 
 def request(number, seats, showtime=10, minute=0, name="Zoe", email="zoe@x.com"):
@@ -57,13 +57,13 @@ def random_requests(seed, n=400, showtimes=4, seats=25, hot=0.4):
 def test_first_come_all_or_nothing(spark):
     wanted = [(1, [1, 2]), (2, [2, 3]), (3, [3]), (4, [4, 4])]
     got = admission.admit_bookings(frame(spark, [request(n, s, minute=n) for n, s in wanted]))
-    assert rows(got) == [(1, True, None), (2, False, 2), (3, True, None), (4, False, 4)]
+    assert rows(got, *DECIDED) == [(1, True, None), (2, False, 2), (3, True, None), (4, False, 4)]
 
 
 def test_loser_frees_its_seats_only_for_later_requests(spark):
     wanted = [(1, [1]), (2, [1, 2]), (3, [2, 3]), (4, [3, 1]), (5, [9, 2])]
     got = admission.admit_bookings(frame(spark, [request(n, s, minute=n) for n, s in wanted]))
-    assert rows(got) == [(1, True, None), (2, False, 1), (3, True, None), (4, False, 3), (5, False, 2)]
+    assert rows(got, *DECIDED) == [(1, True, None), (2, False, 1), (3, True, None), (4, False, 3), (5, False, 2)]
 
 
 def test_nulls_never_conflict(spark):
@@ -77,19 +77,16 @@ def test_nulls_never_conflict(spark):
         request(7, [5, 5], None),
     ]
     expected = one_by_one(odd)
-    assert rows(admission.admit_bookings(frame(spark, odd))) == expected
+    assert rows(admission.admit_bookings(frame(spark, odd)), *DECIDED) == expected
     assert dict((r, a) for r, a, _ in expected) == {1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: True}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("group_limit", [0, 30, 10_000])
-def test_matches_the_rule_applied_one_by_one(spark, seed, group_limit):
+def test_matches_the_rule_applied_one_by_one(spark, seed):
     requests = random_requests(seed)
     holds = [hold(n, s, seat) for n, (s, seat) in enumerate([(1, 3), (1, 3), (2, 0), (None, 4), (3, None)])]
     got = rows(
-        admission.admit_bookings(
-            frame(spark, requests), spark.createDataFrame(holds, HOLDS), group_limit=group_limit
-        )
+        admission.admit_bookings(frame(spark, requests), spark.createDataFrame(holds, HOLDS)), *DECIDED
     )
     assert got == one_by_one(requests, holds)
     seat_of = {r[0]: [(r[2], s) for s, _ in r[3]] for r in requests}
@@ -100,7 +97,7 @@ def test_matches_the_rule_applied_one_by_one(spark, seed, group_limit):
 def test_chain_of_overlaps_in_one_hot_showtime(spark):
     """Every request overlaps the one before it: the longest chain of rounds."""
     chain = [request(n, [n, n + 1], minute=n) for n in range(12)]
-    got = rows(admission.admit_bookings(frame(spark, chain), group_limit=0))
+    got = rows(admission.admit_bookings(frame(spark, chain)), *DECIDED)
     assert got == one_by_one(chain)
 
 
@@ -110,24 +107,54 @@ def test_split_partitions_do_not_split_a_showtime(spark, eager_skew_splitting):
     held = spark.createDataFrame(holds, HOLDS)
     wanted = frame(spark, requests).repartition(8).checkpoint()
     expected = one_by_one(requests, holds)
-    for limit in (1000, 100_000):
-        assert rows(admission.admit_bookings(wanted, held, limit)) == expected
+    assert rows(admission.admit_bookings(wanted, held), *DECIDED) == expected
 
 
-def test_rounds_and_sequence_agree_on_the_trade_tables(spark):
-    requests = TradeTables(spark, SMALL).booking_requests()
-    by_rounds = rows(admission.admit_bookings(requests, group_limit=5))
-    assert by_rounds == rows(admission.admit_bookings(requests))
+def test_invalid_requests_take_nothing(spark, make_model):
+    m = make_model(**BASE)
+    odd = [
+        request(1, [101], email=None),
+        request(2, [101], 99),
+        request(3, [101, 9999]),
+        (4, NOON, 10, [(101, money(1))], "Zoe", "z@x.com", "card", None),
+        request(5, None),
+        request(6, [101, None], minute=1),
+        request(7, [101], minute=2),
+        request(8, [102], None),
+        request(9, [], 99),
+    ]
+    got = admission.admit_bookings(frame(spark, odd), None, m["showtimes"], m["seats"])
+    assert rows(got) == [
+        (1, False, None, "NO_EMAIL"),
+        (2, False, None, "UNKNOWN_SHOWTIME"),
+        (3, False, None, "UNKNOWN_SEAT"),
+        (4, False, None, "NO_AMOUNT"),
+        (5, False, None, "NO_SEATS"),
+        (6, True, None, None),
+        (7, False, 101, "SEAT_TAKEN"),
+        (8, True, None, None),
+        (9, True, None, None),
+    ]
+
+
+def test_one_payment_for_a_doubled_email(spark, make_model):
+    m = make_model(**{**BASE, "customers": [(5, "zoe@x.com", "Z"), (3, "zoe@x.com", "Zoe")]})
+    wanted = frame(spark, [request(1, [101])])
+    made = admission.booking_outputs(wanted, admission.admit_bookings(wanted), m)
+    assert rows(made["payments"], "request_id", "customer_id") == [(1, 3)]
 
 
 def test_expired_hold_blocks_unless_reuse_is_asked_for(spark):
     holds = spark.createDataFrame([hold(1, 10, 1, status="HELD", expires=NOON - timedelta(minutes=1))], HOLDS)
     wanted = frame(spark, [request(1, [1])])
-    assert rows(admission.hold_seats(wanted, holds, NOON)["decisions"]) == [(1, False, 1)]
-    reused = admission.hold_seats(wanted, holds, NOON, reuse_expired=True)
-    assert rows(reused["decisions"]) == [(1, True, None)]
+    assert rows(admission.hold_seats(wanted, holds, NOON)["decisions"]) == [(1, False, 1, "SEAT_TAKEN")]
+    people = spark.createDataFrame([(9, "zoe@x.com", "Zoe"), (4, "zoe@x.com", "Z")], OPERATIONAL["customers"])
+    late = frame(spark, [request(1, [1], minute=3)])
+    reused = admission.hold_seats(late, holds, NOON, reuse_expired=True, customers=people)
+    assert rows(reused["decisions"]) == [(1, True, None, None)]
     row = reused["reservation_holds"].first()
-    assert (row["status"], row["hold_expires_at"]) == ("HELD", NOON + timedelta(minutes=5))
+    assert (row["status"], row["hold_expires_at"]) == ("HELD", NOON + timedelta(minutes=8))
+    assert row["customer_id"] == 4
 
 
 def test_known_email_keeps_its_name_and_new_email_is_added_once(spark, make_model):

@@ -9,6 +9,8 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from marquee.oracles import ORACLES
+from marquee.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -36,15 +38,16 @@ def table(columns, records):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert table(df.columns, df.collect()) == table(columns, result.fetchall())

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-import pytest
 from cinema import BASE, NOON, at, hold, money
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from test_admission import frame, one_by_one, random_requests
 
-from marquee.functions.numeric import money_sum
-from marquee.plans.fact import fact_bookings
-from marquee.sources.schemas import OPERATIONAL
+from marquee.operators import seating
+from marquee.plans.fact import FACT_COLUMNS, fact_bookings
+from marquee.sources.schemas import CHANGE, OPERATIONAL
 from marquee.sources.snapshots import load_booking_model
 from marquee.sources.trade_tables import TradeTables
 from marquee.streaming import jobs
-from marquee.streaming.feed import PUBLISHED, read_change_feed, start_parquet
+from marquee.streaming.feed import PUBLISHED, read_change_feed
 
 
 def land(landing, **tables):
@@ -52,50 +52,64 @@ def test_fact_follows_the_feed(spark, make_model, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         drain(jobs.stream_fact_bookings(spark, landing, fact, check, available_now=True))
     batch = fact_bookings(load_booking_model(spark, landing))
-    columns = [c for c in batch.columns if c != "id"]
-    assert rows(spark.read.parquet(fact), *columns) == rows(batch, *columns)
+    assert rows(spark.read.parquet(fact).select(*batch.columns)) == rows(batch)
 
 
-def test_daily_revenue_matches_batch_for_closed_days(spark, tmp_path):
+def test_daily_revenue_counts_late_payments(spark, tmp_path):
     landing, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     payments = TradeTables(spark, SMALL).payments().orderBy("payment_date").cache()
     for month in ("1998-01-01", "1999-06-01"):
         land(landing, payments=payments.filter(F.col("payment_date") < month))
         payments = payments.filter(F.col("payment_date") >= month)
     late = spark.createDataFrame([(-1, 1, money(5), at("1995-01-01 00:00:00"), "CASH")], OPERATIONAL["payments"])
-    drained = read_change_feed(spark, landing, "payments", files_per_trigger=1)
-    drain(start_parquet(jobs.stream_daily_revenue(drained), out, check, available_now=True))
-    seen = spark.read.parquet(f"{landing}/payments")
-    land(landing, payments=late)  # far beyond the watermark by now: dropped
-    drained = read_change_feed(spark, landing, "payments", files_per_trigger=1)
-    drain(start_parquet(jobs.stream_daily_revenue(drained), out, check, available_now=True))
-    newest = seen.agg(F.max("payment_date")).first()[0]
-    closed = (newest - timedelta(days=1)).date()
-    batch = (
-        seen.groupBy(F.to_date("payment_date").alias("booking_date"))
-        .agg(money_sum("amount").alias("daily_revenue"), F.count(F.lit(1)).alias("bookings"))
-        .filter(F.col("booking_date") < closed)
-    )
-    assert rows(spark.read.schema(batch.schema).parquet(out)) == rows(batch)
+    for more in (None, late):
+        if more is not None:
+            land(landing, payments=more)
+        drain(jobs.stream_daily_revenue(spark, landing, out, check, available_now=True))
+        batch = jobs.daily_revenue_of(spark.read.parquet(f"{landing}/payments"))
+        assert rows(spark.read.parquet(out).select(*batch.columns)) == rows(batch)
 
 
-def test_first_claim_once_per_slot(spark, tmp_path):
+CLAIMS = "showtime_id long, seat_id long, request_id long, requested_at timestamp"
+
+
+def claim_in_turn(spark, tmp_path, batches):
     landing, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
-    schema = "showtime_id long, seat_id long, request_id long, requested_at timestamp"
+    for batch in batches:
+        land(landing, claims=spark.createDataFrame(batch, CLAIMS))
+        stream = spark.readStream.schema(CLAIMS).parquet(f"{landing}/claims")
+        drain(jobs.stream_first_claim(stream, out, check, available_now=True))
+    return rows(spark.read.parquet(out), "showtime_id", "seat_id", "request_id")
+
+
+def test_first_claim_once_per_slot(spark, tmp_path):
     batches = [
         [(1, 1, 8, NOON), (1, 1, 3, NOON), (1, 2, 4, NOON + timedelta(minutes=1))],
         [(1, 1, 1, NOON - timedelta(hours=1)), (2, 1, 9, NOON), (2, 1, 2, NOON + timedelta(seconds=1))],
+        [(None, 1, 5, NOON), (1, None, 6, NOON)],
     ]
-    for batch in batches:
-        land(landing, claims=spark.createDataFrame(batch, schema))
-        stream = spark.readStream.schema(schema).parquet(f"{landing}/claims")
-        drain(start_parquet(jobs.stream_first_claim(stream), out, check, available_now=True))
-    got = rows(spark.read.schema(schema).parquet(out), "showtime_id", "seat_id", "request_id")
-    assert got == [(1, 1, 3), (1, 2, 4), (2, 1, 9)]
+    assert claim_in_turn(spark, tmp_path, batches) == [(1, 1, 3), (1, 2, 4), (2, 1, 9)]
 
 
-@pytest.mark.parametrize("group_limit", [20, 10_000])
-def test_admission_over_a_stream(spark, tmp_path, group_limit):
+def test_a_claim_holds_for_ever_and_a_late_one_counts(spark, tmp_path):
+    batches = [
+        [(1, 1, 1, NOON)],
+        [(2, 1, 2, NOON + timedelta(days=62))],
+        [(1, 1, 4, NOON + timedelta(days=63))],  # the slot was given 63 days ago
+        [(7, 7, 5, NOON - timedelta(days=90))],  # far behind, but nobody else wants it
+    ]
+    assert claim_in_turn(spark, tmp_path, batches) == [(1, 1, 1), (2, 1, 2), (7, 7, 5)]
+
+
+def test_a_replayed_claim_batch_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for number, batch in enumerate([[(1, 1, 1, NOON)], [(1, 1, 2, NOON), (1, 2, 3, NOON)]]):
+        jobs.claim_batch(spark.createDataFrame(batch, CLAIMS), number, out)
+    jobs.claim_batch(spark.createDataFrame([(1, 1, 2, NOON), (1, 2, 3, NOON)], CLAIMS), 1, out)
+    assert rows(spark.read.parquet(out), "seat_id", "request_id") == [(1, 1), (2, 3)]
+
+
+def test_admission_over_a_stream(spark, tmp_path):
     landing, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     requests = sorted(random_requests(4, n=90), key=lambda r: (r[1], r[0]))
     given = [hold(1, 1, 3)]
@@ -103,7 +117,7 @@ def test_admission_over_a_stream(spark, tmp_path, group_limit):
     for part in (requests[:30], requests[30:60], requests[60:]):
         land(landing, booking_requests=frame(spark, part))
         feed = read_change_feed(spark, landing, "booking_requests")
-        drain(jobs.stream_admit_bookings(feed, out, check, holds, True, group_limit))
+        drain(jobs.stream_admit_bookings(feed, out, check, holds, True))
     got = spark.read.parquet(f"{out}/decisions").select("request_id", "accepted", "rejected_seat")
     assert rows(got) == one_by_one(requests, given)
     batch = frame(spark, requests[60:])
@@ -111,22 +125,80 @@ def test_admission_over_a_stream(spark, tmp_path, group_limit):
     assert rows(spark.read.parquet(f"{out}/decisions").select(*got.columns)) == one_by_one(requests, given)
 
 
-def test_expired_holds_release_their_seat(spark, tmp_path):
+def expire(spark, tmp_path, batches):
+    """Releases as (seat, time) after batches of (minute of the clock, hold rows)."""
     landing, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
-
-    def held(number, seat, status, minutes):
-        return hold(number, 10, seat, status=status, expires=NOON + timedelta(minutes=minutes))
-
-    batches = [
-        [held(1, 1, "HELD", 5), held(2, 2, "HELD", 5), held(3, 3, "HELD", 5)],
-        [held(4, 2, "BOOKED", 6), held(5, 3, "HELD", 30)],
-        [held(6, 9, "HELD", 60)],
-        [held(7, 9, "HELD", 61)],
-    ]
-    for batch in batches:
+    everything = []
+    for minute, batch in batches:
+        now = NOON + timedelta(minutes=minute)
+        everything += batch
         land(landing, reservation_holds=spark.createDataFrame(batch, OPERATIONAL["reservation_holds"]))
         feed = read_change_feed(spark, landing, "reservation_holds")
-        drain(start_parquet(jobs.stream_hold_expiry(feed), out, check, available_now=True))
-    released = spark.read.schema(jobs.RELEASED).parquet(out)
-    got = rows(released.select("seat_id", F.date_format("released_at", "HH:mm")))
+        drain(jobs.stream_hold_expiry(feed, out, check, lambda now=now: now, available_now=True))
+    released = spark.read.schema(jobs.RELEASED).parquet(f"{out}/released")
+    return rows(released.select("seat_id", F.date_format("released_at", "HH:mm"))), everything, now
+
+
+def held(number, seat, status, minutes):
+    return hold(number, 10, seat, status=status, expires=NOON + timedelta(minutes=minutes))
+
+
+def test_expired_holds_release_their_seat(spark, tmp_path):
+    got, everything, now = expire(
+        spark,
+        tmp_path,
+        [
+            (0, [held(1, 1, "HELD", 5), held(2, 2, "HELD", 5), held(3, 3, "HELD", 5)]),
+            (4, [held(4, 2, "BOOKED", 6), held(5, 3, "HELD", 30)]),
+            (20, [held(6, 9, "HELD", 60)]),
+            (31, [held(7, 9, "HELD", 61), held(1, 1, "HELD", 5)]),  # a row delivered twice
+        ],
+    )
     assert got == [(1, "12:05"), (3, "12:30")]
+    holds = spark.createDataFrame(everything, OPERATIONAL["reservation_holds"])
+    batch = seating.released_holds(holds, now)
+    assert rows(batch.select("seat_id", F.date_format("released_at", "HH:mm"))) == got
+
+
+def test_a_confirmed_hold_is_never_released(spark, tmp_path):
+    """Confirmed rows expire an hour later, and must neither hasten nor lose a release."""
+    got, everything, now = expire(
+        spark,
+        tmp_path,
+        [
+            (0, [held(1, 1, "CONFIRMED", 60)]),
+            (2, [held(2, 2, "HELD", 5), held(3, 3, "HELD", 6)]),
+            (3, [held(4, 2, "CONFIRMED", 62)]),
+            (4, [held(5, 4, "HELD", 7)]),
+            (8, [held(6, 5, "HELD", 12)]),
+            (70, [held(7, 2, "HELD", 5)]),  # a hold that arrives after it was confirmed
+        ],
+    )
+    assert got == [(3, "12:06"), (4, "12:07"), (5, "12:12")]
+    holds = spark.createDataFrame(everything, OPERATIONAL["reservation_holds"])
+    assert rows(seating.released_holds(holds, now), "seat_id") == [(3,), (4,), (5,)]
+
+
+def test_changes_and_deletions_of_the_feed(spark, make_model, tmp_path):
+    """The latest version of a payment counts, in the month it is in; a deleted one is gone."""
+    landing, fact, check = (str(tmp_path / n) for n in ("in", "fact", "check"))
+    m = make_model(
+        **BASE,
+        payments=[(n, 1, money(100 * n), at(f"2025-1{n}-01 10:00:00"), "CASH") for n in (0, 1, 2)],
+        reservation_holds=[hold(n, 10, 100 + n) for n in (1, 2, 3)],
+        tickets=[(n + 1, n + 1, n, money(1)) for n in (0, 1, 2)],
+    )
+    land(landing, **{n: m[n] for n in OPERATIONAL})
+    drain(jobs.stream_fact_bookings(spark, landing, fact, check, available_now=True))
+    assert spark.read.parquet(fact).count() == 3
+    schema = T.StructType([*OPERATIONAL["payments"].fields, *CHANGE.fields])
+    moved = [
+        (1, 1, money(7), at("2025-10-05 09:00:00"), "CASH", "UPDATE", 2),
+        (1, 1, money(5), at("2025-12-05 09:00:00"), "CASH", "UPDATE", 1),
+        (2, 1, money(200), at("2025-12-01 10:00:00"), "CASH", "DELETE", 3),
+    ]
+    land(landing, payments=spark.createDataFrame(moved, schema))
+    drain(jobs.stream_fact_bookings(spark, landing, fact, check, available_now=True))
+    got = rows(spark.read.parquet(fact), "total_revenue", "year", "month_num")
+    assert got == [(money(0), 2025, 10), (money(7), 2025, 10)]
+    assert rows(spark.read.parquet(fact).select(*FACT_COLUMNS)) == rows(fact_bookings(load_booking_model(spark, landing)))
