@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .quantiles import exact_quantiles
 
 OVERALL = "TOTAL"
@@ -17,27 +18,24 @@ MIN_THROUGHPUT, MAX_ERROR_RATE = 100.0, 0.01
 def latency_summary(log: DataFrame) -> DataFrame:
     """Per label and overall: samples, latency, percentiles, error rate, throughput.
 
-    The log is reduced to one row per (label, elapsed) first; everything else, the overall row
-    included, works on those counts. Throughput is samples over the time from the first start
-    to the last end.
+    The log is read once and reduced to one row per (label, elapsed), which is stored; everything
+    else, the overall row included, works on those counts. Throughput is samples over the time
+    from the first start to the last end.
     """
-    counts = log.groupBy("label", "elapsed_ms").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~F.col("success")).alias("errors"),
-        F.min("started_ms").alias("first_start"),
-        F.max(F.col("started_ms") + F.col("elapsed_ms")).alias("last_end"),
-    )
-    overall = (
-        counts.groupBy("elapsed_ms")
+    ensure_checkpoint_dir(log.sparkSession)
+    counts = (
+        log.groupBy("label", "elapsed_ms")
         .agg(
-            F.sum("n").alias("n"),
-            F.sum("errors").alias("errors"),
-            F.min("first_start").alias("first_start"),
-            F.max("last_end").alias("last_end"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(~F.col("success")).alias("errors"),
+            F.min("started_ms").alias("first_start"),
+            F.max(F.col("started_ms") + F.col("elapsed_ms")).alias("last_end"),
         )
-        .withColumn("label", F.lit(OVERALL))
+        .checkpoint()
     )
-    both = counts.unionByName(overall)
+    # every row counts for its label and for the overall one
+    labels = F.explode(F.array("label", F.lit(OVERALL)))
+    both = counts.select(labels.alias("label"), *[c for c in counts.columns if c != "label"])
     seconds = (F.max("last_end") - F.min("first_start")) / F.lit(1000.0)
     samples = F.sum("n")
     basics = both.groupBy("label").agg(
@@ -49,7 +47,8 @@ def latency_summary(log: DataFrame) -> DataFrame:
         F.try_divide(samples.cast("double"), seconds).alias("throughput_per_s"),
     )
     tails = exact_quantiles(both, "label", "elapsed_ms", "n", {"p90_ms": 0.9, "p95_ms": 0.95})
-    return basics.join(tails, "label", "left").select(
+    tails = tails.withColumnRenamed("label", "of")
+    return basics.join(tails, F.col("label").eqNullSafe(F.col("of")), "left").select(
         "label",
         "samples",
         F.round("avg_ms", 6).alias("avg_ms"),

@@ -1,21 +1,14 @@
-"""Exact interpolated percentiles that no single task has to compute alone."""
+"""Exact interpolated percentiles by narrowing bins, without sorting the values."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS_PER_OCTAVE = 1024
-
+from ..session import ensure_checkpoint_dir
 
-def _bin(value: Column) -> Column:
-    """Bin of a number such that bins are ordered like the numbers in them: sign first, then
-    a fine logarithmic scale. Data-independent, so equal values always meet."""
-    scale = F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE)
-    sign = F.signum(value).cast("int")
-    return F.struct(sign.alias("sign"), F.when(value != 0, sign * scale).otherwise(0).alias("step"))
+# Bins that a range of values is cut into in each step.
+BINS = 4096
 
 
 def exact_quantiles(
@@ -23,48 +16,69 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles per group from (group, value, weight) rows.
 
-    First the histogram finds the few bins that hold the wanted ranks, then only the values
-    in those bins are ranked. Windows run over the bins of a group and over the values of one
-    bin, never over all values of a group.
+    For every wanted rank, the range that holds it is cut into BINS bins of equal width; a count
+    per bin shows which one holds the rank, and that bin's own least and greatest value are the
+    next range. A step narrows a range BINS times at least, so a handful of steps ends at single
+    values whatever the distribution. Rows meet only in counts, which combine before the shuffle,
+    and the one window runs over the bins of one rank. Store ``counts`` if it is costly: each
+    step reads it, though only the first needs all of it.
     """
-    binned = counts.withColumn("bin", _bin(F.col(value)))
-    by_bin = Window.partitionBy(group).orderBy("bin")
-    bins = (
-        binned.groupBy(group, "bin")
-        .agg(F.sum(weight).alias("n"))
-        .withColumn("end", F.sum("n").over(by_bin))
-        .withColumn("start", F.col("end") - F.col("n"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(group)))
+    ensure_checkpoint_dir(counts.sparkSession)
+    data = counts.select(
+        F.col(group).alias("group"), F.col(value).alias("value"), F.col(weight).alias("weight")
+    ).filter(F.col("value").isNotNull())
+    # Null is a group like others, so that groups are told apart by a struct around them.
+    data = data.withColumn("group", F.struct("group"))
+    exact = [F.lit(p) * (F.col("total") - 1) for p in quantiles.values()]
+    positions = F.array(*[x for r in exact for x in (F.floor(r), F.ceil(r))])
+    ranges = (
+        data.groupBy("group")
+        .agg(F.sum("weight").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .select("group", "total", "low", "high", F.posexplode(positions).alias("which", "position"))
+        .withColumn("before", F.lit(0).cast("bigint"))
+        .checkpoint()
     )
-
-    def rank(p: float) -> Column:
-        return F.lit(p) * (F.col("total") - 1)
-
-    def covers(position: Column) -> Column:
-        return (F.col("start") <= position) & (position < F.col("end"))
-
-    wanted = F.lit(False)
-    for p in quantiles.values():
-        wanted = wanted | covers(F.floor(rank(p))) | covers(F.ceil(rank(p)))
-    hits = bins.filter(wanted).select(group, "bin", F.col("start").alias("bin_start"), "total")
-    by_value = Window.partitionBy(group, "bin").orderBy(value)
-    placed = (
-        binned.join(hits, [group, "bin"])
-        .withColumn("end", F.col("bin_start") + F.sum(weight).over(by_value))
-        .withColumn("start", F.col("end") - F.col(weight))
+    done = []
+    while True:
+        done.append(ranges.filter("low = high"))
+        ranges = ranges.filter("low < high")
+        if ranges.isEmpty():
+            break
+        ranges = _narrow(data, ranges).checkpoint()
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+
+    values = found.groupBy("group").agg(
+        F.first("total").alias("total"),
+        F.map_from_entries(F.collect_list(F.struct("which", "low"))).alias("at"),  # one per rank
     )
 
-    def at(position: Column) -> Column:
-        return F.max(F.when(covers(position), F.col(value)))
+    def between(i: int, p: float) -> Column:
+        low, high = F.col("at")[2 * i], F.col("at")[2 * i + 1]
+        rank = F.lit(p) * (F.col("total") - 1)
+        return low + (high - low) * (rank - F.floor(rank))
 
-    found = placed.groupBy(group).agg(
-        F.first("total").alias("total"),
-        *[at(F.floor(rank(p))).alias(f"{name}_lo") for name, p in quantiles.items()],
-        *[at(F.ceil(rank(p))).alias(f"{name}_hi") for name, p in quantiles.items()],
+    return values.select(
+        F.col("group.group").alias(group),
+        *[between(i, p).alias(name) for i, (name, p) in enumerate(quantiles.items())],
     )
 
-    def between(name: str, p: float) -> Column:
-        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        return low + (high - low) * (rank(p) - F.floor(rank(p)))
 
-    return found.select(group, *[between(name, p).alias(name) for name, p in quantiles.items()])
+def _narrow(data: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The bins that hold the positions of ``ranges``, as ranges of their own."""
+    wide = F.col("high") / 2 - F.col("low") / 2  # half the width, which cannot overflow
+    place = (F.col("value") / 2 - F.col("low") / 2) / wide * BINS
+    bin_ = F.least(F.floor(place), F.lit(BINS - 1).cast("bigint"))
+    bins = (
+        data.join(ranges, "group")
+        .filter((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
+        .groupBy("group", "which", "total", "position", "before", bin_.alias("bin"))
+        .agg(F.sum("weight").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    in_order = Window.partitionBy("group", "which").orderBy("bin")
+    ends = bins.withColumn("end", F.col("before") + F.sum("n").over(in_order))
+    start = F.col("end") - F.col("n")
+    return ends.filter((start <= F.col("position")) & (F.col("position") < F.col("end"))).select(
+        "group", "total", "low", "high", "which", "position", start.alias("before")
+    )

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_below, hash32, uniform
+from ..functions.hashing import HASH_RANGE, draw_below, hash32, uniform
 from ..sources.snapshots import Model
 from .seating import free_seats, halls_of_showtimes
 
 NUMBERING_BUCKETS = 64
+# Ids whose ranks one task works out, and cells of the guide table.
+RANK_PART = 1 << 16
+CELLS = 1 << 14
 
 
 def pick_available_seats(m: Model, k: int, seed: int = 1) -> DataFrame:
@@ -31,13 +32,7 @@ def pick_available_seats(m: Model, k: int, seed: int = 1) -> DataFrame:
     )
 
 
-def band_reach(movies: DataFrame) -> int:
-    """How many of the top movies can win at all; see ``popularity_bands``."""
-    top = movies.agg(F.max("id")).first()[0] or 0
-    return math.ceil(math.sqrt(4 * 33 * (1 + top / 2))) + 2
-
-
-def popularity_bands(movies: DataFrame, reach: int) -> DataFrame:
+def popularity_bands(movies: DataFrame) -> DataFrame:
     """Distribution of the winner of ``random() * (1 + id / 2)`` over all movies.
 
     With weights w, the highest score is at most x with probability F(x) = prod min(1, x / w).
@@ -45,45 +40,58 @@ def popularity_bands(movies: DataFrame, reach: int) -> DataFrame:
     So band r (movies ranked by weight from 0) covers the draws between F(w[r+1]) and F(w[r])
     and has r + 1 equally likely winners.
 
-    Ids are unique whole numbers, which bounds F(w[r]) by exp(-ln(2) r^2 / (4 w[0])): bands
-    past r = sqrt(4 * 33 * w[0]) lie below the smallest possible draw of 2^-33 and can never
-    be hit, so only that many top movies are needed.
+    Ranks and running sums are taken in parts of RANK_PART ids and added up over the parts, so
+    that no task sees all movies. Bands that end below the smallest possible draw hold none and
+    are left out. Movies without an id cannot win.
     """
-    by_weight = Window.orderBy(F.desc("movie_id"))
-    weight = F.lit(1.0) + F.col("movie_id") / F.lit(2.0)
-    ranked = (
+    weighed = (
         movies.select(F.col("id").alias("movie_id"))
-        .orderBy(F.desc("movie_id"))
-        .limit(reach)
-        .withColumn("rank", F.row_number().over(by_weight) - 1)
-        .withColumn("log_w", F.log(weight))
+        .dropna()
+        .withColumn("part", F.floor(F.col("movie_id") / RANK_PART))
+        .withColumn("log_w", F.log(F.lit(1.0) + F.col("movie_id") / F.lit(2.0)))
+    )
+    by_part = Window.orderBy(F.desc("part"))
+    above = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.exp(F.col("ranks_above") * F.col("top") - F.col("logs_above"))
+    parts = (
+        weighed.groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("log_w").alias("logs"), F.max("log_w").alias("top"))
+        .withColumn("ranks_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+        .withColumn("logs_above", F.coalesce(F.sum("logs").over(above), F.lit(0.0)))
+        .withColumn("next_edge", F.lead(edge).over(by_part))  # where the part's last band ends
+        .select("part", "ranks_above", "logs_above", "next_edge")
+    )
+    within = Window.partitionBy("part").orderBy(F.desc("movie_id"))
+    before = F.coalesce(F.sum("log_w").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = (
+        weighed.join(parts, "part")
+        .withColumn("rank", F.col("ranks_above") + F.row_number().over(within) - 1)
+        .withColumn("upper", F.exp(F.col("rank") * F.col("log_w") - (F.col("logs_above") + before)))
+    )
+    lower = F.coalesce(F.lead("upper").over(within), F.col("next_edge"), F.lit(0.0))
+    return ranked.select("movie_id", "rank", lower.alias("lower"), "upper").filter(
+        F.col("upper") > 0.5 / HASH_RANGE
     )
-    above = F.sum("log_w").over(by_weight) - F.col("log_w")
-    edges = ranked.withColumn("upper", F.exp(F.col("rank") * F.col("log_w") - above))
-    lower = F.coalesce(F.lead("upper").over(by_weight), F.lit(0.0))
-    return edges.select("movie_id", "rank", lower.alias("lower"), "upper")
 
 
 def weighted_pick(requests: DataFrame, movies: DataFrame, seed: int = 1) -> DataFrame:
     """One movie per request, favouring high ids as the weighted random order does.
 
-    The draw is looked up in a guide table: [0, 1) is cut into as many cells as there are
-    bands and a band is listed under each cell it touches. Requests join on their cell, so
-    the candidates per request stay at about two on average whatever the number of movies.
+    The draw is looked up in a guide table: [0, 1) is cut into CELLS cells and a band is listed
+    under each cell it touches. Requests join on their cell; the number of bands grows with the
+    root of the highest id, so the candidates per request stay few on average.
     """
-    reach = band_reach(movies)
-    bands = popularity_bands(movies, reach)
-    cells = max(1024, reach)
-    first = F.floor(F.col("lower") * cells)
-    last = F.least(F.floor(F.col("upper") * cells), F.lit(cells - 1).cast("bigint"))
+    bands = popularity_bands(movies)
+    first = F.floor(F.col("lower") * CELLS)
+    last = F.least(F.floor(F.col("upper") * CELLS), F.lit(CELLS - 1).cast("bigint"))
     guide = bands.select("rank", "lower", "upper", F.explode(F.sequence(first, last)).alias("cell"))
     drawn = requests.select(
         "request_id", uniform("request_id", F.lit(seed), F.lit("band")).alias("u")
-    ).withColumn("cell", F.floor(F.col("u") * cells))
+    ).withColumn("cell", F.floor(F.col("u") * CELLS))
     banded = drawn.join(guide, "cell").filter("u > lower AND u <= upper")
     winner = draw_below(F.col("rank") + 1, "request_id", F.lit(seed), F.lit("winner"))
     return (
-        banded.select("request_id", winner.cast("int").alias("rank"))
+        banded.select("request_id", winner.alias("rank"))
         .join(bands.select("rank", "movie_id"), "rank")
         .select("request_id", "movie_id")
     )

@@ -607,6 +607,10 @@ SQL = {
         FROM events GROUP BY 1 ORDER BY total_ms DESC, label LIMIT 10""",
 }
 
+# The same results, by way of the published fact.
+SQL["load_fact"] = SQL["etl_summary"]
+SQL["daily_revenue_published"] = SQL["daily_revenue"]
+
 ORACLES = {
     name: MODEL + ("".join(sql) if isinstance(sql, tuple) else sql) for name, sql in SQL.items()
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -22,7 +23,7 @@ from .operators import (
     sampling,
     seating,
 )
-from .plans import dimensions, fact, reconciliation
+from .plans import dimensions, fact, load, reconciliation
 from .session import configure, ensure_checkpoint_dir
 from .sinks.json_rows import to_json_rows
 from .sinks.tables import append_ignore_duplicates, append_with_defaults
@@ -71,6 +72,24 @@ def fact_bookings(t: TradeTables) -> DataFrame:
     return _fact(t).drop("id")
 
 
+def _published(t: TradeTables) -> tuple[str, DataFrame]:
+    """The fact published in the shared folder, and the summary of its load."""
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/fact-{uuid.uuid4().hex}"
+    return path, load.load_fact(t.spark, t.booking_model(), path)
+
+
+@_query
+def load_fact(t: TradeTables) -> DataFrame:
+    """Summary of the whole load job."""
+    return _published(t)[1]
+
+
+@_query
+def daily_revenue_published(t: TradeTables) -> DataFrame:
+    """Revenue of the last days from the months of the published fact that hold them."""
+    return load.recent_revenue(t.spark, _published(t)[0], AS_OF)
+
+
 @_query
 def fact_rebuilt_by_month(t: TradeTables) -> DataFrame:
     """Rows, ids and ids in common with the whole fact, per month of a fact built in two parts."""

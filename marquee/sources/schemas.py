@@ -168,6 +168,7 @@ REQUEST_LOG = _table(
     ("threadName", STR),
     ("dataType", STR),
     ("success", BOOL),
+    ("failureMessage", STR),
     ("bytes", LONG),
     ("sentBytes", LONG),
     ("grpThreads", INT),
@@ -178,6 +179,9 @@ REQUEST_LOG = _table(
     ("Connect", LONG),
 )
 
+# Columns every report over a log needs.
+REQUEST_LOG_NEEDED = ["timeStamp", "elapsed", "label", "success"]
+
 PRIMARY_KEYS = {name: ["id"] for name in OPERATIONAL}
 
 UNIQUE_KEYS = [

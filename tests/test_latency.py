@@ -9,7 +9,7 @@ from marquee.operators import latency
 from marquee.operators.quantiles import exact_quantiles
 
 
-@pytest.mark.parametrize("kind", ["spread", "ties", "signs", "single"])
+@pytest.mark.parametrize("kind", ["spread", "ties", "signs", "single", "close", "wide"])
 def test_quantiles_match_the_sorted_list(spark, kind):
     rng = random.Random(9)
     values = {
@@ -17,6 +17,8 @@ def test_quantiles_match_the_sorted_list(spark, kind):
         "ties": [rng.choice([1.0, 2.0, 2.0, 50.0]) for _ in range(1000)],
         "signs": [rng.uniform(-5, 5) for _ in range(500)] + [0.0] * 40,
         "single": [7.5],
+        "close": [1000 * (1 + n * 2.0**-52) for n in range(700)],  # neighbouring numbers
+        "wide": [10.0 ** rng.uniform(-300, 300) for _ in range(600)] + [-1e308, 1e308],
     }[kind]
     data = spark.createDataFrame([("g", v) for v in values], "g string, v double")
     counts = data.groupBy("g", "v").count()

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from cinema import BASE, NOON, hold
 from conftest import rows
-from pyspark.sql import functions as F
 
 from marquee.operators import sampling
 from marquee.sources.schemas import OPERATIONAL
@@ -29,16 +28,17 @@ def test_weighted_pick_has_the_distribution_of_the_score_race(spark, ids):
     assert np.abs(got - winner_shares(ids)).max() < 0.01
 
 
-def test_bands_beyond_reach_cannot_be_hit(spark):
+def test_bands_meet_whatever_the_parts(spark, monkeypatch):
+    """Bands follow one another without gap or overlap, and those left out hold no draw."""
     movies = spark.range(5000)
-    reach = sampling.band_reach(movies)
-    assert reach < 5000
-    bands = sampling.popularity_bands(movies, reach)
-    assert bands.count() == reach
-    assert bands.agg(F.min("upper")).first()[0] < 2.0**-33
-    full = sampling.popularity_bands(movies, 5000).orderBy("rank").limit(reach - 1).collect()
-    short = bands.orderBy("rank").limit(reach - 1).collect()
-    assert [r["upper"] for r in full] == pytest.approx([r["upper"] for r in short])
+    whole = sampling.popularity_bands(movies).orderBy("rank").collect()
+    assert [r["rank"] for r in whole] == list(range(len(whole))) and len(whole) < 5000
+    assert whole[0]["upper"] == 1.0 and whole[-1]["lower"] <= 2.0**-33
+    monkeypatch.setattr(sampling, "RANK_PART", 7)
+    parts = sampling.popularity_bands(movies).orderBy("rank").collect()
+    assert [r["upper"] for r in parts] == pytest.approx([r["upper"] for r in whole])
+    for bands in (whole, parts):
+        assert all(a["lower"] == b["upper"] for a, b in zip(bands, bands[1:]))
 
 
 def test_picked_seats_are_free_distinct_and_complete(make_model):

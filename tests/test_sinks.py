@@ -169,3 +169,26 @@ def test_request_log_csv(spark, tmp_path):
     (tmp_path / "log.csv").write_text(f"{header}\n{line}\n")
     log = read_request_log(spark, str(tmp_path / "log.csv"))
     assert rows(as_samples(log)) == [(1.7e12, 25.0, "schedule", True)]
+
+
+def test_request_log_with_all_columns_and_with_few(spark, tmp_path):
+    header = (
+        "timeStamp,elapsed,label,responseCode,responseMessage,threadName,dataType,success,failureMessage,"
+        "bytes,sentBytes,grpThreads,allThreads,URL,Latency,IdleTime,Connect"
+    )
+    line = '1700000000000,25,schedule,500,no,t 1-1,text,false,"a, b",10,5,1,2,http://x,20,0,3'
+    (tmp_path / "all.csv").write_text(f"{header}\n{line}\n")
+    row = read_request_log(spark, str(tmp_path / "all.csv")).first()
+    assert (row["failureMessage"], row["bytes"], row["sentBytes"], row["URL"]) == ("a, b", 10, 5, "http://x")
+    assert (row["allThreads"], row["Latency"], row["Connect"], row["success"]) == (2, 20, 3, False)
+    (tmp_path / "few.csv").write_text("success,label,Latency,elapsed,timeStamp\ntrue,seats,4,9,1700000000001\n")
+    few = read_request_log(spark, str(tmp_path / "few.csv"))
+    assert rows(as_samples(few)) == [(1700000000001.0, 9.0, "seats", True)]
+    assert (few.first()["Latency"], few.first()["URL"]) == (4, None)
+
+
+@pytest.mark.parametrize("header", ["timeStamp,elapsed,label,success,other", "timeStamp,elapsed,label"])
+def test_other_logs_are_refused(spark, tmp_path, header):
+    (tmp_path / "log.csv").write_text(f"{header}\n1,2,x,true,y\n")
+    with pytest.raises(ValueError, match="not a result log"):
+        read_request_log(spark, str(tmp_path / "log.csv"))
