@@ -75,15 +75,16 @@ def time_of_day_etl(hour: Col) -> Column:
     )
 
 
+# Half-open hour ranges and their labels; any other hour, or none, is 'Night'.
+DAY_RANGES = ((6, 12, "Morning"), (12, 17, "Afternoon"), (17, 21, "Evening"))
+
+
 def time_of_day_fn(hour: Col) -> Column:
     """Four labels over half-open hour ranges; a null hour is 'Night'."""
-    h = _col(hour)
-    return (
-        F.when((h >= 6) & (h < 12), "Morning")
-        .when((h >= 12) & (h < 17), "Afternoon")
-        .when((h >= 17) & (h < 21), "Evening")
-        .otherwise("Night")
-    )
+    h, label = _col(hour), F.lit("Night")
+    for start, end, name in DAY_RANGES:
+        label = F.when((h >= start) & (h < end), name).otherwise(label)
+    return label
 
 
 def slot4(hour: Col) -> Column:
@@ -104,16 +105,15 @@ def day_type(day: Col) -> Column:
 
 def register_sql_functions(spark: SparkSession) -> None:
     """Make the half-open labels callable from SQL text as ``get_time_of_day(hour)``."""
+    ranges = " ".join(
+        f"WHEN showtime_hour >= {start} AND showtime_hour < {end} THEN '{name}'"
+        for start, end, name in DAY_RANGES
+    )
     spark.sql(
-        """
+        f"""
         CREATE OR REPLACE TEMPORARY FUNCTION get_time_of_day(showtime_hour INT)
         RETURNS STRING
-        RETURN CASE
-                 WHEN showtime_hour BETWEEN 6 AND 11 THEN 'Morning'
-                 WHEN showtime_hour BETWEEN 12 AND 16 THEN 'Afternoon'
-                 WHEN showtime_hour BETWEEN 17 AND 20 THEN 'Evening'
-                 ELSE 'Night'
-               END
+        RETURN CASE {ranges} ELSE 'Night' END
         """
     )
 

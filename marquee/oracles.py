@@ -5,6 +5,13 @@ from __future__ import annotations
 AS_OF = "DATE '2001-08-01'"
 HOLDS_AS_OF = "TIMESTAMP '1998-06-01 00:00:00'"
 
+# The labels of an hour, by the rule of the fact load and by the half-open rule.
+ETL_LABEL = """CASE WHEN {0} BETWEEN 0 AND 5 THEN 'Late Night' WHEN {0} BETWEEN 6 AND 11 THEN 'Morning'
+              WHEN {0} BETWEEN 12 AND 17 THEN 'Afternoon' WHEN {0} BETWEEN 18 AND 21 THEN 'Evening'
+              ELSE 'Night' END"""
+FN_LABEL = """CASE WHEN {0} >= 6 AND {0} < 12 THEN 'Morning' WHEN {0} >= 12 AND {0} < 17 THEN 'Afternoon'
+              WHEN {0} >= 17 AND {0} < 21 THEN 'Evening' ELSE 'Night' END"""
+
 MODEL = """
 WITH RECURSIVE
 counts AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns),
@@ -33,22 +40,24 @@ payments AS (
               WHEN o_orderkey % 20 < 19 THEN 'GCASH' ELSE 'CASH' END AS payment_method
   FROM orders),
 lines AS (
-  SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_extendedprice) AS px
-  FROM lineitem GROUP BY 1, 2),
+  SELECT l_orderkey, l_linenumber, l_partkey AS pk, l_extendedprice AS px,
+         row_number() OVER (PARTITION BY l_orderkey
+                            ORDER BY l_linenumber, l_partkey, l_extendedprice) AS place
+  FROM lineitem),
 reservation_holds AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % np AS showtime_id,
+  SELECT l_orderkey * 1000 + place AS id, l_orderkey % np AS showtime_id,
          (l_orderkey % np) % ns * 200 + pk % 200 AS seat_id, p.customer_id,
          p.payment_date + INTERVAL 15 MINUTE AS hold_expires_at,
          CASE l_linenumber % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'HELD' ELSE 'BOOKED' END AS status
   FROM lines JOIN payments p ON p.id = l_orderkey, counts),
 tickets AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey * 10 + l_linenumber AS reservation_id,
+  SELECT l_orderkey * 1000 + place AS id, l_orderkey * 1000 + place AS reservation_id,
          l_orderkey AS payment_id, CAST(px AS DECIMAL(10,2)) AS price
   FROM lines),
 request_seats AS (
   SELECT l_orderkey AS request_id, p.payment_date AS requested_at, l_orderkey % np AS showtime_id,
          (l_orderkey % np) % ns * 200 + pk % 200 AS seat_id, CAST(px AS DECIMAL(10,2)) AS price,
-         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS position,
+         CAST(place - 1 AS INTEGER) AS position,
          c.name AS customer_name, c.email AS customer_email, p.payment_method, p.amount AS payment_amount
   FROM lines JOIN payments p ON p.id = l_orderkey JOIN customers c ON c.id = p.customer_id, counts),
 booking_lines AS (
@@ -69,13 +78,11 @@ fact AS (
          CAST(month(payment_date) AS INTEGER) AS month_num, monthname(payment_date) AS month_name,
          CAST(year(payment_date) AS INTEGER) AS year, CAST(quarter(payment_date) AS INTEGER) AS quarter,
          dayofweek(payment_date) IN (0, 6) AS is_weekend,
-         CASE WHEN hour(payment_date) <= 5 THEN 'Late Night' WHEN hour(payment_date) <= 11 THEN 'Morning'
-              WHEN hour(payment_date) <= 17 THEN 'Afternoon' WHEN hour(payment_date) <= 21 THEN 'Evening'
-              ELSE 'Night' END AS time_of_day
+         ETL_LABEL_OF_PAYMENT AS time_of_day
   FROM booking_lines
   GROUP BY payment_date, movie_id, title, duration_minutes, price, showtime_id, start_time,
            auditorium_id, auditorium_name, customer_id, email, customer_name, amount, payment_method)
-"""
+""".replace("ETL_LABEL_OF_PAYMENT", ETL_LABEL.format("hour(payment_date)"))
 
 
 def _queue(taken: str, valid: str = "true") -> str:
@@ -527,15 +534,8 @@ SQL = {
                CAST(month(payment_date) AS INTEGER) AS month_num, monthname(payment_date) AS month_name,
                CAST(year(payment_date) AS INTEGER) AS year, CAST(quarter(payment_date) AS INTEGER) AS quarter,
                dayofweek(payment_date) IN (0, 6) AS is_weekend FROM payments""",
-    "time_of_day_etl": _label(
-        f"""CASE WHEN {HOUR} < 6 THEN 'Late Night' WHEN {HOUR} < 12 THEN 'Morning'
-                 WHEN {HOUR} < 18 THEN 'Afternoon' WHEN {HOUR} < 22 THEN 'Evening' ELSE 'Night' END"""
-    ),
-    "time_of_day_fn": _label(
-        f"""CASE WHEN {HOUR} IN (6, 7, 8, 9, 10, 11) THEN 'Morning'
-                 WHEN {HOUR} IN (12, 13, 14, 15, 16) THEN 'Afternoon'
-                 WHEN {HOUR} IN (17, 18, 19, 20) THEN 'Evening' ELSE 'Night' END"""
-    ),
+    "time_of_day_etl": _label(ETL_LABEL.format(HOUR)),
+    "time_of_day_fn": _label(FN_LABEL.format(HOUR)),
     "slot4": _label(SLOT4),
     "day_type": _label(DAY_TYPE),
     "date_arithmetic": """

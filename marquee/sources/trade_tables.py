@@ -1,14 +1,12 @@
 """The booking model derived from the trade tables (orders, lineitem, part, ...).
 
 Every derivation reads its tables whole. Ten consecutive parts make one movie with ten
-showtimes, every supplier is an auditorium, every order is a payment and every distinct
-(order, line number) is one held and ticketed seat.
+showtimes, every supplier is an auditorium, every order is a payment and every line of it one
+held and ticketed seat.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .generators import SEATS_PER_ROW, build_seats
@@ -16,6 +14,8 @@ from .schemas import OPERATIONAL, TRADE
 from .snapshots import Model
 
 SEATS_PER_AUDITORIUM = 200
+# Ids kept free for the lines of one order.
+LINES_PER_ORDER = 1000
 
 PAYMENT_TIME = """timestampadd(MINUTE, (o_orderkey * 13) % 60,
                                timestampadd(HOUR, (o_orderkey * 7) % 24, o_orderdate))"""
@@ -54,24 +54,26 @@ class TradeTables:
         setattr(self, name, table)
         return table
 
-    @cached_property
-    def parts(self) -> int:
-        return self.part.count()
-
-    @cached_property
-    def suppliers(self) -> int:
-        return self.supplier.count()
-
-    @property
-    def _showtime(self) -> str:
-        """Showtime of an order line."""
-        return f"l_orderkey % {self.parts}L"
+    def lines(self) -> DataFrame:
+        """Every order line with its place in the order, its showtime and its seat there.
 
-    @property
-    def _seat(self) -> str:
-        """Seat of an order line, in the auditorium of its showtime."""
-        hall = f"({self._showtime}) % {self.suppliers}L"
-        return f"{hall} * {SEATS_PER_AUDITORIUM}L + min(l_partkey) % {SEATS_PER_AUDITORIUM}L"
+        Lines that agree in number, part and price are interchangeable.
+        """
+        return self.spark.sql(
+            f"""
+            SELECT l_orderkey, l_linenumber, place, showtime_id, price,
+                   showtime_id % (SELECT count(*) FROM {{supplier}}) * {SEATS_PER_AUDITORIUM}L
+                     + l_partkey % {SEATS_PER_AUDITORIUM}L AS seat_id
+            FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(10,2)) AS price,
+                         l_orderkey % (SELECT count(*) FROM {{part}}) AS showtime_id,
+                         row_number() OVER (PARTITION BY l_orderkey
+                                            ORDER BY l_linenumber, l_partkey, l_extendedprice) AS place
+                  FROM {{lineitem}})
+            """,
+            lineitem=self.lineitem,
+            part=self.part,
+            supplier=self.supplier,
+        )
 
     # -- tables -------------------------------------------------------------------------
 
@@ -100,12 +102,16 @@ class TradeTables:
         )
 
     def showtimes(self) -> DataFrame:
-        return self.part.selectExpr(
-            "p_partkey AS id",
-            "p_partkey - p_partkey % 10 AS movie_id",
-            f"p_partkey % {self.suppliers}L AS auditorium_id",
-            """timestampadd(MINUTE, p_partkey % 2 * 30, timestampadd(HOUR, 10 + p_partkey % 12,
-                 timestampadd(DAY, p_partkey % 7, TIMESTAMP_NTZ '2024-01-01'))) AS start_time""",
+        return self.spark.sql(
+            """
+            SELECT p_partkey AS id, p_partkey - p_partkey % 10 AS movie_id,
+                   p_partkey % (SELECT count(*) FROM {supplier}) AS auditorium_id,
+                   timestampadd(MINUTE, p_partkey % 2 * 30, timestampadd(HOUR, 10 + p_partkey % 12,
+                     timestampadd(DAY, p_partkey % 7, TIMESTAMP_NTZ '2024-01-01'))) AS start_time
+            FROM {part}
+            """,
+            part=self.part,
+            supplier=self.supplier,
         )
 
     def seats(self) -> DataFrame:
@@ -131,30 +137,23 @@ class TradeTables:
     def reservation_holds(self) -> DataFrame:
         return self.spark.sql(
             f"""
-            SELECT l_orderkey * 10 + l_linenumber AS id, showtime_id, seat_id,
+            SELECT l_orderkey * {LINES_PER_ORDER}L + place AS id, showtime_id, seat_id,
                    o_custkey AS customer_id,
                    timestampadd(MINUTE, 15, {PAYMENT_TIME}) AS hold_expires_at,
                    CASE l_linenumber % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'HELD'
                         ELSE 'BOOKED' END AS status
-            FROM (SELECT l_orderkey, l_linenumber, {self._showtime} AS showtime_id,
-                         {self._seat} AS seat_id
-                  FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber)
-            JOIN {{orders}} ON o_orderkey = l_orderkey
+            FROM {{lines}} JOIN {{orders}} ON o_orderkey = l_orderkey
             """,
-            lineitem=self.lineitem,
+            lines=self.lines(),
             orders=self.orders,
         )
 
     def tickets(self) -> DataFrame:
-        return self.spark.sql(
-            """
-            SELECT l_orderkey * 10 + l_linenumber AS id,
-                   l_orderkey * 10 + l_linenumber AS reservation_id,
-                   l_orderkey AS payment_id,
-                   CAST(min(l_extendedprice) AS DECIMAL(10,2)) AS price
-            FROM {lineitem} GROUP BY l_orderkey, l_linenumber
-            """,
-            lineitem=self.lineitem,
+        return self.lines().selectExpr(
+            f"l_orderkey * {LINES_PER_ORDER}L + place AS id",
+            f"l_orderkey * {LINES_PER_ORDER}L + place AS reservation_id",
+            "l_orderkey AS payment_id",
+            "price",
         )
 
     def booking_model(self) -> Model:
@@ -163,23 +162,20 @@ class TradeTables:
     # -- logs ---------------------------------------------------------------------------
 
     def booking_requests(self) -> DataFrame:
-        """One request per order with lines; its body holds at most one seat per line number."""
+        """One request per order with lines; its body holds one seat per line."""
         return self.spark.sql(
-            f"""
+            """
             SELECT request_id, payment_date AS requested_at, showtime_id,
                    transform(lines, x -> struct(x.id AS id, x.price AS price)) AS seats,
                    name AS customer_name, email AS customer_email, payment_method,
                    amount AS payment_amount
-            FROM (SELECT l_orderkey AS request_id, {self._showtime} AS showtime_id,
-                         array_sort(collect_list(struct(l_linenumber, seat AS id, price))) AS lines
-                  FROM (SELECT l_orderkey, l_linenumber, {self._seat} AS seat,
-                               CAST(min(l_extendedprice) AS DECIMAL(10,2)) AS price
-                        FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber)
-                  GROUP BY l_orderkey)
-            JOIN {{payments}} p ON p.id = request_id
-            JOIN {{customers}} c ON c.id = customer_id
+            FROM (SELECT l_orderkey AS request_id, showtime_id,
+                         array_sort(collect_list(struct(place, seat_id AS id, price))) AS lines
+                  FROM {lines} GROUP BY l_orderkey, showtime_id)
+            JOIN {payments} p ON p.id = request_id
+            JOIN {customers} c ON c.id = customer_id
             """,
-            lineitem=self.lineitem,
+            lines=self.lines(),
             payments=self.payments(),
             customers=self.customers(),
         )
