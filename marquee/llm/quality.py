@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, store, words
+from .common import WORD, store, unused, words
 
 #: Good documents that all rules together may reject, as a share of each stratum.
 RISK = 0.05
@@ -47,26 +47,27 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """
     df = df.drop(*COUNTS, "n_lines")
     columns = df.columns
+    word, line, tagged, bits, places = unused(df, "word", "line", "tagged", "bits", "places")
     whole = F.coalesce(F.col(text), F.lit(""))
     split = df.withColumns(
         {
-            "_words": words(F.col(text)),
-            "_lines": F.filter(F.split(whole, "\n"), lambda line: line.rlike(WORD)),
+            word: words(F.col(text)),
+            line: F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)),
             "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long"),
         }
     )
     counted = split.select(
         *columns,
         "n_symbols",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _tagged_windows(F.col("_words")).alias("_tagged"),
-        _place_bits(F.col("_words")).alias("_bits"),
+        F.size(word).cast("long").alias("n_words"),
+        F.length(F.array_join(word, "")).cast("long").alias("word_chars"),
+        F.size(line).cast("long").alias("n_lines"),
+        (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
+        _tagged_windows(F.col(word)).alias(tagged),
+        _place_bits(F.col(word)).alias(bits),
     )
-    places = counted.withColumn("_places", _repeated_places(F.col("_tagged"), F.col("_bits")))
-    return places.withColumn("n_repeat_words", _covered(F.col("_places"))).select(
+    placed = counted.withColumn(places, _repeated_places(F.col(tagged), F.col(bits)))
+    return placed.withColumn("n_repeat_words", _covered(F.col(places))).select(
         *columns, *COUNTS, "n_lines"
     )
 

@@ -115,6 +115,10 @@ def test_odd_rows(spark, odd_documents, no_documents):
     by_text = {found(r) for r in rows}
     assert by_text == {counts(r.text) for r in odd_documents.collect()}
     assert quality.judge(no_documents, labels)[0].collect() == []
+    named = odd_documents.withColumns({"word": F.lit(1), "places": F.lit(2), "n_lines": F.lit(3)})
+    counted = quality.base_counts(named)
+    assert {*named.columns, *quality.COUNTS} == set(counted.columns)
+    assert {(r.word, r.places) for r in counted.collect()} == {(1, 2)}
 
 
 def test_no_python_on_the_way(spark):
