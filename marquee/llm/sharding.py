@@ -93,7 +93,7 @@ def shard(df: DataFrame, n_shards: int, seed: int) -> DataFrame:
         [held.get(i, 0) for i in range(n_buckets)], shard_sizes(n, n_shards), seed
     )
     ends = [(i, [sum(line[: j + 1]) for j in range(n_shards)]) for i, line in enumerate(matrix)]
-    ends = F.broadcast(spark.createDataFrame(ends, f"{bucket} int, {cuts} array<bigint>"))
+    ends = spark.createDataFrame(ends, f"{bucket} int, {cuts} array<bigint>")
 
     local = Window.partitionBy(bucket).orderBy(first, second)
     sent = (
