@@ -12,10 +12,9 @@ largest gain of any stretch is found with running sums.
 from __future__ import annotations
 
 import pickle
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import store
+
 #: Labelled documents that a language's model is fitted on at most, the first by a hash of key.
 SAMPLE_DOCS = 600
 #: Trigrams are hashed to so many cells: bounds the model, whatever the corpus.
@@ -33,9 +34,9 @@ SWITCH = 15.0
 #: A script belongs to a language if this share of its sample's letters is in it.
 SCRIPT_SHARE = 0.02
 #: Words a worker remembers at most.
-MEMO = 400_000
-#: Score of a word under a language that does not use its script.
-OUTSIDE = -60.0
+MEMO = 150_000
+#: Score of a letter under a language that does not use its script.
+OUTSIDE = -30.0
 #: Undetermined.
 UND = "und"
 #: Ranges of letters by script (fixed values: Unicode blocks); letters elsewhere are "other".
@@ -55,106 +56,141 @@ SCRIPTS = {
     "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
-_RANGES = sorted((a, b, name) for name, ranges in SCRIPTS.items() for a, b in ranges)
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
-_LETTER = regex.compile(r"\p{L}")
-
-
-@lru_cache(maxsize=1 << 16)
-def script(letter: str) -> str:
-    """Script of a letter by its range."""
-    code = ord(letter)
-    return next((name for a, b, name in _RANGES if a <= code <= b), "other")
-
+_EDGE_LEFT, _EDGE_RIGHT = ord("<"), ord(">")
+_MIX = np.random.default_rng(5).integers(1 << 20, 1 << 31, 4, dtype=np.int64) | 1
 
-def letters_of(token: str) -> list[str]:
-    """Runs of letters of a token, in lower case."""
-    return _LETTERS.findall(token.lower())
 
-
-def cells(run: str) -> list[int]:
-    """Cells of the trigrams of a run of letters, its edges marked."""
-    marked = f"<{run}>"
-    return [zlib.crc32(marked[i : i + 3].encode()) % CELLS for i in range(max(1, len(marked) - 2))]
+@lru_cache(maxsize=1)
+def _alphabet() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: whether it belongs to words, whether it is a letter, its script."""
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    of_word, letter = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for kind, found in ((of_word, _LETTERS), (letter, regex.compile(r"\p{L}+"))):
+        for run in found.finditer(everything):
+            kind[ord(run[0][0]) : ord(run[0][-1]) + 1] = True
+        kind[0xD800:0xE000] = False
+    scripts = np.zeros(0x110000, np.uint8)  # 0: other
+    for number, ranges in enumerate(SCRIPTS.values(), 1):
+        for first, last in ranges:
+            scripts[first : last + 1] = number
+    return of_word, letter, scripts
+
+
+class Letters(NamedTuple):
+    """The letters of some tokens in order: token, cell of the trigram around each, script."""
+
+    token: np.ndarray
+    cell: np.ndarray
+    script: np.ndarray
+    counted: np.ndarray  # whether it is a letter, not a mark
+
+
+def letters_of(tokens: list[str]) -> Letters:
+    """Letters of tokens (without line feeds) in lower case, all at once.
+
+    A trigram is a letter with its two neighbours; where a run of letters begins or ends, an edge
+    takes the neighbour's place.
+    """
+    of_word, letter, scripts = _alphabet()
+    code = np.frombuffer("\n".join(tokens).lower().encode("utf-32-le"), np.uint32).astype(np.int64)
+    inside = of_word[code]
+    left = np.where(np.r_[False, inside[:-1]], np.r_[0, code[:-1]], _EDGE_LEFT)
+    right = np.where(np.r_[inside[1:], False], np.r_[code[1:], 0], _EDGE_RIGHT)
+    at = np.flatnonzero(inside)
+    mixed = left[at] * _MIX[0] + code[at] * _MIX[1] + right[at] * _MIX[2]
+    cell = ((mixed ^ (mixed >> 17)) * _MIX[3] >> 13) % CELLS
+    return Letters(np.cumsum(code == 10)[at], cell, scripts[code[at]], letter[code[at]])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells and scripts of each language in a batch, summed up."""
     for batch in batches:
-        seen: Counter = Counter()
+        rows: list[tuple[str, str, int, int]] = []
+        texts: dict[str, list[str]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            for run, n in Counter(r for t in (text or "").split() for r in letters_of(t)).items():
-                seen[lang, "script", script(run[0])] += n * len(run)
-                for cell in cells(run):
-                    seen[lang, "cell", str(cell)] += n
-        keys = list(zip(*seen)) if seen else [(), (), ()]
+            texts.setdefault(lang, []).extend((text or "").split())
+        for lang, tokens in texts.items():
+            found = letters_of(tokens)
+            for kind, values in (("cell", found.cell), ("script", found.script)):
+                counts = np.bincount(values)
+                rows += [(lang, kind, int(i), int(counts[i])) for i in np.flatnonzero(counts)]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(k, pa.string()) for k in keys], pa.array(list(seen.values()), pa.int64())],
-            ["lang", "kind", "name", "n"],
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "kind", "place", "n"]
         )
 
 
 class Model:
     """Languages, their scripts, and log probabilities of trigram cells."""
 
-    def __init__(self, counts: list[tuple[str, str, str, int]]):
+    def __init__(self, counts: list[tuple[str, str, int, int]]):
         self.languages = sorted({lang for lang, *_ in counts})
         place = {lang: i for i, lang in enumerate(self.languages)}
-        cell_counts = np.zeros((CELLS, len(place)))
-        scripts: dict[str, np.ndarray] = {}
-        for lang, kind, name, n in counts:
-            if kind == "cell":
-                cell_counts[int(name), place[lang]] = n
-            else:
-                scripts.setdefault(name, np.zeros(len(place)))[place[lang]] = n
-        total = cell_counts.sum(axis=0)
-        self.scores = np.log((cell_counts + 0.5) / (total + 0.5 * CELLS)).astype(np.float32)
-        all_letters = sum(scripts.values()) if scripts else np.zeros(0)
-        self.candidates = {
-            name: found >= SCRIPT_SHARE * np.maximum(all_letters, 1) for name, found in scripts.items()
-        }
-
-    def word(self, token: str) -> tuple[np.ndarray, int]:
-        """Scores by language, and letters, of a token; no scores if no language has its script."""
-        scores, letters = np.zeros(len(self.languages), np.float32), 0
-        for run in letters_of(token):
-            if not _LETTER.search(run):
-                continue
-            letters += len(run)
-            candidates = self.candidates.get(script(run[0]))
-            if candidates is not None and candidates.any():
-                own = self.scores[cells(run)].sum(axis=0)
-                scores += np.where(candidates, own - own[candidates].max(), OUTSIDE)
-        return scores, letters
+        cells = np.zeros((CELLS, len(place)))
+        scripts = np.zeros((len(SCRIPTS) + 1, len(place)))
+        for lang, kind, at, n in counts:
+            (cells if kind == "cell" else scripts)[at, place[lang]] = n
+        self.scores = np.log((cells + 0.5) / (cells.sum(axis=0) + 0.5 * CELLS))
+        self.candidates = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
+
+    def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by language, and letters, of each token.
+
+        Letters whose script is not a language's count against it; letters in a script that no
+        language has say nothing.
+        """
+        found = letters_of(tokens)
+        number = len(tokens)
+        candidates = self.candidates[found.script]
+        own = np.where(candidates, self.scores[found.cell], OUTSIDE)
+        own[~candidates.any(axis=1)] = 0.0
+        scores = [np.bincount(found.token, column, number) for column in own.T]
+        letters = np.bincount(found.token, found.counted, number).astype(np.int64)
+        return np.stack(scores, axis=1), letters
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Fit on up to SAMPLE_DOCS documents of each language; null languages are left out.
 
-    What reaches the driver is bounded by the number of languages times that of cells.
+    The sample of a language are its documents of the lowest hashes. The hashes alone decide how
+    far it reaches; only then are texts read and moved, those of the sample. Equal documents count
+    once. What reaches the driver is bounded by the number of languages times that of cells.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key", "print"), "print")
-    sample = (
-        labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(
-            F.col(lang).alias("lang"),
-            F.col(key).alias("key"),
-            F.col(text).alias("text"),
-            F.xxhash64(text).alias("print"),
-        )
+    hashed = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("hash")
+    )
+    order = Window.partitionBy("lang").orderBy("hash")
+    reach = (
+        hashed.select("lang", "hash")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= SAMPLE_DOCS)
+        .groupBy("lang")
+        .agg(F.max("hash").alias("reach"))
+    )
+    sample = (
+        hashed.join(store(reach, "langid-sample"), "lang")
+        .where(F.col("hash") <= F.col("reach"))
+        .dropDuplicates(["lang", "hash"])
         .select("lang", "text")
-        .repartition(F.xxhash64("text"))
     )
     counts = (
-        sample.mapInArrow(_count, "lang string, kind string, name string, n long")
-        .groupBy("lang", "kind", "name")
+        sample.mapInArrow(_count, "lang string, kind string, place long, n long")
+        .groupBy("lang", "kind", "place")
         .agg(F.sum("n").alias("n"))
     )
     return Model([tuple(row) for row in counts.collect()])
 
 
+class _Places(dict):
+    """Token to its row in a table; new tokens get the next rows."""
+
+    def __missing__(self, token: str) -> int:
+        place = self[token] = len(self)
+        return place
+
+
 class Labeller:
     """Labels texts by a model, remembering the scores of words."""
 
@@ -164,22 +200,24 @@ class Labeller:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((1024, self.number), np.float32)
-        self.letters = np.zeros(1024, np.int32)
+        self.place = _Places()
+        self.table = np.zeros((1 << 16, self.number))
+        self.letters = np.zeros(1 << 16, np.int64)
 
     def _places(self, tokens: list[str]) -> np.ndarray:
         if len(self.place) > MEMO:
             self._forget()
-        place = self.place
-        for token in dict.fromkeys(tokens):
-            if token not in place:
-                i = place[token] = len(place)
-                if i == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-                self.table[i], self.letters[i] = self.model.word(token)
-        return np.fromiter(map(place.__getitem__, tokens), np.int32, len(tokens))
+        known = len(self.place)
+        places = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.place) > known:
+            first = np.full(len(self.place) - known, len(tokens))
+            np.minimum.at(first, places[places >= known] - known, np.flatnonzero(places >= known))
+            while len(self.table) < len(self.place):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+            fresh = slice(known, len(self.place))
+            self.table[fresh], self.letters[fresh] = self.model.words([tokens[i] for i in first])
+        return places
 
     def label(self, text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
         """Language, share of letters it labels, and spans (first word, words, language)."""
@@ -203,26 +241,24 @@ class Labeller:
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word: scores along the path less ``switch`` for each change."""
-    scores = scores.astype(np.float64)
     n, number = scores.shape
     single = int(scores.sum(axis=0).argmax())
-    if number == 1:
-        return np.zeros(n, np.int64)
-    gain = np.delete(scores, single, axis=1).max(axis=1) - scores[:, single]
+    others = scores - scores[:, [single]]
+    others[:, single] = -np.inf
+    gain = others.max(axis=1)
     sums = np.concatenate([[0.0], np.cumsum(gain)])
-    if (sums - np.minimum.accumulate(sums)).max() <= switch:
+    if number == 1 or (sums - np.minimum.accumulate(sums)).max() <= switch:
         return np.full(n, single)
-    came = np.empty((n, number), np.int64)
-    best, own = scores[0].copy(), np.arange(number)
-    for t in range(1, n):
-        top = int(best.argmax())
-        change = best[top] - switch
-        came[t] = np.where(best >= change, own, top)
-        best = np.maximum(best, change) + scores[t]
+    best, came = scores[0].tolist(), []
+    for row in scores[1:].tolist():
+        top = max(best)
+        change, leader = top - switch, best.index(top)
+        came.append([i if b >= change else leader for i, b in enumerate(best)])
+        best = [(b if b >= change else change) + x for b, x in zip(best, row)]
     path = np.empty(n, np.int64)
-    path[-1] = int(best.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
+    path[-1] = at = best.index(max(best))
+    for t in range(n - 2, -1, -1):
+        path[t] = at = came[t][at]
     return path
 
 

@@ -46,11 +46,18 @@ def test_spans_of_a_mixed_text(spark):
 
 def test_script_narrows_candidates(spark):
     found = model(spark)
-    scores, letters = found.word("Собака,")
-    assert letters == 6 and found.languages[int(scores.argmax())] == "ru"
-    assert scores[found.languages.index("en")] == langid.OUTSIDE
-    scores, letters = found.word("日本")
-    assert letters == 2 and not scores.any()
+    scores, letters = found.words(["Собака,", "日本", "1.5", "naïve"])
+    assert letters.tolist() == [6, 2, 0, 5]
+    assert found.languages[int(scores[0].argmax())] == "ru"
+    assert scores[0, found.languages.index("en")] == 6 * langid.OUTSIDE
+    assert not scores[1].any() and not scores[2].any()
+    assert scores[3].argmax() != found.languages.index("ru")
+
+
+def test_letters_keep_their_edges():
+    a, b = langid.letters_of(["ab", "x1ab"]), langid.letters_of(["ab"])
+    assert a.token.tolist() == [0, 0, 1, 1, 1]
+    assert a.cell[:2].tolist() == b.cell.tolist() == a.cell[3:].tolist()
 
 
 def test_held_out_accuracy(spark):
