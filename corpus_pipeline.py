@@ -11,7 +11,7 @@ from marquee.llm.common import WORD, prepare, store, unused
 from marquee.llm.queries import RANKS, SEED, learnable
 
 #: Least share of a document's letters in its main language.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 1 / 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).select(
+    return bpe.decode(encoded, RANKS).select(
         "doc_id",
         "lang",
         "source",

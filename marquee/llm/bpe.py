@@ -33,8 +33,9 @@ from .merges import merge, rule
 LEAF_CHARS = 1 << 18
 #: Bytes of a leaf of the encoding tree, merged without further halving.
 LEAF_BYTES = 4
-#: Memoised pieces a worker holds at most; beyond, the memo starts anew.
-MEMO = 400_000
+#: Memoised words, and halves and windows of them, that a worker holds at most; beyond, a memo
+#: starts anew. Workers live on between stages, so what they hold adds up.
+MEMO, PART_MEMO = 150_000, 80_000
 #: Ids decoded in one leaf of the decoding tree.
 LEAF_IDS = 1 << 15
 _CUT = regex.compile(r"(?<=\S)\s")
@@ -51,15 +52,29 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
 
 
+def by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    vocabulary = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        vocabulary[rank] = token
+    return vocabulary
+
+
+def decode_ids(vocabulary: list[bytes], ids: np.ndarray) -> bytes:
+    """Bytes of a token sequence, concatenated up a tree."""
+    if len(ids) > LEAF_IDS:
+        middle = len(ids) // 2
+        return decode_ids(vocabulary, ids[:middle]) + decode_ids(vocabulary, ids[middle:])
+    return b"".join(map(vocabulary.__getitem__, ids.tolist()))
+
+
 class TreeCodec:
     """Encodes and decodes by the vocabulary ``ranks`` and the split pattern ``pattern``."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.vocabulary = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.vocabulary[rank] = token
+        self.vocabulary = by_id(ranks)
         self.pairs = {
             (ranks[token[:i]], ranks[token[i:]]): rule(rank, rank)
             for token, rank in ranks.items()
@@ -88,7 +103,7 @@ class TreeCodec:
                 middle = len(piece) // 2
                 found = self._join(self._tree(piece[:middle]), self._tree(piece[middle:]))
             if len(piece) <= 4 * LEAF_BYTES:
-                if len(self.halves) > MEMO:
+                if len(self.halves) > PART_MEMO:
                     self.halves.clear()
                 self.halves[piece] = found
         return found
@@ -97,7 +112,7 @@ class TreeCodec:
         edge = (left[-1], right[0])
         fits = self.fitting.get(edge)
         if fits is None:
-            if len(self.fitting) > MEMO:
+            if len(self.fitting) > PART_MEMO:
                 self.fitting.clear()
             fits = self.fitting[edge] = self._plain(edge) == edge
         if fits:
@@ -118,7 +133,7 @@ class TreeCodec:
             data = b"".join(map(self.vocabulary.__getitem__, tokens))
             found = tuple(merge([self.of_byte[b] for b in data], self.pairs))
             if len(tokens) <= 8:
-                if len(self.windows) > MEMO:
+                if len(self.windows) > PART_MEMO:
                     self.windows.clear()
                 self.windows[tokens] = found
         return found
@@ -134,10 +149,7 @@ class TreeCodec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a token sequence."""
-        if len(ids) > LEAF_IDS:
-            middle = len(ids) // 2
-            return self.decode(ids[:middle]) + self.decode(ids[middle:])
-        return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
+        return decode_ids(self.vocabulary, ids)
 
 
 class _Words(dict):
@@ -176,6 +188,11 @@ def _codec(raw: bytes, pattern: str) -> TreeCodec:
     return TreeCodec(parse_ranks(raw), pattern)
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(raw: bytes) -> list[bytes]:
+    return by_id(parse_ranks(raw))
+
+
 def _share(df: DataFrame, path: str) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
@@ -207,9 +224,7 @@ def encode(
     return df.mapInArrow(run, schema)
 
 
-def decode(
-    df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded"
-) -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids of each row stand for; a null array gives no bytes.
 
     An id outside the vocabulary raises IndexError. A column that has the name ``out`` already
@@ -218,11 +233,11 @@ def decode(
     raw, df = _share(df, ranks_path), df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(raw.value, pattern)
+        vocabulary = _vocabulary(raw.value)
         for batch in batches:
             column = batch.column(ids)
             rows = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else _NO_IDS for x in column)
-            yield _with(batch, out, pa.array([codec.decode(x) for x in rows], pa.binary()))
+            yield _with(batch, out, pa.array([decode_ids(vocabulary, x) for x in rows], pa.binary()))
 
     schema = T.StructType([*df.schema, T.StructField(out, T.BinaryType())])
     return df.mapInArrow(run, schema)

@@ -52,7 +52,7 @@ def test_documents(spark):
     rows = []
     for row in docs.collect():
         lang, score, _ = labeller.label(row.text or "")
-        if lang != "und" and score >= 0.5:
+        if lang != "und" and score >= 1 / 3:
             rows.append((row.doc_id, row.text, lang, row.source))
     deduped = plain_line_dedup([(r[0], r[1]) for r in rows])
     rows = [(k, deduped[k, t][0], lang, s) for k, t, lang, s in rows]

@@ -110,7 +110,7 @@ def test_queries_on_all_documents(spark, library, tokenizer):
 
 def test_odd_rows(odd_documents, no_documents, library, tokenizer):
     clashing = odd_documents.withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit("y"))
-    out = bpe.decode(bpe.encode(clashing, RANKS, PATTERN), RANKS, PATTERN)
+    out = bpe.decode(bpe.encode(clashing, RANKS, PATTERN), RANKS)
     out = token_counts.count_tokens(out, TOKENIZER)
     rows = out.collect()
     assert len(rows) == odd_documents.count()
@@ -118,5 +118,5 @@ def test_odd_rows(odd_documents, no_documents, library, tokenizer):
         assert row.ids == library.encode_ordinary(row.text or "")
         assert bytes(row.decoded) == (row.text or "").encode()
         assert row.n_tokens == len(tokenizer.encode(row.text or "", add_special_tokens=False).ids)
-    empty = bpe.decode(bpe.encode(no_documents, RANKS, PATTERN), RANKS, PATTERN)
+    empty = bpe.decode(bpe.encode(no_documents, RANKS, PATTERN), RANKS)
     assert token_counts.count_tokens(empty, TOKENIZER).collect() == []
