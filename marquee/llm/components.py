@@ -16,29 +16,29 @@ def components(links: DataFrame) -> DataFrame:
     by node, whatever the degree; the number of rounds grows with the logarithm of the size.
     Links with nulls and links of a node to itself are left out.
     """
-    edges = store(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(),
-        "components",
-    )
+    tidy = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    edges = store(tidy.distinct(), "components")
+    before = _mark(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = (
-            both.join(least, "a")
-            .where("b > a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .distinct()
-        )
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
-        small = (
-            joined.select("a", F.col("m").alias("b"))
-            .union(joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-            .distinct()
+        small = joined.select("a", F.col("m").alias("b")).union(
+            joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        after = store(small, "components")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                after.select("b", "b").distinct()
+        edges = store(small.distinct(), "components")
+        after = _mark(edges)
+        if after == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+                edges.select("b", "b").distinct()
             )
-        edges = after
+        before = after
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and a hash of their set: equal marks, equal sets (128 bits)."""
+    hashes = F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))
+    return tuple(edges.agg(F.count("*"), *hashes).first())

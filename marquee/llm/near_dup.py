@@ -1,12 +1,13 @@
 """Near-duplicate classes by BagMinHash over multisets of five-word shingles.
 
 Equal word sequences are one node from the start. The bands of a node's signature put it into
-buckets. All members of a bucket are held against one of them, its pivot, by the exact overlap
-of their multisets: a pair of similarity 0.8 or more is a link, and components of links are the
-classes. A bucket is settled when its members are in one class, as for copies, however many,
-after a pass or two. Where they are not, later passes take other pivots, against which only
-members of other classes are held; what is still open then is settled pair by pair, between
-classes only, so that no link is lost to a pivot that is not like both of its ends.
+buckets, and buckets with the same members count once. All members of a bucket are first held
+against one of them, its pivot, by the exact overlap of their multisets: a pair of similarity
+0.8 or more is a link, and components of links are the classes. A bucket is settled when its
+members are in one class, as for groups of copies, however large. Where they are not, members of
+different classes are held against each other, in cells of bounded size, so that no link is lost
+to a pivot that is not like both of its ends; a cell counts common shingles by an index of its
+shingles and returns no more links than it has members.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ from .common import store
 from .components import components
 
 THRESHOLD = 0.8
-#: Passes with one pivot for each bucket, before what is open is settled pair by pair.
-PIVOT_PASSES = 3
+#: Shingles of the members on one side of a cell.
+CELL_SHINGLES = 1_000_000
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +83,82 @@ def _alike_in_size() -> Column:
     return F.least("size_a", "size_b") >= THRESHOLD * F.greatest("size_a", "size_b")
 
 
+def settle_cell(texts: list[str], components: list) -> list[tuple[int, int]]:
+    """Links between members of different components: as many as connect what is near.
+
+    One index holds all shingle occurrences of the cell (the k-th copy of a shingle is an element
+    of its own, so that common elements are the overlap of multisets). The members of all but
+    the largest component look theirs up and count what they have in common with each other one.
+    """
+    members = [_occurrences(t) for t in texts]
+    sizes = np.array([len(m) for m in members])
+    place = {c: i for i, c in enumerate(dict.fromkeys(components))}
+    own = np.array([place[c] for c in components])
+    parent = list(range(len(place)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    elements = np.concatenate(members)
+    owners = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(elements, kind="stable")
+    elements, owners = elements[order], owners[order]
+    largest = np.bincount(own).argmax()
+    links = []
+    for i in np.flatnonzero(own != largest).tolist():
+        low = np.searchsorted(elements, members[i], "left")
+        count = np.searchsorted(elements, members[i], "right") - low
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(owners[at], minlength=len(members))
+        near = (common >= THRESHOLD * (sizes + sizes[i] - common)) & (own != own[i])
+        for j in np.flatnonzero(near).tolist():
+            x, y = root(int(own[i])), root(int(own[j]))
+            if x != y:
+                parent[y] = x
+                links.append((i, j))
+    return links
+
+
+def _occurrences(text: str) -> np.ndarray:
+    """The multiset of a text as a set: one element for each occurrence of each shingle."""
+    elements, counts = bag.shingles(bag.normal(text))
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return bag.mix(np.repeat(elements, counts) + number.astype(np.uint64))
+
+
+def _settle(cell: pd.DataFrame) -> pd.DataFrame:
+    links = settle_cell(cell["text"].tolist(), cell["component"].tolist())
+    nodes = cell["node"].tolist()
+    return pd.DataFrame([(nodes[i], nodes[j]) for i, j in links], columns=["a", "b"])
+
+
+def _cells(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of different components of the buckets of ``labelled``.
+
+    The members of a bucket are dealt to parts of some CELL_SHINGLES shingles. Each two parts,
+    and each part with itself, are a cell: a part goes to as many cells as there are parts.
+    """
+    parts = labelled.groupBy("bucket").agg(
+        F.ceil(F.sum("size") / CELL_SHINGLES).cast("int").alias("parts")
+    )
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = (
+        labelled.join(parts, "bucket")
+        .select("bucket", "node", "component", part.alias("part"), F.explode(others).alias("other"))
+        .withColumn("one", F.least("part", "other"))
+        .withColumn("two", F.greatest("part", "other"))
+    )
+    return (
+        dealt.join(texts, "node")
+        .select("bucket", "one", "two", "node", "component", "text")
+        .groupBy("bucket", "one", "two")
+        .applyInPandas(_settle, "a binary, b binary")
+    )
+
+
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: key, print, class, class_id, class_size, kept.
 
@@ -111,66 +189,56 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         )
         .select("node", "one.key", "one.print", "one.size", "one.bands")
     )
-    members = nodes.select("node", "key", "print", "size", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    shared = (
+        members.groupBy("bucket")
+        .agg(
+            F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("node")).alias("x"),
+            F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+        )
+        .where("n > 1")
+        .groupBy("n", "x", "y")  # buckets with the same members are one
+        .agg(F.min("bucket").alias("bucket"))
+        .select("bucket")
+    )
     members = store(members.join(shared, "bucket"), "near-dup-members")
 
-    wanted = members.select("node", "key", "print").distinct()
+    wanted = nodes.select("node", "key", "print").join(members.select("node").distinct(), "node")
     same = docs["key"].eqNullSafe(wanted["key"]) & (docs["print"] == wanted["print"])
-    texts = store(
-        docs.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "near-dup-texts"
-    )
-    members = members.select("node", "size", "bucket")
-
-    links, held = None, None
-    found = members.select("node", F.col("node").alias("component")).distinct().limit(0)
-    for turn in range(PIVOT_PASSES + 1):
-        labelled = (
-            members.join(found, "node", "left")
-            .withColumn("component", F.coalesce("component", "node"))
-        )
-        mixed = (
-            labelled.groupBy("bucket")
-            .agg(
-                F.min("component").alias("least"),
-                F.max("component").alias("most"),
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "component")).alias("pivot"),
-            )
-            .where("least != most")
-        )
-        if turn < PIVOT_PASSES:
-            sides = labelled.join(mixed, "bucket").select(
-                F.col("node").alias("a"),
-                F.col("size").alias("size_a"),
-                F.col("component").alias("component_a"),
-                F.col("pivot.node").alias("b"),
-                F.col("pivot.size").alias("size_b"),
-                F.col("pivot.component").alias("component_b"),
-            )
-        else:
-            open_ones = store(labelled.join(mixed.select("bucket"), "bucket"), "near-dup-open")
-            one = lambda name: open_ones.select(
-                "bucket",
-                F.col("node").alias(name),
-                F.col("size").alias(f"size_{name}"),
-                F.col("component").alias(f"component_{name}"),
-            )
-            sides = one("a").join(one("b"), "bucket").where("a < b")
-        pairs = (
-            sides.where("component_a != component_b")
-            .where(_alike_in_size())
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
+    texts = docs.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+    texts = store(texts, "near-dup-texts")
+
+    # One order of all nodes: the same few of them are pivots in all their buckets.
+    first = F.min(F.struct(F.xxhash64("node"), "node", "size")).alias("pivot")
+    pivots = members.groupBy("bucket").agg(first)
+    pairs = (
+        members.join(pivots, "bucket")
+        .select(
+            F.col("node").alias("a"),
+            F.col("size").alias("size_a"),
+            F.col("pivot.node").alias("b"),
+            F.col("pivot.size").alias("size_b"),
         )
-        if held is not None:
-            pairs = pairs.join(held, ["a", "b"], "left_anti")
-        pairs = store(pairs, "near-dup-pairs")
-        if pairs.isEmpty():
-            break
-        held = pairs if held is None else held.union(pairs)
-        new = _links(pairs, texts)
-        links = store(new if links is None else links.union(new), "near-dup-links")
-        found = components(links)
+        .where(F.col("a") != F.col("b"))
+        .where(_alike_in_size())
+        .select("a", "b")
+        .distinct()
+    )
+    links = store(_links(pairs, texts), "near-dup-links")
+    found = components(links)
+
+    component = F.coalesce("component", "node")
+    labelled = members.join(found, "node", "left").withColumn("component", component)
+    open_ones = (
+        labelled.groupBy("bucket")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
+        .where("least != most and n > 2")  # two members have met as member and pivot
+        .select("bucket")
+    )
+    labelled = store(labelled.join(open_ones, "bucket"), "near-dup-open")
+    more = store(_cells(labelled, texts), "near-dup-links")
+    found = components(found.toDF("a", "b").union(more))
 
     # A text without words is a class of its own, told by its key and print.
     alone = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("print"))

@@ -129,3 +129,31 @@ def test_odd_rows(odd_documents, no_documents):
     found = near_dup.classes(clashing).collect()
     assert sorted(((r.doc_id, r.class_id, r.class_size) for r in found), key=repr) == sorted(plain_classes(rows), key=repr)
     assert near_dup.classes(no_documents).collect() == []
+
+
+def test_a_cell_connects_all_that_is_near():
+    """Links of a cell, with the components it was given, are the components by all pairs."""
+    draw = random.Random(12)
+    for _ in range(40):
+        base = [f"w{i % 23}" for i in range(draw.randrange(20, 80))]
+        texts = []
+        for _ in range(14):
+            words = list(base)
+            for _ in range(draw.randrange(4)):
+                words[draw.randrange(len(words))] = f"n{draw.randrange(50)}"
+            texts.append(" ".join(words))
+        given = [draw.randrange(10) for _ in texts]
+        sets = [multiset(t) for t in texts]
+        near = [(i, j) for i in range(14) for j in range(i) if exact(sets[i], sets[j]) >= 0.8]
+
+        def classes(links):
+            label = list(given)
+            for _ in range(14):
+                for i, j in links:
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+            return label
+
+        links = near_dup.settle_cell(texts, given)
+        assert len(links) < len(set(given))
+        assert classes(links) == classes(near)
