@@ -39,7 +39,7 @@ LEAST_SHARE = 0.2
 CONSTANT_CHARS = 400
 #: Share of the text outside furniture that the article's element holds at least.
 MAIN_SHARE = 0.6
-#: Parts that are never article, by tag or by a word of class, id or role (fixed values).
+#: Parts that are never article, by tag or by the words of a class, id or role (fixed values).
 FURNITURE_TAGS = set("nav footer aside form head dialog menu fieldset".split())
 FURNITURE_WORDS = set(
     "ad ads advert advertisement adverts banner sponsored promo cookie cookies consent notice "
@@ -48,6 +48,19 @@ FURNITURE_WORDS = set(
     "recommended newsletter subscribe subscription widget toolbar pagination pager login signup "
     "search complementary contentinfo skip".split()
 )
+#: Words that tell furniture in any class they are part of. The others tell it as a whole class or
+#: beside words for a mere holder: "share-buttons", but not "article-header" or "search-results".
+TELLING_WORDS = set(
+    "ad ads advert advertisement adverts sponsored promo cookie cookies consent popup newsletter "
+    "breadcrumb breadcrumbs navbar masthead pagination".split()
+)
+HOLDER_WORDS = set(
+    "site top bottom left right primary secondary global area bar block body box button buttons "
+    "container form icons inner item items link links list outer panel section thread tools wrap "
+    "wrapper posts articles stories".split()
+)
+#: First words of classes that say what an element has or lacks, not what it is.
+STATE_WORDS = set("has have no not with without is hide show".split())
 #: Names of elements that hold the article.
 MAIN_TAGS = ("article", "main")
 #: Elements of text and lists, which hold no article by themselves.
@@ -56,30 +69,44 @@ MAIN_WORDS = set("article content post entry story main body-text maincontent".s
 _WORD = re.compile(r"[a-z]+")
 
 
+def _tells_furniture(name: str) -> bool:
+    """Whether one class, id or role is that of a part that is never article."""
+    words = _WORD.findall(name)
+    if not words or (len(words) > 1 and words[0] in STATE_WORDS):
+        return False
+    told = FURNITURE_WORDS.intersection(words)
+    return bool(told) and (bool(told & TELLING_WORDS) or set(words) <= FURNITURE_WORDS | HOLDER_WORDS)
+
+
 @lru_cache(maxsize=1 << 14)
-def is_furniture(name: str) -> bool:
+def is_furniture(name: str, by_name: bool = True) -> bool:
+    """Whether an element is never article, by its tag or, if ``by_name``, its names.
+
+    Names of the root and the body say what the page has.
+    """
     tag, *names = name.split(".")
-    words = {w for n in names for w in _WORD.findall(n)}
-    return tag in FURNITURE_TAGS or bool(words & FURNITURE_WORDS)
+    if tag in FURNITURE_TAGS:
+        return True
+    return by_name and tag not in ("html", "body") and any(map(_tells_furniture, names))
 
 
 @lru_cache(maxsize=1 << 14)
-def is_main(name: str) -> bool:
+def is_main(name: str, by_name: bool = True) -> bool:
     tag, *names = name.split(".")
-    if is_furniture(name):
+    if is_furniture(name, by_name) or tag in ("html", "body"):
         return False
     return tag in MAIN_TAGS or bool({w for n in names for w in _WORD.findall(n)} & MAIN_WORDS)
 
 
-def in_furniture(path: tuple[str, ...], below: int = 0) -> bool:
+def in_furniture(path: tuple[str, ...], below: int = 0, by_name: bool = True) -> bool:
     """Whether an element of the path, from the place ``below`` on, is no article.
 
     A page's own header is none either, but the header of an article is part of it.
     """
     main = False
     for i, name in enumerate(path):
-        main = main or is_main(name)
-        if i >= below and (is_furniture(name) or (not main and name.split(".")[0] == "header")):
+        main = main or is_main(name, by_name)
+        if i >= below and (is_furniture(name, by_name) or (not main and name.split(".")[0] == "header")):
             return True
     return False
 
@@ -199,11 +226,13 @@ class Template:
 
     def _main(self, paths: dict[str, dict]) -> str | None:
         """Path of the frame's element that holds the article."""
-        free = {k: t for k, t in paths.items() if not in_furniture(tuple(k.split(">")))}
-        holders = [k for k in free if k.split(">")[-1].split(".")[0] not in LEAF_TAGS]
-        named = [k for k in holders if is_main(k.split(">")[-1])]
-        if named:
-            return min(named, key=lambda k: (not k.split(">")[-1].startswith(MAIN_TAGS), k.count(">"), k))
+        split = {k: tuple(k.split(">")) for k in paths}
+        for by_name in (True, False):  # wrappers with a name of furniture may hold an article
+            named = [k for k, path in split.items() if _holds(path, by_name)]
+            if named:
+                return min(named, key=lambda k: (not split[k][-1].startswith(MAIN_TAGS), k.count(">"), k))
+        free = {k: t for k, t in paths.items() if not in_furniture(split[k])}
+        holders = [k for k in free if split[k][-1].split(".")[0] not in LEAF_TAGS]
         within = {k: sum(t["chars"] for j, t in free.items() if (j + ">").startswith(k + ">")) for k in holders}
         total = sum(t["chars"] for t in free.values())
         holding = [k for k, n in within.items() if total and n >= MAIN_SHARE * total]
@@ -220,22 +249,45 @@ class Template:
         return True
 
     def text(self, page: list[Block]) -> str:
-        """The article: texts of the main element, or of all that is no furniture without one."""
+        """The article: texts of the main element, or of all that is no furniture without one.
+
+        Only what is below the main element can be furniture in it. Where names of furniture
+        leave nothing, they are names of wrappers, and tags alone tell.
+        """
         main = tuple(self.main.split(">")) if self.main and self.valid(page) else ()
         if main and not any(b.path[: len(main)] == main for b in page):
             main = ()
-        if not main:
-            own = [b.path for b in page if b.kind == "open" and is_main(b.path[-1]) and not in_furniture(b.path)]
-            main = min(own, key=len, default=())
-        constant = self.constant if main and ">".join(main) == self.main else set()
-        return "\n\n".join(
-            b.text
-            for b in page
-            if b.kind == "text"
-            and b.path[: len(main)] == main
-            and not in_furniture(b.path)
-            and ">".join(b.path) not in constant
-        )
+        found = main or _own_main(page, True)
+        constant = self.constant if found and ">".join(found) == self.main else set()
+        said = _texts(page, found, True, constant)
+        if not said:
+            found = found or _own_main(page, False)
+            said = _texts(page, found, True, set()) or _texts(page, found, False, set())
+        return "\n\n".join(said)
+
+
+def _holds(path: tuple[str, ...], by_name: bool) -> bool:
+    """Whether an element is named as holding the article."""
+    named = is_main(path[-1], by_name) and path[-1].split(".")[0] not in LEAF_TAGS
+    return named and not in_furniture(path, 0, by_name)
+
+
+def _own_main(page: list[Block], by_name: bool) -> tuple[str, ...]:
+    """Path of the outermost element of a page that is named as holding the article."""
+    opened = (b.path for b in page if b.kind == "open")
+    return min((p for p in opened if is_main(p[-1], by_name) and not in_furniture(p, 0, by_name)), key=len, default=())
+
+
+def _texts(page: list[Block], main: tuple[str, ...], by_name: bool, constant: set[str]) -> list[str]:
+    n = len(main)
+    return [
+        b.text
+        for b in page
+        if b.kind == "text"
+        and b.path[:n] == main
+        and not in_furniture(b.path, n, by_name)
+        and ">".join(b.path) not in constant
+    ]
 
 
 @lru_cache(maxsize=4096)

@@ -75,6 +75,34 @@ def test_parts_of_known_pages(spark):
             assert "Follow us" not in row.text
 
 
+WRAPPED = [
+    '<body class="has-sidebar"><nav>m</nav><article>{}</article></body>',
+    '<body class="search"><nav>m</nav><article>{}</article></body>',
+    '<body><div class="menu"><article>{}</article></div><nav>m</nav></body>',
+    '<body><article class="post has-comments">{}<div class="comments"><p>Nice</p></div></article></body>',
+    '<body><article class="post sponsored">{}</article><aside>a</aside></body>',
+    '<body><main class="search-results">{}</main><footer>f</footer></body>',
+    '<body><article><div class="article-header"><h1>Own title {{}}</h1></div>{}</article></body>',
+    '<body><article>{}<div class="share-buttons">Send {{}}</div><p class="ad-text">Buy {{}}</p></article></body>',
+    '<body><div class="no-sidebar"><div>{}</div></div><nav>m</nav></body>',
+    '<body><div class="modal"><div>{}</div></div><nav>m</nav></body>',
+]
+
+
+def test_names_of_wrappers_are_no_furniture(spark):
+    rows = []
+    for number, layout in enumerate(WRAPPED):
+        for host, n in ((f"few{number}", 1), (f"many{number}", 4)):
+            for i in range(n):
+                html = layout.format("<p>One {}</p><p>Two {}</p>").replace("{}", f"w{i}")
+                rows.append((number, f"http://{host}/{i}", f"<html>{html}</html>"))
+    df = prepare(spark).createDataFrame(rows, "page_id long, url string, html string")
+    for row in templates.extract(df).collect():
+        i = row.url[-1]
+        title = [f"Own title w{i}"] if row.page_id == 6 else []
+        assert row.text.split("\n\n") == [*title, f"One w{i}", f"Two w{i}"], row
+
+
 def test_copies_keep_their_article(spark):
     rows, expected = pages(random.Random(4), 1)
     df = prepare(spark).createDataFrame(
