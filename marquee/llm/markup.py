@@ -11,11 +11,19 @@ from typing import NamedTuple
 #: Elements that stay inside a block of text, and elements without an end tag (fixed values).
 INLINE = set(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr br img".split()
+    "strike strong sub sup time tt u var wbr br img object".split()
+)
+#: Elements of formulas: they stay inside a block, and part the words of it.
+MATH = set(
+    "math semantics annotation annotation-xml mrow mi mo mn ms mtext mspace msup msub msubsup mover "
+    "munder munderover mfrac msqrt mroot mstyle mpadded mphantom merror maction menclose mfenced "
+    "mmultiscripts mprescripts mtable mtr mtd mlabeledtr".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not markup, or is never text of the page.
-RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|button|object|title"
+#: Elements whose content is not markup: they run to their end tag or the end of the page.
+RAW = "script|style|textarea|title"
+#: Elements whose content is never text of the page. Without an end tag they hold nothing.
+DROPPED = set("noscript template iframe svg select button".split())
 #: Elements an opening block tag ends, and those that end their like.
 _ENDED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _ENDS_ALIKE = {
@@ -28,12 +36,14 @@ _ENDS_ALIKE = {
     "option": ("select",),
 }
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)"
+    rf"|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)"
     r"|[^<]++|<",
     re.S | re.I,
 )
+_DROPPED_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in DROPPED}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _DIGITS = re.compile(r"\d+")
 
@@ -53,6 +63,23 @@ def _name(tag: str, attributes: str) -> str:
     return ".".join([tag, *(_DIGITS.sub("0", n) for n in names)])
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags and texts of a page in order, without the elements in DROPPED."""
+    at: int | None = 0
+    endless = set()  # elements without a further end tag: a page is searched once for each
+    while at is not None:
+        start, at = at, None
+        for m in _TOKEN.finditer(page, start):
+            tag = m[3] and m[3].lower()
+            if tag not in DROPPED:
+                yield m
+            elif not m[2] and not m[4].endswith("/") and tag not in endless:
+                if end := _DROPPED_END[tag].search(page, m.end()):
+                    at = end.end()
+                    break
+                endless.add(tag)
+
+
 def blocks(page: str) -> Iterator[Block]:
     """Block tags and texts of a page in order.
 
@@ -75,15 +102,15 @@ def blocks(page: str) -> Iterator[Block]:
             stack.pop()
             tags.pop()
 
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         tag = m[3]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 pieces.append(m[0])
             continue
         tag = tag.lower()
-        if tag in INLINE:
-            if tag in ("br", "img", "wbr"):
+        if tag in INLINE or tag in MATH:
+            if tag in ("br", "img", "wbr") or tag in MATH:
                 pieces.append(" ")
             continue
         yield from text()

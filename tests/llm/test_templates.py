@@ -27,6 +27,21 @@ def test_blocks():
     assert paths == [("div.x0", "p"), ("p",)]
 
 
+def test_only_whole_names_are_dropped():
+    for name in ("svg-icon", "button-group", "select-box", "template-part", "title-bar"):
+        assert texts(f'<article><{name} name="x"></{name}><p>whole</p></article>') == ["whole"]
+    for name in ("svg", "object", "iframe", "math", "button", "script", "svg width='9' "):
+        assert texts(f"<article><{name}/><p>whole</p></article>") == ["whole"]
+    for name in ("svg", "select", "button", "iframe", "template", "noscript"):
+        assert texts(f"<article><{name} a=b>x</{name.upper()}><p>whole</p></article>") == ["whole"]
+        assert texts(f"<article><{name}><p>whole</p></article>") == ["whole"]
+    for name in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>a<{name} x>b<p>c") == ["a"]
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math>"
+    assert texts(f"<p>As {formula} holds<p><object data=o><p>instead</p></object>") == ["As x = 2 holds", "instead"]
+    assert texts("<button>" * 100_000 + "x" * 100_000) == ["x" * 100_000]
+
+
 def test_very_long_and_broken_pages_end():
     assert texts("<p>" * 3000 + "x") == ["x"]
     assert texts("<div " + 'a="' * 2000) == []
