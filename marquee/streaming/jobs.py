@@ -63,17 +63,21 @@ def _touched(payments: DataFrame, unit: str) -> list:
 
 
 def refresh_touched_months(spark: SparkSession, landing: str, fact_path: str, changed: DataFrame) -> None:
-    """Recompute the fact months that changed payments or reservations belong to.
+    """Recompute the fact months that changed payments, tickets or reservations belong to.
 
-    ``changed`` has payment_id and reservation_id, either may be null. Whole months are replaced,
-    so replaying a batch gives the same table; fact ids depend on the month alone. A payment that
-    moved touches the months of all its versions.
+    ``changed`` has payment_id, ticket_id and reservation_id, any may be null. Whole months are
+    replaced, so replaying a batch gives the same table; fact ids depend on the month alone. A
+    payment that moved touches the months of all its versions, and a ticket those of the payments
+    of all its versions, even if a deletion carries its id alone.
     """
     m = load_booking_model(spark, landing)
     reserved = changed.select("reservation_id").dropna().distinct()
     tickets = read_changes(spark, landing, "tickets")
-    via_tickets = tickets.join(reserved, "reservation_id", "left_semi").select("payment_id")
-    ids = changed.select("payment_id").dropna().unionByName(via_tickets).distinct()
+    via_holds = tickets.join(reserved, "reservation_id", "left_semi").select("payment_id")
+    own = changed.select(F.col("ticket_id").alias("id")).dropna().distinct()
+    via_tickets = tickets.join(own, "id", "left_semi").select("payment_id")
+    paid = changed.select("payment_id").unionByName(via_holds).unionByName(via_tickets)
+    ids = paid.dropna().distinct()
     versions = read_changes(spark, landing, "payments")
     months = _touched(versions.join(ids, F.col("id") == F.col("payment_id"), "left_semi"), "MONTH")
     if not months:
@@ -103,17 +107,19 @@ def stream_fact_bookings(
     foreign keys make them.
     """
 
-    def keys(table: str, payment: str | None, reservation: str | None) -> DataFrame:
+    def keys(table: str, **own: str) -> DataFrame:
         none = F.lit(None).cast("bigint")
         return read_change_feed(spark, landing, table).select(
-            (F.col(payment) if payment else none).alias("payment_id"),
-            (F.col(reservation) if reservation else none).alias("reservation_id"),
+            *[
+                (F.col(own[key]) if key in own else none).alias(key)
+                for key in ("payment_id", "ticket_id", "reservation_id")
+            ]
         )
 
     changed = (
-        keys("payments", "id", None)
-        .unionByName(keys("tickets", "payment_id", None))
-        .unionByName(keys("reservation_holds", None, "id"))
+        keys("payments", payment_id="id")
+        .unionByName(keys("tickets", payment_id="payment_id", ticket_id="id"))
+        .unionByName(keys("reservation_holds", reservation_id="id"))
     )
     return _start(
         changed,

@@ -202,3 +202,27 @@ def test_changes_and_deletions_of_the_feed(spark, make_model, tmp_path):
     got = rows(spark.read.parquet(fact), "total_revenue", "year", "month_num")
     assert got == [(money(0), 2025, 10), (money(7), 2025, 10)]
     assert rows(spark.read.parquet(fact).select(*FACT_COLUMNS)) == rows(fact_bookings(load_booking_model(spark, landing)))
+
+
+def test_tickets_that_move_or_go(spark, make_model, tmp_path):
+    """The months of the payments that a ticket had before are recomputed too."""
+    landing, fact, check = (str(tmp_path / n) for n in ("in", "fact", "check"))
+    m = make_model(
+        **BASE,
+        payments=[(n, 1, money(100 * n), at(f"2025-1{n}-01 10:00:00"), "CASH") for n in (0, 1, 2)],
+        reservation_holds=[hold(n, 10, 100 + n) for n in (1, 2, 3, 4)],
+        tickets=[(n, n, p, money(1)) for n, p in ((1, 0), (2, 1), (3, 2), (4, 2))],
+    )
+    land(landing, **{n: m[n] for n in OPERATIONAL})
+    drain(jobs.stream_fact_bookings(spark, landing, fact, check, available_now=True))
+    assert spark.read.parquet(fact).count() == 3
+    schema = T.StructType([*OPERATIONAL["tickets"].fields, *CHANGE.fields])
+    moved = (1, 1, 1, money(1), "UPDATE", 1)  # from October to November
+    gone = (4, None, None, None, "DELETE", 2)  # the key alone
+    for change, months in ((moved, [11, 12]), (gone, [11, 12]), ((3, None, None, None, "DELETE", 3), [11])):
+        land(landing, tickets=spark.createDataFrame([change], schema))
+        drain(jobs.stream_fact_bookings(spark, landing, fact, check, available_now=True))
+        got = spark.read.parquet(fact)
+        assert sorted(r.month_num for r in got.select("month_num").collect()) == months
+        batch = fact_bookings(load_booking_model(spark, landing))
+        assert rows(got.select(*FACT_COLUMNS)) == rows(batch.select(*FACT_COLUMNS))
