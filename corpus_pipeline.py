@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.llm import bpe, langid, line_dedup, mixing, near_dup
@@ -42,18 +42,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least id.
 
-    A text that repeats under the same id stays once.
+    A text that repeats under the same id, or without one, stays once: of its rows the one that
+    is least in the other columns.
     """
     prepare(spark)
-    own, text_hash = unused(docs, "own", "text_hash")
+    own, text_hash, copies, place = unused(docs, "own", "text_hash", "copies", "place")
     kept = (
         near_dup.classes(docs)
         .where("kept")
-        .select(F.col("doc_id").alias(own), F.col("print").alias(text_hash), "class")
+        .groupBy("class", F.col("doc_id").alias(own), F.col("print").alias(text_hash))
+        .agg(F.count("*").alias(copies))
     )
-    one = kept.groupBy("class").agg(F.min(F.struct(own, text_hash)).alias("one")).select("one.*")
+    one = kept.groupBy("class").agg(F.min(F.struct(own, text_hash, copies)).alias("one")).select("one.*")
+    one = store(one, "near-dup-kept")
     same = docs["doc_id"].eqNullSafe(one[own]) & (F.xxhash64(docs["text"]) == one[text_hash])
-    return docs.join(one, same).select(*[docs[c] for c in docs.columns])
+    single = docs.join(one.where(one[copies] == 1), same).select(*[docs[c] for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
+    order = Window.partitionBy(own, text_hash).orderBy(*others)
+    repeated = (
+        docs.join(one.where(one[copies] > 1), same)
+        .withColumn(place, F.row_number().over(order))
+        .where(F.col(place) == 1)
+        .select(*docs.columns)
+    )
+    return single.unionByName(repeated)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,16 @@ def test_copies_end_with_one(spark):
     docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.dedup_near(spark, docs, SMALL).collect()
     assert sorted(r.doc_id for r in kept) == [0, 1, 2]
+
+
+def test_repeated_rows_end_with_one(spark, odd_documents):
+    kept = corpus_pipeline.dedup_near(spark, odd_documents, SMALL).collect()
+    # Alike are 7, 9 and both rows of 8, and so are 12 and 13.
+    assert len(kept) == len({(r.doc_id, r.text) for r in kept}) == odd_documents.count() - 4
+    rows = [(None, "a text that comes without an id " * 9, "en", s, 9) for s in "cabab"]
+    rows += [(None, None, "en", "a", None)] * 3 + [(4, "", "en", "b", 0), (4, "", "en", "a", 0)]
+    rows += [(8, "own words that come twice under one id", "en", s, 9) for s in "ba"]
+    docs = prepare(spark).createDataFrame(rows, odd_documents.schema)
+    kept = corpus_pipeline.dedup_near(spark, docs, SMALL).collect()
+    found = Counter((r.doc_id, (r.text or "")[:5], r.source) for r in kept)
+    assert found == Counter([(None, "a tex", "a"), (None, "", "a"), (4, "", "a"), (8, "own w", "a")])
