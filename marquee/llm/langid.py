@@ -136,7 +136,11 @@ class Model:
         self.candidates = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
 
     def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by language, and letters, of each token.
+        """Scores by language, and letters, of each token."""
+        return self.weighed(tokens)[:2]
+
+    def weighed(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores by language, letters, and letters in a script that some language has.
 
         Letters whose script is not a language's count against it; letters in a script that no
         language has say nothing.
@@ -145,10 +149,12 @@ class Model:
         number = len(tokens)
         candidates = self.candidates[found.script]
         own = np.where(candidates, self.scores[found.cell], OUTSIDE)
-        own[~candidates.any(axis=1)] = 0.0
+        known = candidates.any(axis=1)
+        own[~known] = 0.0
         scores = [np.bincount(found.token, column, number) for column in own.T]
         letters = np.bincount(found.token, found.counted, number).astype(np.int64)
-        return np.stack(scores, axis=1), letters
+        told = np.bincount(found.token, found.counted & known, number).astype(np.int64)
+        return np.stack(scores, axis=1), letters, told
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -203,6 +209,7 @@ class Labeller:
         self.place = _Places()
         self.table = np.zeros((1 << 16, self.number))
         self.letters = np.zeros(1 << 16, np.int64)
+        self.told = np.zeros(1 << 16, np.int64)
 
     def _places(self, tokens: list[str]) -> np.ndarray:
         if len(self.place) > MEMO:
@@ -215,12 +222,17 @@ class Labeller:
             while len(self.table) < len(self.place):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+                self.told = np.concatenate([self.told, np.zeros_like(self.told)])
             fresh = slice(known, len(self.place))
-            self.table[fresh], self.letters[fresh] = self.model.words([tokens[i] for i in first])
+            weighed = self.model.weighed([tokens[i] for i in first])
+            self.table[fresh], self.letters[fresh], self.told[fresh] = weighed
         return places
 
     def label(self, text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Language, share of letters it labels, and spans (first word, words, language)."""
+        """Language, share of letters it labels, and spans (first word, words, language).
+
+        Letters in a script that no language has are labelled, but do not count for the share.
+        """
         tokens = text.split()
         if not self.number or not tokens:
             return UND, 0.0, []
@@ -236,7 +248,8 @@ class Labeller:
         spans = [
             (int(a), int(b - a), self.model.languages[path[a]]) for a, b in zip(edges[:-1], edges[1:])
         ]
-        return self.model.languages[best], float(by_language[best] / total), spans
+        told = int(self.told[places][path == best].sum())
+        return self.model.languages[best], told / total, spans
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:

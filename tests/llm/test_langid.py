@@ -82,3 +82,15 @@ def test_odd_rows(spark, odd_documents, no_documents):
     unknown = langid.fit(no_documents)
     assert {r.lang_pred for r in langid.identify(odd_documents, unknown).collect()} == {"und"}
     assert langid.identify(no_documents, unknown).collect() == []
+
+
+def test_letters_that_no_language_has_score_nothing(spark):
+    labeller = langid.Labeller(model(spark))
+    for text in ("這是一個沒有學過的語言", "ภาษาไทย ไม่มี ใครรู้"):
+        lang, score, spans = labeller.label(text)
+        assert lang in labeller.model.languages and score == 0.0 and spans
+    lang, score, _ = labeller.label(f"{EN} 日本")
+    letters = sum(map(str.isalpha, EN))
+    assert lang == "en" and score == letters / (letters + 2)
+    docs = prepare(spark).createDataFrame([(1, "這是一個沒有學過的語言"), (2, EN)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_score for r in langid.identify(docs, labeller.model).collect()} == {1: 0.0, 2: 1.0}
