@@ -1,21 +1,24 @@
 """Main text of web pages by deducing the template of each host from equivalence classes.
 
-Tokens are the block tags of a page, told apart by their path. The occurrence vector of a token
-holds how often it occurs on each page of the host; tokens with the same vector form an
-equivalence class. Vectors are compared by their number of pages, their sum and a hash that adds
-up over pages, so one aggregation by (host, token) finds the classes, however many pages a host
-has. A class is used if it is on enough pages, has several tokens, and is valid: on a page its
-tokens come in the class's order, and a nested class lies within one slot of the outer.
+Tokens are the block tags of a page, told apart by their path, and its short texts, told apart by
+path and words. The occurrence vector of a token holds how often it occurs on each page of the
+host; tokens with the same vector form an equivalence class. Vectors are compared by their number
+of pages, their sum and a hash that adds up over pages, so one aggregation by (host, token) finds
+the classes, however many pages a host has. A class is used if it is on enough pages and has
+several tokens. Layouts that few of a host's pages have are hosts of their own.
 
 The class whose tokens occur once on each page is the frame of the template; its tokens cut a
-page into slots. Slots in parts that are never article (menus, forms, notices and so on) are
-left out, as are slots that say the same on all pages; the frame's element that holds the
-article gives the text. Hosts with fewer than LEAST_PAGES pages show no template of their own
-and share the one of all such hosts.
+page into slots, and must come in the class's order on a page. Slots in parts that are never
+article (menus, forms, notices and so on) are left out, as are slots that say the same on all
+pages; the frame's element that holds the article gives the text. A text in the class of an
+element around it, which may repeat on a page, is part of the template as well: it is left out
+where each such element of the page holds it once. Hosts with fewer than LEAST_PAGES pages show
+no template of their own and share the one of all such hosts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -35,6 +38,13 @@ LEAST_PAGES = 3
 #: Share of a host's pages that a token is on to belong to its template: bounds a template by
 #: the tokens of a page times the inverse.
 LEAST_SHARE = 0.2
+#: Pages from which on a layout that less than LEAST_SHARE of its host's pages have is on its own.
+LAYOUT_PAGES = 20
+#: Stands for the pages of a host whose layout is not on its own.
+OTHERS = -1
+#: Share of a host's pages that a text must be on, and share of a page's article that the texts of
+#: a class may be, to belong to its template: what is more are copies of an article.
+TEXT_PAGES, TEXT_SHARE = 0.5, 0.4
 #: A slot that says the same everywhere is part of the template up to so many characters a page.
 CONSTANT_CHARS = 400
 #: Share of the text outside furniture that the article's element holds at least.
@@ -112,7 +122,18 @@ def in_furniture(path: tuple[str, ...], below: int = 0, by_name: bool = True) ->
 
 
 def _key(block: Block) -> str:
-    return ("/" if block.kind == "close" else "") + ">".join(block.path)
+    """Token of a block: path of an element, ``/`` and path of its end, ``=``, path, # and hash of a text."""
+    path = ">".join(block.path)
+    if block.kind == "text":
+        return f"={path}#{hashlib.blake2b(block.text.encode(errors='replace'), digest_size=8).hexdigest()}"
+    return f"/{path}" if block.kind == "close" else path
+
+
+def layout_of(page: list[Block]) -> int:
+    """A number for the elements of a page that may hold others, wherever they repeat."""
+    opened = {b.path for b in page if b.kind == "open"}
+    held = [p for p in opened if p[-1].split(".")[0] not in LEAF_TAGS]
+    return zlib.crc32("\n".join(sorted(map(">".join, held))).encode(errors="replace"))
 
 
 class _Seen:
@@ -131,31 +152,38 @@ def _mark(page: int, times: int) -> int:
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each batch says about the tokens of a host's layouts; the empty token counts pages."""
     for batch in batches:
-        seen: dict[tuple[str, str], _Seen] = {}
+        seen: dict[tuple[str, int, str], _Seen] = {}
         columns = (batch.column(c).to_pylist() for c in ("host", "page", "html"))
         for host, page, markup in zip(*columns):
-            own: dict[str, list] = {}
-            for place, block in enumerate(blocks(markup or "")):
+            own: dict[str, list] = {"": [1, 0, []]}
+            all_blocks = list(blocks(markup or ""))
+            layout = layout_of(all_blocks)
+            for place, block in enumerate(all_blocks):
                 if block.kind == "text":
                     key = ">".join(block.path)
                     if key in own:
                         own[key][2].append(block.text)
-                else:
-                    own.setdefault(_key(block), [0, place, []])[0] += 1
+                    if not key or len(block.text) > CONSTANT_CHARS:
+                        continue
+                one = own.setdefault(_key(block), [0, place, []])
+                one[0] += 1
+                if block.kind == "text":
+                    one[2].append(block.text)
             for key, (times, place, texts) in own.items():
-                one = seen.setdefault((host, key), _Seen())
-                said = zlib.crc32("\n".join(texts).encode()) if texts else 0
+                one = seen.setdefault((host, layout, key), _Seen())
+                said = zlib.crc32("\n".join(texts).encode(errors="replace")) if texts else 0
                 one.pages += 1
                 one.times += times
                 one.mark += _mark(page, times)
                 one.place += place
                 one.chars += sum(map(len, texts))
                 one.least, one.most = min(one.least, said), max(one.most, said)
-        names = ["host", "token", *_Seen.__slots__]
+        names = ["host", "layout", "token", *_Seen.__slots__]
         rows = [(*key, *(getattr(one, s) for s in _Seen.__slots__)) for key, one in seen.items()]
         values = zip(*rows) if rows else [()] * len(names)
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * len(_Seen.__slots__)]
+        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * len(_Seen.__slots__)]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
 
@@ -165,22 +193,36 @@ def host_of(url: Column) -> Column:
     return F.lower(found)
 
 
+def _added_up(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("host", "layout", "token").agg(
+        *[F.sum(s).alias(s) for s in ("pages", "times", "mark", "place", "chars")],
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+    )
+
+
 def deduce(pages: DataFrame) -> DataFrame:
-    """Templates of (host, page, html): (host, n_pages, template), the last as JSON.
+    """Templates of (host, page, html): (host, layout, n_pages, template), the last as JSON.
 
-    A template is a list of classes, the frame first: pages, times in all, and the tokens in
-    order with their characters of text and whether they always say the same.
+    ``layout`` is OTHERS but for layouts on their own. A template is a list of classes, the frame
+    first: pages, times in all, and the tokens in order with their characters of text and whether
+    they always say the same.
     """
-    tokens = (
-        pages.mapInArrow(_observe, "host string, token string, " + ", ".join(f"{s} long" for s in _Seen.__slots__))
-        .groupBy("host", "token")
-        .agg(
-            *[F.sum(s).alias(s) for s in ("pages", "times", "mark", "place", "chars")],
-            F.min("least").alias("least"),
-            F.max("most").alias("most"),
-        )
+    kinds = "host string, layout long, token string, " + ", ".join(f"{s} long" for s in _Seen.__slots__)
+    observed = store(_added_up(pages.mapInArrow(_observe, kinds)), "template-tokens")
+    layouts = observed.where("token = ''").select("host", "layout", "pages")
+    total = layouts.groupBy("host").agg(F.sum("pages").alias("total"))
+    rare = (F.col("pages") >= LAYOUT_PAGES) & (F.col("pages") < LEAST_SHARE * F.col("total"))
+    alone = layouts.join(total, "host").where(rare).select("host", "layout", F.lit(True).alias("alone"))
+    alone = store(alone, "template-layouts")
+    tokens = observed.join(alone, ["host", "layout"], "left")
+    tokens = _added_up(tokens.withColumn("layout", F.when(F.col("alone"), F.col("layout")).otherwise(OTHERS)))
+    counted = (
+        layouts.join(alone, ["host", "layout"], "left")
+        .groupBy("host", F.when(F.col("alone"), F.col("layout")).otherwise(OTHERS).alias("layout"))
+        .agg(F.sum("pages").alias("n_pages"))
     )
-    counted = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
+    counted = store(counted, "template-pages")
     described = F.struct(
         (F.col("place") / F.col("pages")).alias("place"),
         "token",
@@ -188,13 +230,14 @@ def deduce(pages: DataFrame) -> DataFrame:
         (F.col("least") == F.col("most")).alias("constant"),
     )
     by_vector = (
-        tokens.join(counted, "host")
+        tokens.where((F.col("token") != "") & (F.col("pages") > 1))
+        .join(counted, ["host", "layout"])
         .where(F.col("pages") >= F.greatest(F.lit(2.0), LEAST_SHARE * F.col("n_pages")))
-        .groupBy("host", "n_pages", "pages", "times", "mark")
+        .groupBy("host", "layout", "n_pages", "pages", "times", "mark")
         .agg(F.array_sort(F.collect_list(described)).alias("tokens"))
-        .where(F.size("tokens") > 1)
+        .where((F.size("tokens") > 1) & F.exists("tokens", lambda t: ~t["token"].startswith("=")))
     )
-    return by_vector.groupBy("host", "n_pages").agg(
+    return by_vector.groupBy("host", "layout", "n_pages").agg(
         F.to_json(
             F.array_sort(
                 F.collect_list(
@@ -211,10 +254,13 @@ class Template:
     def __init__(self, classes: list[dict], n_pages: int):
         self.frame = {}  # tokens of classes that occur once on a page, with their class and order
         opened = {}
+        self.chars = {}  # of each element, repeated ones too
         for number, one in enumerate(classes):
+            tags = [t for t in one["tokens"] if t["token"][0] != "="]
+            self.chars |= {t["token"]: t["chars"] for t in tags if t["token"][0] != "/"}
             if one["pages"] != one["times"]:
                 continue
-            for order, token in enumerate(one["tokens"]):
+            for order, token in enumerate(tags):
                 self.frame[token["token"]] = (number, order)
                 opened[token["token"]] = token
         paths = {k: t for k, t in opened.items() if f"/{k}" in opened}
@@ -223,6 +269,47 @@ class Template:
         short = [t for t in inside if t["constant"] and 0 < t["chars"] <= CONSTANT_CHARS * n_pages]
         says_more = any(not t["constant"] for t in inside)
         self.constant = {t["token"] for t in short} if says_more and n_pages >= LEAST_PAGES else set()
+        self.said = self._said(classes, n_pages) if self.main and n_pages >= LEAST_PAGES else {}
+        self.said_in = {k[1:].rsplit("#", 1)[0] for k in self.said}
+
+    def _said(self, classes: list[dict], n_pages: int) -> dict[str, str]:
+        """Texts of the template in the article, with the innermost element around of their class."""
+        said = {}
+        article = sum(n for k, n in self.chars.items() if f"{k}>".startswith(f"{self.main}>"))
+        for one in classes:
+            opens = {t["token"] for t in one["tokens"] if t["token"][0] not in "=/"}
+            own, chars = {}, 0
+            for token in one["tokens"]:
+                path = token["token"][1:].rsplit("#", 1)[0]
+                if token["token"][0] != "=" or not f"{path}>".startswith(f"{self.main}>"):
+                    continue
+                names = path.split(">")
+                outer = (">".join(names[:n]) for n in range(len(names), 0, -1))
+                if found := next((o for o in outer if o in opens), None):
+                    own[token["token"]] = found
+                    chars += token["chars"]
+            few = chars * n_pages <= TEXT_SHARE * article * one["pages"]
+            if few and one["pages"] >= TEXT_PAGES * n_pages:
+                said |= own
+        return said
+
+    def repeated(self, page: list[Block]) -> set[int]:
+        """Places of the texts of a page that are part of the template."""
+        if not self.said:
+            return set()
+        times: dict[str, int] = {}
+        found: dict[str, list[tuple[int, int]]] = {}
+        for place, block in enumerate(page):
+            path = ">".join(block.path)
+            if block.kind == "open":
+                times[path] = times.get(path, 0) + 1
+            elif block.kind == "text" and path in self.said_in and (outer := self.said.get(key := _key(block))):
+                found.setdefault(key, []).append((place, times.get(outer, 0)))
+        out = set()
+        for key, at in found.items():
+            if [n for _, n in at] == list(range(1, times.get(self.said[key], 0) + 1)):
+                out.update(place for place, _ in at)
+        return out
 
     def _main(self, paths: dict[str, dict]) -> str | None:
         """Path of the frame's element that holds the article."""
@@ -233,10 +320,14 @@ class Template:
                 return min(named, key=lambda k: (not split[k][-1].startswith(MAIN_TAGS), k.count(">"), k))
         free = {k: t for k, t in paths.items() if not in_furniture(split[k])}
         holders = [k for k in free if split[k][-1].split(".")[0] not in LEAF_TAGS]
-        within = {k: sum(t["chars"] for j, t in free.items() if (j + ">").startswith(k + ">")) for k in holders}
-        total = sum(t["chars"] for t in free.values())
-        holding = [k for k, n in within.items() if total and n >= MAIN_SHARE * total]
-        return max(holding, key=lambda k: (k.count(">"), k)) if holding else None
+        every = {k: n for k, n in self.chars.items() if not in_furniture(tuple(k.split(">")))}
+        for chars in (every, {k: t["chars"] for k, t in free.items()}):
+            within = {k: sum(n for j, n in chars.items() if f"{j}>".startswith(f"{k}>")) for k in holders}
+            total = sum(chars.values())
+            holding = [k for k, n in within.items() if total and n >= MAIN_SHARE * total]
+            if holding:
+                return max(holding, key=lambda k: (k.count(">"), k))
+        return None
 
     def valid(self, page: list[Block]) -> bool:
         """Whether the frame's tokens come in order and no more than once on the page."""
@@ -258,11 +349,11 @@ class Template:
         if main and not any(b.path[: len(main)] == main for b in page):
             main = ()
         found = main or _own_main(page, True)
-        constant = self.constant if found and ">".join(found) == self.main else set()
-        said = _texts(page, found, True, constant)
+        own = bool(found) and ">".join(found) == self.main
+        said = _texts(page, found, True, self.constant if own else set(), self.repeated(page) if own else set())
         if not said:
             found = found or _own_main(page, False)
-            said = _texts(page, found, True, set()) or _texts(page, found, False, set())
+            said = _texts(page, found, True) or _texts(page, found, False)
         return "\n\n".join(said)
 
 
@@ -278,13 +369,20 @@ def _own_main(page: list[Block], by_name: bool) -> tuple[str, ...]:
     return min((p for p in opened if is_main(p[-1], by_name) and not in_furniture(p, 0, by_name)), key=len, default=())
 
 
-def _texts(page: list[Block], main: tuple[str, ...], by_name: bool, constant: set[str]) -> list[str]:
+def _texts(
+    page: list[Block],
+    main: tuple[str, ...],
+    by_name: bool,
+    constant: set[str] = frozenset(),
+    repeated: set[int] = frozenset(),
+) -> list[str]:
     n = len(main)
     return [
         b.text
-        for b in page
+        for place, b in enumerate(page)
         if b.kind == "text"
         and b.path[:n] == main
+        and place not in repeated
         and not in_furniture(b.path, n, by_name)
         and ">".join(b.path) not in constant
     ]
@@ -305,7 +403,8 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", out: str = "tex
     column named ``out`` is replaced; an empty table stays empty.
     """
     df = df.drop(out)
-    host, template, n_pages = unused(df, "host", "template", "n_pages")
+    host, of, layout, template, n_pages = unused(df, "host", "of", "layout", "template", "n_pages")
+    split, own_template, own_pages = unused(df, "split", "own_template", "own_pages")
     seen = df.select(
         host_of(F.col(url)).alias("host"),
         F.xxhash64(*[df[c] for c in (url, html)]).alias("page"),
@@ -318,14 +417,35 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", out: str = "tex
         "host", F.when(F.col("small"), F.lit("*")).otherwise(F.col("host"))
     )
     found = store(deduce(grouped.select("host", "page", "html")), "templates")
+    found = found.withColumnRenamed("host", "of")
+    alone = found.where(F.col("layout") != OTHERS)
+    several = alone.select("of", F.lit(True).alias(split)).distinct()
     named = own.select("host", F.when(F.col("own"), F.col("host")).otherwise("*").alias("of"))
-    found = store(
-        named.join(found.withColumnRenamed("host", "of"), "of").select(
-            F.col("host").alias(host), F.col("template").alias(template), F.col("n_pages").alias(n_pages)
+    by_host = store(
+        named.join(found.where(F.col("layout") == OTHERS), "of", "left").join(several, "of", "left").select(
+            F.col("host").alias(host),
+            F.col("of").alias(of),
+            F.col(split),
+            F.col("template").alias(template),
+            F.col("n_pages").alias(n_pages),
         ),
         "templates-by-host",
     )
-    joined = df.withColumn(host, host_of(F.col(url))).join(found, host, "left").drop(host)
+    joined = df.withColumn(host, host_of(F.col(url))).join(by_host, host, "left").drop(host)
+    if not alone.isEmpty():
+        joined = _with_layout(joined, html, split, layout)
+        alone = alone.select(
+            F.col("of").alias(of),
+            F.col("layout").alias(layout),
+            F.col("template").alias(own_template),
+            F.col("n_pages").alias(own_pages),
+        )
+        joined = (
+            joined.join(alone, [of, layout], "left")
+            .withColumn(template, F.coalesce(own_template, template))
+            .withColumn(n_pages, F.coalesce(own_pages, n_pages))
+        )
+    joined = joined.select(*df.columns, template, n_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,3 +457,17 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", out: str = "tex
             )
 
     return joined.mapInArrow(run, T.StructType([*df.schema, T.StructField(out, T.StringType())]))
+
+
+def _with_layout(df: DataFrame, html: str, split: str, out: str) -> DataFrame:
+    """Add the layout of the pages that ``split`` says it matters for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = zip(batch.column(html).to_pylist(), batch.column(split).to_pylist())
+            layouts = [layout_of(list(blocks(h or ""))) if wanted else None for h, wanted in pages]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(layouts, pa.int64())], [*batch.schema.names, out]
+            )
+
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(out, T.LongType())]))

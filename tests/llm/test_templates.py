@@ -118,6 +118,47 @@ def test_names_of_wrappers_are_no_furniture(spark):
         assert row.text.split("\n\n") == [*title, f"One w{i}", f"Two w{i}"], row
 
 
+def test_repeated_parts_of_unnamed_layouts(spark):
+    """Unnamed share rows, notices and item labels that repeat on a page; layouts few pages have."""
+    draw = random.Random(9)
+    rows, expected = [], {}
+    share = "<ul><li>Send by mail<li>Print<li>Copy link</ul>"
+    for i in range(40):
+        title, *body = article(draw)
+        menu = "".join(f"<li>m{draw.randrange(99)}" for _ in range(draw.randrange(2, 5)))
+        text = f"<h2>{title}</h2><p>All rights are ours</p>{''.join(f'<p>{b}</p>' for b in body)}"
+        items = [article(draw)[0] for _ in range(draw.randrange(1, 4))]
+        boxes = "".join(f"<section><p>Fact</p><p>{x}</p></section>" for x in items)
+        rows.append((i, f"http://x/{i}", f"<body><div><ul>{menu}</ul></div><div><div>{text}{share}{boxes}</div></div></body>"))
+        expected[i] = "\n\n".join([title, *body, *items])
+    for i in range(40, 320):  # seven layouts of 40 pages each
+        title, *body = article(draw)
+        outer, inner = [("div", "section"), ("section", "div"), ("center", "div"), ("div", "center"),
+                        ("center", "section"), ("section", "center"), ("main-part", "div")][i % 7]
+        text = f"<h2>{title}</h2>{''.join(f'<p>{b}</p>' for b in body)}"
+        menu = f"<{inner}><b>Home {draw.randrange(99)}</b></{inner}>"
+        rows.append((i, f"http://hot/{i}", f"<body>{menu}<{outer}><{inner}>{text}</{inner}><p>Ours {i % 7}</p></{outer}></body>"))
+        expected[i] = "\n\n".join([title, *body])
+    df = prepare(spark).createDataFrame(rows, "page_id long, url string, html string")
+    for row in templates.extract(df).collect():
+        assert row.text == expected[row.page_id], row
+
+
+def test_unnamed_layout_equals_its_article(spark):
+    rows, expected = pages(random.Random(5), 80)
+    df = prepare(spark).createDataFrame(rows, "page_id long, url string, html string")
+    found = templates.extract(df).where("url like '%b.example%'").collect()
+    assert len(found) == 40 and all(row.text == expected[row.page_id] for row in found)
+
+
+def test_near_copies_keep_their_article(spark):
+    same = "".join(f"<p>Paragraph {k} of a text that all pages share</p>" for k in range(4))
+    rows = [(i, f"http://x/{i}", f"<article><h1>Title {i}</h1>{same}<p>End {i}</p></article>") for i in range(9)]
+    df = prepare(spark).createDataFrame(rows, "page_id long, url string, html string")
+    for row in templates.extract(df).collect():
+        assert row.text.count("Paragraph") == 4
+
+
 def test_copies_keep_their_article(spark):
     rows, expected = pages(random.Random(4), 1)
     df = prepare(spark).createDataFrame(
