@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 from cinema import BASE, NOON, hold, money
-from conftest import rows
+from frames import rows
 
 from marquee.operators import admission
 from marquee.operators.customers import upsert_customers

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import rows
+from frames import rows
 from cinema import BASE, NOON, at, hold, money
 from pyspark.sql import functions as F
 

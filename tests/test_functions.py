@@ -4,7 +4,7 @@ import math
 from datetime import date, datetime
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from marquee.functions import calendar as cal

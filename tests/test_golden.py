@@ -6,7 +6,7 @@ from datetime import date
 
 import pytest
 from cinema import money
-from conftest import rows
+from frames import rows
 
 from marquee.functions import calendar as cal
 from marquee.operators import dashboard, reports

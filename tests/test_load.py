@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from cinema import BASE, at, hold, money
-from conftest import rows
+from frames import rows
 
 from marquee.operators import reports
 from marquee.plans.fact import FACT_COLUMNS, fact_bookings

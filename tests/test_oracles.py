@@ -6,7 +6,7 @@ import math
 
 import duckdb
 import pytest
-from conftest import SMALL
+from frames import SMALL
 
 import __spark_entry__ as entry
 from marquee.oracles import ORACLES

@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from cinema import money
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from marquee.operators import dashboard, distributions, reports

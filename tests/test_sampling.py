@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from cinema import BASE, NOON, hold
-from conftest import rows
+from frames import rows
 
 from marquee.operators import sampling
 from marquee.sources.schemas import OPERATIONAL

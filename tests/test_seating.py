@@ -4,7 +4,7 @@ import json
 from datetime import date, timedelta
 
 from cinema import BASE, NOON, at, hold, money
-from conftest import rows
+from frames import rows
 
 from marquee.operators import seating
 from marquee.sources.generators import build_seats, build_showtimes, date_series, explode_int_series, int_series

@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import pytest
 from cinema import BASE, hold, money
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from marquee.operators.reports import daily_revenue, mv_daily_revenue

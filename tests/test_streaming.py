@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 from cinema import BASE, NOON, at, hold, money
-from conftest import SMALL, rows
+from frames import SMALL, rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_admission import frame, one_by_one, random_requests
