@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import centroids, quality, queries
 
 # Lines that hold a word, trimmed, numbered from 0 in their text, and windows of three of them.
 LINE_DEDUP = """
@@ -136,4 +136,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM based
 """
 
-ORACLES: dict[str, str] = {"op2_quality": QUALITY, "op6_line_dedup": LINE_DEDUP, "op8_mixing": MIXING}
+
+def _centroids(k: int, rounds: int, dim: int, seed: int) -> str:
+    """Every distance of every round; components are rows."""
+    limit = centroids.LARGEST / centroids.SCALE
+    nearest = """SELECT id, number, distance FROM (
+      SELECT v.id, c.number, sum((v.x - c.x) * (v.x - c.x)) AS distance
+      FROM parts v JOIN middle{r} c ON c.place = v.place GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, number) = 1"""
+    moves = "".join(
+        f"""
+near{r} AS MATERIALIZED ({nearest.format(r=r)}),
+middle{r + 1} AS MATERIALIZED (
+  SELECT c.number, c.place, CASE WHEN s.n IS NULL THEN c.x
+         ELSE ((s.total - ((s.total % s.n) + s.n) % s.n) // s.n)::BIGINT END AS x
+  FROM middle{r} c LEFT JOIN (
+    SELECT a.number, v.place, sum(v.x)::BIGINT AS total, count(*) AS n
+    FROM near{r} a JOIN parts v USING (id) GROUP BY ALL) s USING (number, place)),"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {dim}
+  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < {limit})) = {dim}),
+parts AS MATERIALIZED (SELECT id, unnest(v) AS x, unnest(range({dim})) AS place FROM kept),
+first AS (
+  SELECT id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS number
+  FROM kept QUALIFY number < {k}),
+middle0 AS MATERIALIZED (SELECT f.number, p.place, p.x FROM first f JOIN parts p USING (id)),{moves}
+near AS MATERIALIZED ({nearest.format(r=rounds)}),
+prints AS (
+  SELECT number, sha256(string_agg(x::VARCHAR, ',' ORDER BY place)) AS centroid_sha256 FROM middle{rounds} GROUP BY 1)
+SELECT vec_id, number::INTEGER AS cluster, distance::BIGINT AS distance,
+       (sum(distance) OVER (PARTITION BY number))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM near JOIN kept USING (id) JOIN prints USING (number)
+"""
+
+
+CENTROIDS = _centroids(
+    queries.CENTROIDS, queries.CENTROID_ROUNDS, queries.CENTROID_DIM, queries.CENTROID_SEED
+)
+
+ORACLES: dict[str, str] = {
+    "op2_quality": QUALITY,
+    "op6_line_dedup": LINE_DEDUP,
+    "op8_mixing": MIXING,
+    "op13_centroids": CENTROIDS,
+}

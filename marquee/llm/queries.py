@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, templates, token_counts
+from . import bpe, centroids, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, templates, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ TOKEN_LIMIT = 512
 SEED = 7
 SHARDS = 8
 NEIGHBOURS = 10
+CENTROIDS, CENTROID_ROUNDS, CENTROID_DIM, CENTROID_SEED = 40, 5, 64, 2
 
 
 def _query(run: Query) -> Query:
@@ -140,3 +141,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(vectors, CENTROIDS, CENTROID_ROUNDS, CENTROID_DIM, CENTROID_SEED)

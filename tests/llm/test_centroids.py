@@ -1,0 +1,84 @@
+"""Centroid clustering against all distances, in plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from marquee.llm import centroids
+from marquee.llm.common import prepare
+from marquee.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+SCHEMA = "vec_id long, embedding array<double>"
+
+
+def plain(rows, k, rounds, dim, seed):
+    kept = []
+    for key, vector in rows:
+        if vector is None or len(vector) != dim or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        if any(abs(x) >= centroids.LARGEST / 256 for x in vector):
+            continue
+        kept.append((key, [math.floor(256 * float(x)) for x in vector]))
+    name = lambda key: hashlib.sha256(f"{seed}:{key}".encode()).hexdigest()
+    first = sorted(kept, key=lambda r: (r[0] is None, name(r[0]) if r[0] is not None else "", r[1]))
+    middle = [list(v) for _, v in first[:k]]
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    best = lambda v: min((gap(v, c), i) for i, c in enumerate(middle))
+    for _ in range(rounds):
+        own = [best(v)[1] for _, v in kept]
+        for i in range(len(middle)):
+            part = [v for (_, v), o in zip(kept, own) if o == i]
+            if part:
+                middle[i] = [sum(x) // len(part) for x in zip(*part)]
+    found = [(key, *best(v)) for key, v in kept]
+    total = {i: sum(d for _, d, o in found if o == i) for i in range(len(middle))}
+    prints = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in middle]
+    return sorted(
+        ((key, i, d, total[i], sum(total.values()), prints[i]) for key, d, i in found), key=repr
+    )
+
+
+def collected(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
+    assert collected(QUERIES["op13_centroids"](spark, SMALL)) == plain(rows, 40, 5, 64, 2)
+
+
+def test_ties_repeats_and_clusters(spark):
+    draw = random.Random(3)
+    rows = [(i, [draw.choice([0.0, 1.0, -0.3]) for _ in range(3)]) for i in range(300)]
+    rows += rows[:40]
+    df = prepare(spark).createDataFrame(rows, SCHEMA).repartition(5)
+    assert collected(centroids.cluster(df, 9, 4, 3, 2)) == plain(rows, 9, 4, 3, 2)
+
+
+def test_odd_rows(spark):
+    nan, inf = math.nan, math.inf
+    rows = [
+        (0, [1.0, -2.0]), (0, [1.0, -2.0]), (0, [0.5, 3.0]), (1, None), (2, []), (3, [1.0]), (4, [nan, 1.0]),
+        (5, [-inf, 1.0]), (6, [None, 1.0]), (None, [9.0, 9.0]), (7, [0.0, 0.0]), (8, [1e9, 0.0]),
+        (9, [131071.9, -131071.9]), (10, [1.0, 2.0, 3.0]),
+    ]
+    df = prepare(spark).createDataFrame(rows, SCHEMA).withColumn("cluster", F.lit("x")).withColumn("vector", F.lit(1))
+    for k in (2, 40):
+        assert collected(centroids.cluster(df, k, 3, 2, 2)) == plain(rows, k, 3, 2, 2)
+    assert centroids.cluster(df.where("false"), 40, 3, 2, 2).collect() == []
+
+
+def test_walk_stops_early():
+    draw = np.random.default_rng(1)
+    middle = draw.integers(-9000, 9000, (200, 4))
+    vectors = middle[draw.integers(0, 200, 700)] + draw.integers(-40, 40, (700, 4))
+    who, distance, taken = centroids.SortedLists(middle.tolist()).nearest(vectors)
+    every = ((vectors[:, None] - middle[None]) ** 2).sum(axis=2)
+    assert (who == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all()
+    assert taken < 0.2 * every.size

@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     result = duck.execute(ORACLES[name])
     columns = sorted(c[0] for c in result.description)
