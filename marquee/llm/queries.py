@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, templates, token_counts
+from . import bpe, centroids, conversations, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, templates, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    summary, turns = conversations.repair(conversations.damage(rows))
+    named = lambda df: df.withColumn("key", conversations.conversation(F.col("conv_id")))
+    every = named(rows.select("conv_id").distinct())
+    found = every.join(named(summary).drop("conv_id"), "key", "left")
+    found = found.join(conversations.digests(turns), "key", "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return found.select(
+        "conv_id",
+        *[count(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 @_query
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
