@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +62,61 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Bits of a hash that one count looks at when the lowest hashes are searched.
+REACH_BITS = 12
+
+
+def lowest_hashes(hashed: DataFrame, group: str, n: int) -> dict[Any, int]:
+    """Of each group of ``hashed`` (group, hash long) the n-th smallest different hash, or the
+    greatest if there are fewer; null groups are left out.
+
+    Counts of hashes by their leading bits close in on it, so no task ranks a group. A step sends
+    at most 2^REACH_BITS counts of each group to the driver; the last one ranks the few hashes
+    that share twice that many bits.
+    """
+    rows = hashed.where(F.col(group).isNotNull()).groupBy(group, "hash").agg(F.lit(1).alias("one"))
+    rows = store(rows.select(F.col(group).alias("of"), "hash"), "hashes")
+    cut: dict[Any, tuple[int, int]] = {}  # leading bits of the hash looked for, and how many are below
+
+    def narrow(rows: DataFrame, bits: int) -> None:
+        lead = F.shiftright("hash", 64 - bits).alias("lead")
+        counts: dict[Any, list[tuple[int, int]]] = {}
+        for row in rows.groupBy("of", lead).agg(F.count("*").alias("n")).collect():
+            counts.setdefault(row["of"], []).append((row["lead"], row["n"]))
+        for key, found in counts.items():
+            below = cut[key][1] if key in cut else 0
+            for lead, number in sorted(found):
+                cut[key] = lead, below
+                if below + number >= n:
+                    break
+                below += number
+
+    def inside(bits: int) -> DataFrame:
+        table = rows.sparkSession.createDataFrame([(k, c[0]) for k, c in cut.items()], f"of {kind}, lead long")
+        return rows.join(table, "of").where(F.shiftright("hash", 64 - bits) == F.col("lead")).drop("lead")
+
+    kind = rows.schema["of"].dataType.simpleString()
+    narrow(rows, REACH_BITS)
+    if not cut:
+        return {}
+    narrow(inside(REACH_BITS), 2 * REACH_BITS)
+    last: dict[Any, list[int]] = {}
+    for row in inside(2 * REACH_BITS).collect():
+        last.setdefault(row["of"], []).append(row["hash"])
+    return {key: sorted(found)[: n - cut[key][1]][-1] for key, found in last.items()}
+
+
+def held(name: str, made_from: Any, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks, made when ``made_from`` is new to it.
+
+    Workers outlive the stages they serve. There is one place for all operators, so the tables
+    and memos of one go when another begins.
+    """
+    place = sys.modules.setdefault("marquee_worker_state", ModuleType("marquee_worker_state"))
+    if getattr(place, "key", None) != (name, made_from):
+        place.key = place.value = None
+        place.value = make()
+        place.key = name, made_from
+    return place.value

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, conversations, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, templates, token_counts
+from . import bpe, centroids, conversations, langid, line_dedup, mixing, near_dup, neighbours, quality, sharding, templates, token_counts, votes
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    marks = read(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("doc_id")
+    marks = marks.agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
+    labelled = docs.where(~held_out).join(marks.where("label = most"), "doc_id")
+    scored = votes.classify(docs.withColumn("held_out", held_out), votes.fit(labelled))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @_query
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
