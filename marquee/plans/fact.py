@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, time_of_day_etl
@@ -69,23 +69,32 @@ def booking_lines(m: Model) -> DataFrame:
     )
 
 
-def fact_bookings(m: Model, pg_padded: bool = False) -> DataFrame:
-    """Booking fact at the grain of ``GRAIN``; payments without a date cannot be placed.
+def booked_seats(m: Model) -> DataFrame:
+    """Seats (``n``) of every payment and showtime, added up at the grain of ``GRAIN``.
 
-    Tickets shrink to one row per (payment, showtime) before they meet the payments, and the
-    descriptive columns join last, so only narrow rows are shuffled. Showtime decides movie
-    and auditorium, customer id decides e-mail and name: grouping by the ids is enough.
+    Tickets shrink to one row per (payment, showtime) before they meet the payments. Payments
+    without a date cannot be placed.
     """
     seats = _ticketed(m).groupBy("payment_id", "showtime_id").agg(F.count("ticket_id").alias("n"))
     payments = m["payments"].filter(F.col("payment_date").isNotNull())
-    booked = (
-        seats.join(payments.withColumnRenamed("id", "payment_id"), "payment_id")
-        .groupBy(*GRAIN)
-        .agg(F.sum("n").cast("int").alias("seats_booked"))
-    )
+    paid = seats.join(payments.withColumnRenamed("id", "payment_id"), "payment_id")
+    return paid.groupBy(*GRAIN).agg(F.sum("n").alias("n"))
+
+
+def month_number(column: str = "payment_date") -> Column:
+    """Months since year 0, which number the fact's partitions."""
+    return F.year(column) * 12 + F.month(column)
+
+
+def described(booked: DataFrame, m: Model, pg_padded: bool = False) -> DataFrame:
+    """Fact rows of booked seats, with the attributes of their showtime and customer.
+
+    The descriptive columns join last, so only narrow rows are shuffled. Showtime decides movie
+    and auditorium, customer id decides e-mail and name: grouping by the ids is enough.
+    """
+    counted = booked.select(*GRAIN, F.col("n").cast("int").alias("seats_booked"))
     # ids of a month do not depend on other months, so months can be rebuilt one by one
-    month = F.year("payment_date") * 12 + F.month("payment_date")
-    keyed = with_surrogate_key(booked, GRAIN, within=month)
+    keyed = with_surrogate_key(counted, GRAIN, within=month_number())
     rows = keyed.join(showings(m), "showtime_id").join(_people(m), "customer_id")
     return rows.select(
         "id",
@@ -107,3 +116,8 @@ def fact_bookings(m: Model, pg_padded: bool = False) -> DataFrame:
         *calendar_columns("payment_date", pg_padded),
         time_of_day_etl(F.hour("payment_date")).alias("time_of_day"),
     ).select(*FACT_COLUMNS)
+
+
+def fact_bookings(m: Model, pg_padded: bool = False) -> DataFrame:
+    """Booking fact at the grain of ``GRAIN``; payments without a date are left out."""
+    return described(booked_seats(m), m, pg_padded)

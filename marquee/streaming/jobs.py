@@ -9,26 +9,27 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.calendar import ntz
-from ..functions.numeric import money_sum
 from ..operators.admission import admit_bookings
 from ..operators.seating import slot_first_claim
-from ..plans.fact import fact_bookings
-from ..sinks.tables import overwrite_partitions
-from ..sources.snapshots import load_booking_model, load_table, read_changes
-from .feed import read_change_feed
+from .feed import read_all_changes, read_change_feed
+from .follow import FactFollower, RevenueFollower, daily_revenue_of
 from .slots import SLOT, read_slots, write_slots
+from .store import BUCKETS
 
-FACT_PARTITIONS = ["year", "month_num"]
 CLAIM = "showtime_id long, seat_id long, request_id long, requested_at timestamp"
 RELEASED = "showtime_id long, seat_id long, released_at timestamp_ntz"
 _SLOTS = "showtime_id long, seat_id long"
 
 
+def _state(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}/state-of-job"
+
+
 def _start(stream: DataFrame, checkpoint: str, run: Callable, available_now: bool) -> StreamingQuery:
     """Run ``run(batch, batch_id)`` on every micro-batch, read once."""
 
@@ -43,124 +44,42 @@ def _start(stream: DataFrame, checkpoint: str, run: Callable, available_now: boo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _in_periods(column: str, unit: str, starts: list) -> Column:
-    """Rows of the given months or days, with a range that reaches the scan."""
-    step = F.expr(f"INTERVAL 1 {unit}")
-    first, last = F.lit(starts[0]), F.lit(starts[-1])
-    when = F.col(column)
-    return (
-        (when >= first.cast("timestamp_ntz"))
-        & (when < (last.cast("timestamp_ntz") + step))
-        & F.to_date(F.date_trunc(unit, column)).isin(starts)
-    )
-
-
-def _touched(payments: DataFrame, unit: str) -> list:
-    """The months or days of payments, bounded by the calendar."""
-    start = F.to_date(F.date_trunc(unit, "payment_date")).alias("start")
-    dated = payments.filter(F.col("payment_date").isNotNull())
-    return sorted(row[0] for row in dated.select(start).distinct().collect())
-
-
-def refresh_touched_months(spark: SparkSession, landing: str, fact_path: str, changed: DataFrame) -> None:
-    """Recompute the fact months that changed payments, tickets or reservations belong to.
-
-    ``changed`` has payment_id, ticket_id and reservation_id, any may be null. Whole months are
-    replaced, so replaying a batch gives the same table; fact ids depend on the month alone. A
-    payment that moved touches the months of all its versions, and a ticket those of the payments
-    of all its versions, even if a deletion carries its id alone.
-    """
-    m = load_booking_model(spark, landing)
-    reserved = changed.select("reservation_id").dropna().distinct()
-    tickets = read_changes(spark, landing, "tickets")
-    via_holds = tickets.join(reserved, "reservation_id", "left_semi").select("payment_id")
-    own = changed.select(F.col("ticket_id").alias("id")).dropna().distinct()
-    via_tickets = tickets.join(own, "id", "left_semi").select("payment_id")
-    paid = changed.select("payment_id").unionByName(via_holds).unionByName(via_tickets)
-    ids = paid.dropna().distinct()
-    versions = read_changes(spark, landing, "payments")
-    months = _touched(versions.join(ids, F.col("id") == F.col("payment_id"), "left_semi"), "MONTH")
-    if not months:
-        return
-    affected = m["payments"].filter(_in_periods("payment_date", "MONTH", months))
-    fresh = fact_bookings({**m, "payments": affected})
-    fresh = fresh.persist()
-    left = {tuple(row) for row in fresh.select(*FACT_PARTITIONS).distinct().collect()}
-    for month in months:
-        if (month.year, month.month) not in left:  # it has lost its last row
-            _remove(spark, f"{fact_path}/year={month.year}/month_num={month.month}")
-    overwrite_partitions(fresh, fact_path, FACT_PARTITIONS)
-    fresh.unpersist()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def stream_fact_bookings(
-    spark: SparkSession, landing: str, fact_path: str, checkpoint: str, available_now: bool = False
+    spark: SparkSession,
+    landing: str,
+    fact_path: str,
+    checkpoint: str,
+    available_now: bool = False,
+    files_per_trigger: int | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Keep the fact up to date from the feed of payments, tickets and holds.
+    """Keep the fact up to date from the feed of all published tables.
 
-    Parents (customers, showtimes, movies) are taken to arrive before their children, as
-    foreign keys make them.
+    Rows may come in any order: tickets before their payment or hold, bookings before their
+    customer, showtime, movie or auditorium. Changed and deleted rows of any table reach the fact.
+    What the job remembers lies beside its checkpoint and goes with it.
     """
-
-    def keys(table: str, **own: str) -> DataFrame:
-        none = F.lit(None).cast("bigint")
-        return read_change_feed(spark, landing, table).select(
-            *[
-                (F.col(own[key]) if key in own else none).alias(key)
-                for key in ("payment_id", "ticket_id", "reservation_id")
-            ]
-        )
-
-    changed = (
-        keys("payments", payment_id="id")
-        .unionByName(keys("tickets", payment_id="payment_id", ticket_id="id"))
-        .unionByName(keys("reservation_holds", reservation_id="id"))
-    )
-    return _start(
-        changed,
-        checkpoint,
-        lambda batch, _: refresh_touched_months(batch.sparkSession, landing, fact_path, batch),
-        available_now,
-    )
-
-
-def daily_revenue_of(payments: DataFrame) -> DataFrame:
-    """Revenue per day of payments with a date."""
-    return (
-        payments.filter(F.col("payment_date").isNotNull())
-        .groupBy(F.to_date("payment_date").alias("booking_date"))
-        .agg(money_sum("amount").alias("daily_revenue"), F.count(F.lit(1)).alias("bookings"))
-    )
+    follower = FactFollower(spark, _state(checkpoint), fact_path, buckets)
+    changes = read_all_changes(spark, landing, files_per_trigger)
+    return _start(changes, checkpoint, follower.apply, available_now)
 
 
 def stream_daily_revenue(
-    spark: SparkSession, landing: str, out: str, checkpoint: str, available_now: bool = False
+    spark: SparkSession,
+    landing: str,
+    out: str,
+    checkpoint: str,
+    available_now: bool = False,
+    files_per_trigger: int | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Revenue per day, a table partitioned by day, kept up to date from the payment feed.
 
-    A batch recomputes the days its payments touch, however late they are.
+    A batch adds the differences that its payments make, however late they are.
     """
-
-    def refresh(batch: DataFrame, _: int) -> None:
-        versions = read_changes(spark, landing, "payments")
-        changed = versions.join(batch.select("id").distinct(), "id", "left_semi")
-        days = _touched(changed, "DAY")
-        if not days:
-            return
-        paid = load_table(spark, landing, "payments").filter(_in_periods("payment_date", "DAY", days))
-        fresh = daily_revenue_of(paid)
-        left = {row[0] for row in fresh.select("booking_date").collect()}
-        for day in days:
-            if day not in left:
-                _remove(spark, f"{out}/booking_date={day}")
-        overwrite_partitions(fresh, out, ["booking_date"])
-
-    return _start(read_change_feed(spark, landing, "payments"), checkpoint, refresh, available_now)
+    follower = RevenueFollower(spark, _state(checkpoint), out, buckets)
+    payments = read_change_feed(spark, landing, "payments", files_per_trigger)
+    return _start(payments, checkpoint, follower.apply, available_now)
 
 
 def claim_batch(batch: DataFrame, batch_id: int, out: str) -> None:
