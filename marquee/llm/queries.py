@@ -149,8 +149,8 @@ def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     marks = read(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("doc_id")
     marks = marks.agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
-    labelled = docs.where(~held_out).join(marks.where("label = most"), "doc_id")
-    scored = votes.classify(docs.withColumn("held_out", held_out), votes.fit(labelled))
+    model = votes.fit(docs.where(~held_out), marks.where("label = most"))
+    scored = votes.classify(docs.withColumn("held_out", held_out), model)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -38,7 +38,7 @@ DIMENSIONS, ROUNDS = 48, 4
 #: Labelled vectors that vote; ties with the last of them vote as well.
 NEIGHBOURS = 7
 #: Words that a worker remembers, and texts and cells that are worked on at a time.
-MEMO, BLOCK_TEXTS, BLOCK_CELLS = 100_000, 256, 1 << 16
+MEMO, BLOCK_TEXTS, BLOCK_CELLS = 250_000, 256, 1 << 16
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
@@ -186,21 +186,27 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label") -> Model:
     """Fit on at most SAMPLE_DOCS texts of label 1 and as many of label 0, those of the lowest
-    hashes of the text. Equal texts count once, with the greater of their labels; null texts and
-    labels other than 0 and 1 are left out. Without labelled texts every score is 0.5."""
-    known = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1))
-    texts = known.groupBy(F.xxhash64(text).alias("hash")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    hashes of the text, by ``docs`` (key, text) and ``labels`` (key, label).
+
+    Equal texts count once, with the greater of their labels; null keys and texts and labels other
+    than 0 and 1 are left out. Without labelled texts every score is 0.5. Only hashes of texts are
+    shuffled, and the texts of the sample.
+    """
+    hashed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key"))
+    known = known.agg(F.max(F.col(label).cast("int")).alias("label"))
+    texts = hashed.distinct().join(known, "key").groupBy("hash").agg(F.max("label").alias("label"))
     texts = store(texts, "vote-texts")
     number = {row["label"]: row["n"] for row in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     reach = lowest_hashes(texts, "label", SAMPLE_DOCS)
     inside = F.lit(False)
-    for key, hash_ in reach.items():
-        inside |= (F.col("label") == key) & (F.col("hash") <= F.lit(hash_).cast("long"))
-    chosen = texts.where(inside)
+    for value, hash_ in reach.items():
+        inside |= (F.col("label") == value) & (F.col("hash") <= F.lit(hash_).cast("long"))
+    chosen = store(texts.where(inside), "vote-sample")
     sample = (
-        known.select(F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+        docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
         .join(chosen, "hash")
         .dropDuplicates(["hash"])
         .mapInArrow(_bags, "hash long, label int, cells array<long>, weights array<double>")
@@ -211,9 +217,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Model:
         return Model(np.zeros((CELLS, 0)), np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0.5)
     rows = [(np.array(f[2], np.int64), np.array(f[3])) for f in found]
     labels = np.array([f[1] for f in found])
-    taken = {key: int((labels == key).sum()) for key in number}
+    taken = {value: int((labels == value).sum()) for value in number}
     basis = latent_basis(rows)
-    votes = np.array([number[key] / taken[key] for key in labels.tolist()])
+    votes = np.array([number[value] / taken[value] for value in labels.tolist()])
     prior = number.get(1, 0) / sum(number.values())
     return Model(basis, _unit(project(rows, basis)), labels.astype(float), votes, prior)
 

@@ -99,8 +99,9 @@ def test_held_out_labels(spark):
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
-    labelled = odd_documents.withColumn("label", F.when(F.col("doc_id") < 6, 1).when(F.col("doc_id") < 12, 0))
-    model = votes.fit(labelled.withColumn("hash", F.lit("x")))
+    marks = [(i, int(i < 6)) for i in range(12)] + [(8, 0), (None, 1), (77, 1), (9, None), (10, 5)]
+    labels = spark.createDataFrame(marks, "doc_id long, label int").withColumn("hash", F.lit("x"))
+    model = votes.fit(odd_documents.withColumn("hash", F.lit("x")), labels)
     named = odd_documents.withColumn("score", F.lit("x")).withColumn("label", F.lit(1)).withColumn("hash", F.lit(2))
     found = votes.classify(named, model).collect()
     assert len(found) == odd_documents.count()
@@ -108,13 +109,13 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert {r.score for r in found if r.doc_id in (2, 3, 4)} == {model.prior}
     assert len({r.score for r in found if r.doc_id == 8}) == 1
     assert votes.classify(no_documents, model).collect() == []
-    none = votes.fit(no_documents.withColumn("label", F.lit(1)))
+    none = votes.fit(no_documents, labels)
     assert {r.score for r in votes.classify(odd_documents, none).collect()} == {0.5}
 
 
 def test_one_label_only(spark, odd_documents):
-    model = votes.fit(odd_documents.withColumn("label", F.lit(0)))
-    assert {r.score for r in votes.classify(odd_documents, model).collect()} == {0.0}
+    labels = odd_documents.select("doc_id", F.lit(0).alias("label"))
+    assert {r.score for r in votes.classify(odd_documents, votes.fit(odd_documents, labels)).collect()} == {0.0}
 
 
 def test_lowest_hashes(spark):
