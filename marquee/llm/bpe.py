@@ -18,24 +18,24 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import Memo, share
 from .merges import merge, rule
 
 #: Characters of a text that are split into pre-tokens at a time.
 LEAF_CHARS = 1 << 18
 #: Bytes of a leaf of the encoding tree, merged without further halving.
 LEAF_BYTES = 4
-#: Memoised words, and halves and windows of them, that a worker holds at most; beyond, a memo
-#: starts anew. Workers live on between stages, so what they hold adds up.
-MEMO, PART_MEMO = 150_000, 80_000
+#: Words, and halves and windows of words, in one of the two generations of a worker's memos.
+MEMO, PART_MEMO = 200_000, 100_000
+#: Longest words, halves (bytes) and windows (tokens) that are remembered.
+MEMO_CHARS, MEMO_BYTES, MEMO_TOKENS = 64, 4 * 4, 8
 #: Ids decoded in one leaf of the decoding tree.
 LEAF_IDS = 1 << 15
 _CUT = regex.compile(r"(?<=\S)\s")
@@ -82,10 +82,10 @@ class TreeCodec:
             if token[:i] in ranks and token[i:] in ranks
         }
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
-        self.halves: dict[bytes, tuple[int, ...]] = {}
-        self.windows: dict[tuple[int, ...], tuple[int, ...]] = {}
-        self.fitting: dict[tuple[int, int], bool] = {}
-        self.words = _Words(self)
+        self.halves = Memo(self._halved, PART_MEMO)
+        self.windows = Memo(self._merged, PART_MEMO)
+        self.fitting = Memo(lambda edge: self._plain(edge) == edge, PART_MEMO)
+        self.words = Memo(self._word, MEMO)
 
     # -- bytes ------------------------------------------------------------------------------
 
@@ -95,32 +95,21 @@ class TreeCodec:
         return (whole,) if whole is not None else self._tree(piece)
 
     def _tree(self, piece: bytes) -> tuple[int, ...]:
-        found = self.halves.get(piece)
-        if found is None:
-            if len(piece) <= LEAF_BYTES:
-                found = tuple(merge([self.of_byte[b] for b in piece], self.pairs))
-            else:
-                middle = len(piece) // 2
-                found = self._join(self._tree(piece[:middle]), self._tree(piece[middle:]))
-            if len(piece) <= 4 * LEAF_BYTES:
-                if len(self.halves) > PART_MEMO:
-                    self.halves.clear()
-                self.halves[piece] = found
-        return found
+        return self.halves[piece] if len(piece) <= MEMO_BYTES else self._halved(piece)
+
+    def _halved(self, piece: bytes) -> tuple[int, ...]:
+        if len(piece) <= LEAF_BYTES:
+            return tuple(merge([self.of_byte[b] for b in piece], self.pairs))
+        middle = len(piece) // 2
+        return self._join(self._tree(piece[:middle]), self._tree(piece[middle:]))
 
     def _join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
-        edge = (left[-1], right[0])
-        fits = self.fitting.get(edge)
-        if fits is None:
-            if len(self.fitting) > PART_MEMO:
-                self.fitting.clear()
-            fits = self.fitting[edge] = self._plain(edge) == edge
-        if fits:
+        if self.fitting[left[-1], right[0]]:
             return left + right
         size = 2
         while True:
             head, tail = left[-size:], right[:size]
-            window = tuple(self._plain(head + tail))
+            window = self._plain(head + tail)
             left_final = size >= len(left) or window[0] == head[0]
             right_final = size >= len(right) or window[-1] == tail[-1]
             if left_final and right_final:
@@ -128,45 +117,31 @@ class TreeCodec:
             size *= 2
 
     def _plain(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
-        found = self.windows.get(tokens)
-        if found is None:
-            data = b"".join(map(self.vocabulary.__getitem__, tokens))
-            found = tuple(merge([self.of_byte[b] for b in data], self.pairs))
-            if len(tokens) <= 8:
-                if len(self.windows) > PART_MEMO:
-                    self.windows.clear()
-                self.windows[tokens] = found
-        return found
+        return self.windows[tokens] if len(tokens) <= MEMO_TOKENS else self._merged(tokens)
+
+    def _merged(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
+        data = b"".join(map(self.vocabulary.__getitem__, tokens))
+        return tuple(merge([self.of_byte[b] for b in data], self.pairs))
 
     # -- texts ------------------------------------------------------------------------------
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text."""
-        word = self.words.__getitem__
-        return np.frombuffer(
-            b"".join(b"".join(map(word, self.split(leaf))) for leaf in leaves(text)), np.int32
-        )
+        found = b"".join(b"".join(map(self._bytes_of, self.split(leaf))) for leaf in leaves(text))
+        return np.frombuffer(found, np.int32)
+
+    def _bytes_of(self, word: str) -> bytes:
+        return self.words[word] if len(word) <= MEMO_CHARS else self._word(word)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a pre-token as the bytes of 32-bit numbers."""
+        return array("i", self.encode_piece(word.encode())).tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a token sequence."""
         return decode_ids(self.vocabulary, ids)
 
 
-class _Words(dict):
-    """Pre-token to its ids as the bytes of 32-bit numbers, made when first asked for."""
-
-    def __init__(self, codec: TreeCodec):
-        self.codec = codec
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array("i", self.codec.encode_piece(word.encode())).tobytes()
-        if len(word) <= 64:
-            if len(self) > MEMO:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 def leaves(text: str, size: int = LEAF_CHARS) -> Iterator[str]:
     """The text in pieces that the split pattern treats as it treats the whole.
 
@@ -183,45 +158,49 @@ def leaves(text: str, size: int = LEAF_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-@lru_cache(maxsize=2)
-def _codec(raw: bytes, pattern: str) -> TreeCodec:
-    return TreeCodec(parse_ranks(raw), pattern)
-
-
-@lru_cache(maxsize=2)
-def _vocabulary(raw: bytes) -> list[bytes]:
-    return by_id(parse_ranks(raw))
-
+def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
 
-def _share(df: DataFrame, path: str) -> Broadcast:
-    return df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-
-def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+def _encoded(codec: TreeCodec, texts: list[str | None]) -> tuple[list[np.ndarray], pa.Array]:
+    encoded = [codec.encode(t or "") for t in texts]
+    ends = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
+    flat = np.concatenate(encoded) if encoded else np.zeros(0, np.int32)
+    return encoded, pa.ListArray.from_arrays(ends, flat)
 
 
 def encode(
-    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids"
+    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None
 ) -> DataFrame:
     """Add the token ids of ``text`` as an array column ``ids``; all other columns stay.
 
+    With ``decoded`` the ids are decoded in the same pass, and their bytes added under that name.
+
     Special tokens are not known: their strings are ordinary text. A null or empty text has an
-    empty array. Texts are encoded whole, however long; repeated rows get equal arrays, an empty
-    table stays empty. A column that already has the name ``ids`` is replaced.
+    empty array and no bytes. Texts are encoded whole, however long; repeated rows get equal
+    arrays, an empty table stays empty. Columns that already have the new names are replaced.
+    ``pattern`` must cut texts as ``leaves`` expects: no match may hold white space after
+    something else.
     """
-    raw, df = _share(df, ranks_path), df.drop(ids)
+    codec_of = share(
+        df.sparkSession, (read_ranks(ranks_path), pattern), lambda x: TreeCodec(parse_ranks(x[0]), x[1])
+    )
+    df = df.drop(ids, *([decoded] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(raw.value, pattern)
+        codec = codec_of()
         for batch in batches:
-            encoded = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
-            flat = np.concatenate(encoded) if encoded else np.zeros(0, np.int32)
-            yield _with(batch, ids, pa.ListArray.from_arrays(ends, flat))
+            encoded, column = _encoded(codec, batch.column(text).to_pylist())
+            if decoded is None:
+                yield _with(batch, **{ids: column})
+            else:
+                whole = pa.array([codec.decode(x) for x in encoded], pa.binary())
+                yield _with(batch, **{ids: column, decoded: whole})
 
-    schema = T.StructType([*df.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(run, schema)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if decoded is not None:
+        added.append(T.StructField(decoded, T.BinaryType()))
+    return df.mapInArrow(run, T.StructType([*df.schema, *added]))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -230,14 +209,15 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
     An id outside the vocabulary raises IndexError. A column that has the name ``out`` already
     is replaced, all others stay.
     """
-    raw, df = _share(df, ranks_path), df.drop(out)
+    vocabulary_of = share(df.sparkSession, read_ranks(ranks_path), lambda raw: by_id(parse_ranks(raw)))
+    df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(raw.value)
+        vocabulary = vocabulary_of()
         for batch in batches:
             column = batch.column(ids)
             rows = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else _NO_IDS for x in column)
-            yield _with(batch, out, pa.array([decode_ids(vocabulary, x) for x in rows], pa.binary()))
+            yield _with(batch, **{out: pa.array([decode_ids(vocabulary, x) for x in rows], pa.binary())})
 
     schema = T.StructType([*df.schema, T.StructField(out, T.BinaryType())])
     return df.mapInArrow(run, schema)

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from types import ModuleType
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, ensure_checkpoint_dir
+from ..sinks.files import remove
 
 #: Characters of a word (fixed by the contract of the queries): all but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows an Arrow batch holds at most: texts may be long, and a batch is held by both sides.
-BATCH_ROWS = 500
+#: Rows and bytes an Arrow batch holds at most: texts may be long, and both sides hold a batch. A
+#: longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+
+#: Paths that ``store`` wrote in this session and that nobody has deleted yet.
+STORED: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """The library's session settings, and Arrow batches small enough for long texts."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -39,9 +47,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, since: int, but: Iterable[str] = ()) -> None:
+    """Delete the tables stored since there were ``since`` of them in STORED, except ``but``."""
+    kept = set(but)
+    for path in STORED[since:]:
+        if path not in kept:
+            remove(spark, path)
+    STORED[since:] = [path for path in STORED[since:] if path in kept]
+
+
 def words(text: Column) -> Column:
     """The words of a text in order, an empty array for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
@@ -108,15 +126,45 @@ def lowest_hashes(hashed: DataFrame, group: str, n: int) -> dict[Any, int]:
     return {key: sorted(found)[: n - cut[key][1]][-1] for key, found in last.items()}
 
 
-def held(name: str, made_from: Any, make: Callable[[], Any]) -> Any:
+def held(made_from: str, make: Callable[[], Any]) -> Any:
     """What a worker process keeps between tasks, made when ``made_from`` is new to it.
 
     Workers outlive the stages they serve. There is one place for all operators, so the tables
-    and memos of one go when another begins.
+    and memos of one go when another begins. The place is a module of the worker's own, as
+    executors need no copy of this package.
     """
     place = sys.modules.setdefault("marquee_worker_state", ModuleType("marquee_worker_state"))
-    if getattr(place, "key", None) != (name, made_from):
+    if getattr(place, "key", None) != made_from:
         place.key = place.value = None
+        gc.collect()
         place.value = make()
-        place.key = name, made_from
+        place.key = made_from
     return place.value
+
+
+def share(spark: SparkSession, value: Any, make: Callable[[Any], Any] = lambda value: value) -> Callable[[], Any]:
+    """A function that gives, in any task, what ``make`` makes of ``value``, once per worker.
+
+    ``value`` is broadcast; it must have a bound that does not grow with the data.
+    """
+    name = uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: held(name, lambda: make(cloudpickle.loads(sent.value)))
+
+
+class Memo(dict):
+    """Values by key, made when first asked for; of two generations the older is forgotten when
+    the younger has ``size`` entries, so what is asked for often stays."""
+
+    def __init__(self, make: Callable[[Any], Any], size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

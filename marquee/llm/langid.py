@@ -11,21 +11,19 @@ largest gain of any stretch is found with running sums.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import lowest_hashes, share
 
-#: Labelled documents that a language's model is fitted on at most, the first by a hash of key.
+#: Labelled texts that a language's model is fitted on at most, the first by a hash of the text.
 SAMPLE_DOCS = 600
 #: Trigrams are hashed to so many cells: bounds the model, whatever the corpus.
 CELLS = 1 << 16
@@ -61,8 +59,10 @@ _EDGE_LEFT, _EDGE_RIGHT = ord("<"), ord(">")
 _MIX = np.random.default_rng(5).integers(1 << 20, 1 << 31, 4, dtype=np.int64) | 1
 
 
-@lru_cache(maxsize=1)
-def _alphabet() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Alphabet = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def alphabet() -> Alphabet:
     """For every code point: whether it belongs to words, whether it is a letter, its script."""
     everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     of_word, letter = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
@@ -86,13 +86,13 @@ class Letters(NamedTuple):
     counted: np.ndarray  # whether it is a letter, not a mark
 
 
-def letters_of(tokens: list[str]) -> Letters:
+def letters_of(tokens: list[str], signs: Alphabet | None = None) -> Letters:
     """Letters of tokens (without line feeds) in lower case, all at once.
 
     A trigram is a letter with its two neighbours; where a run of letters begins or ends, an edge
     takes the neighbour's place.
     """
-    of_word, letter, scripts = _alphabet()
+    of_word, letter, scripts = signs or alphabet()
     code = np.frombuffer("\n".join(tokens).lower().encode("utf-32-le"), np.uint32).astype(np.int64)
     inside = of_word[code]
     left = np.where(np.r_[False, inside[:-1]], np.r_[0, code[:-1]], _EDGE_LEFT)
@@ -105,13 +105,14 @@ def letters_of(tokens: list[str]) -> Letters:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells and scripts of each language in a batch, summed up."""
+    signs = alphabet()
     for batch in batches:
         rows: list[tuple[str, str, int, int]] = []
         texts: dict[str, list[str]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             texts.setdefault(lang, []).extend((text or "").split())
         for lang, tokens in texts.items():
-            found = letters_of(tokens)
+            found = letters_of(tokens, signs)
             for kind, values in (("cell", found.cell), ("script", found.script)):
                 counts = np.bincount(values)
                 rows += [(lang, kind, int(i), int(counts[i])) for i in np.flatnonzero(counts)]
@@ -126,6 +127,7 @@ class Model:
     """Languages, their scripts, and log probabilities of trigram cells."""
 
     def __init__(self, counts: list[tuple[str, str, int, int]]):
+        self.signs: Alphabet | None = None  # made where the model is used
         self.languages = sorted({lang for lang, *_ in counts})
         place = {lang: i for i, lang in enumerate(self.languages)}
         cells = np.zeros((CELLS, len(place)))
@@ -145,7 +147,9 @@ class Model:
         Letters whose script is not a language's count against it; letters in a script that no
         language has say nothing.
         """
-        found = letters_of(tokens)
+        if self.signs is None:
+            self.signs = alphabet()
+        found = letters_of(tokens, self.signs)
         number = len(tokens)
         candidates = self.candidates[found.script]
         own = np.where(candidates, self.scores[found.cell], OUTSIDE)
@@ -157,26 +161,20 @@ class Model:
         return np.stack(scores, axis=1), letters, told
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Fit on up to SAMPLE_DOCS documents of each language; null languages are left out.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """Fit on up to SAMPLE_DOCS texts of each language; null languages are left out.
 
-    The sample of a language are its documents of the lowest hashes. The hashes alone decide how
-    far it reaches; only then are texts read and moved, those of the sample. Equal documents count
-    once. What reaches the driver is bounded by the number of languages times that of cells.
+    The sample of a language are its texts of the lowest hashes; equal texts count once. Counts of
+    hashes decide how far it reaches; only then are texts read and moved, those of the sample.
+    What reaches the driver is bounded by the number of languages times that of cells.
     """
     hashed = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("hash")
-    )
-    order = Window.partitionBy("lang").orderBy("hash")
-    reach = (
-        hashed.select("lang", "hash")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= SAMPLE_DOCS)
-        .groupBy("lang")
-        .agg(F.max("hash").alias("reach"))
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")
     )
+    reach = list(lowest_hashes(hashed.select("lang", "hash"), "lang", SAMPLE_DOCS).items())
+    reach = labelled.sparkSession.createDataFrame(reach, "lang string, reach long")
     sample = (
-        hashed.join(store(reach, "langid-sample"), "lang")
+        hashed.join(reach, "lang")
         .where(F.col("hash") <= F.col("reach"))
         .dropDuplicates(["lang", "hash"])
         .select("lang", "text")
@@ -294,10 +292,10 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     knows no language. Texts are read whole. Columns of these names are replaced.
     """
     df = df.drop("lang_pred", "lang_score", "lang_spans")
-    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    labeller_of = share(df.sparkSession, model, Labeller)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = _labeller(shared.value)
+        labeller = labeller_of()
         for batch in batches:
             found = [labeller.label(t or "") for t in batch.column(text).to_pylist()]
             spans = [[dict(zip(("first", "words", "lang"), s)) for s in x[2]] for x in found]
@@ -322,8 +320,3 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 _SPAN_ARROW = pa.list_(
     pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
 )
-
-
-@lru_cache(maxsize=1)
-def _labeller(pickled: bytes) -> Labeller:
-    return Labeller(pickle.loads(pickled))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
+from .common import Memo
+
 #: Elements that stay inside a block of text, and elements without an end tag (fixed values).
 INLINE = set(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
@@ -56,13 +57,16 @@ class Block(NamedTuple):
     text: str
 
 
-@lru_cache(maxsize=4096)
-def _name(tag: str, attributes: str) -> str:
+def _named(key: tuple[str, str]) -> str:
     """Tag with its class, id and role; numbers in them do not tell elements apart."""
+    tag, attributes = key
     names = " ".join("".join(m) for m in _NAMED.findall(attributes)).lower().split()
     return ".".join([tag, *(_DIGITS.sub("0", n) for n in names)])
 
 
+_NAME = Memo(_named, 4096)
+
+
 def _tokens(page: str) -> Iterator[re.Match]:
     """Tags and texts of a page in order, without the elements in DROPPED."""
     at: int | None = 0
@@ -128,7 +132,7 @@ def blocks(page: str) -> Iterator[Block]:
                     break
         if tag in VOID:
             continue
-        stack.append(_name(tag, m[4]))
+        stack.append(_NAME[tag, m[4]])
         tags.append(tag)
         yield Block("open", tuple(stack), "")
     yield from text()

@@ -13,7 +13,6 @@ shingles and returns no more links than it has members.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bagminhash as bag
-from .common import store
+from .common import Memo, store
 from .components import components
 
 THRESHOLD = 0.8
@@ -52,17 +51,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@lru_cache(maxsize=64)
-def _multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return bag.shingles(bag.normal(text))
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs of texts that are near; neighbouring rows often share a pivot."""
+    pivots = Memo(lambda text: bag.shingles(bag.normal(text)), 16)
     for batch in batches:
         pairs = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
         near = [
-            bag.similarity(bag.shingles(bag.normal(a)), _multiset(b)) >= THRESHOLD for a, b in pairs
+            bag.similarity(bag.shingles(bag.normal(a)), pivots[b]) >= THRESHOLD for a, b in pairs
         ]
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 

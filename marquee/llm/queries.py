@@ -36,8 +36,8 @@ def _text_size() -> Column:
 @_query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(encoded, RANKS).select(
+    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded")
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -23,14 +23,13 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store, unused
+from .common import Memo, store, unused
 from .markup import Block, blocks
 
 #: Pages of a host from which on it has a template of its own.
@@ -88,26 +87,38 @@ def _tells_furniture(name: str) -> bool:
     return bool(told) and (bool(told & TELLING_WORDS) or set(words) <= FURNITURE_WORDS | HOLDER_WORDS)
 
 
-@lru_cache(maxsize=1 << 14)
-def is_furniture(name: str, by_name: bool = True) -> bool:
-    """Whether an element is never article, by its tag or, if ``by_name``, its names.
-
-    Names of the root and the body say what the page has.
-    """
+def _furniture(key: tuple[str, bool]) -> bool:
+    name, by_name = key
     tag, *names = name.split(".")
     if tag in FURNITURE_TAGS:
         return True
     return by_name and tag not in ("html", "body") and any(map(_tells_furniture, names))
 
 
-@lru_cache(maxsize=1 << 14)
-def is_main(name: str, by_name: bool = True) -> bool:
+def _is_main(key: tuple[str, bool]) -> bool:
+    name, by_name = key
     tag, *names = name.split(".")
     if is_furniture(name, by_name) or tag in ("html", "body"):
         return False
     return tag in MAIN_TAGS or bool({w for n in names for w in _WORD.findall(n)} & MAIN_WORDS)
 
 
+_FURNITURE, _MAIN = Memo(_furniture, 1 << 13), Memo(_is_main, 1 << 13)
+
+
+def is_furniture(name: str, by_name: bool = True) -> bool:
+    """Whether an element is never article, by its tag or, if ``by_name``, its names.
+
+    Names of the root and the body say what the page has.
+    """
+    return _FURNITURE[name, by_name]
+
+
+def is_main(name: str, by_name: bool = True) -> bool:
+    """Whether an element is named as holding the article."""
+    return _MAIN[name, by_name]
+
+
 def in_furniture(path: tuple[str, ...], below: int = 0, by_name: bool = True) -> bool:
     """Whether an element of the path, from the place ``below`` on, is no article.
 
@@ -388,8 +399,8 @@ def _texts(
     ]
 
 
-@lru_cache(maxsize=4096)
-def _template(described: str | None, n_pages: int) -> Template:
+def _template(key: tuple[str | None, int]) -> Template:
+    described, n_pages = key
     return Template(json.loads(described) if described else [], n_pages)
 
 
@@ -448,9 +459,10 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", out: str = "tex
     joined = joined.select(*df.columns, template, n_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Memo(_template, 1024)
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in (html, template, n_pages))
-            texts = [_template(t, n or 0).text(list(blocks(h or ""))) for h, t, n in zip(*columns)]
+            texts = [templates[t, n or 0].text(list(blocks(h or ""))) for h, t, n in zip(*columns)]
             rest = batch.drop_columns([template, n_pages])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(texts, pa.string())], [*rest.schema.names, out]

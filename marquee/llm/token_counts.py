@@ -9,9 +9,7 @@ distinct one once while a worker remembers it.
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -19,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import leaves
+from .common import Memo, share
 from .merges import merge, rule
 
-#: Merged pre-tokens a worker remembers at most.
-MEMO = 500_000
+#: Merged pre-tokens in one of the two generations of a worker's memo, and the longest of them.
+MEMO, MEMO_CHARS = 250_000, 64
 #: The byte-level split (fixed value): contractions, letters, numbers, other signs, white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,7 +66,7 @@ class TokenCounter:
         self.split = regex.compile(SPLIT).findall
         longest_first = sorted(self.added, key=len, reverse=True)
         self.around = regex.compile("|".join(map(regex.escape, longest_first))) if self.added else None
-        self.counts = _Counts(self)
+        self.counts = Memo(self.merged, MEMO)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in vars(self).items() if k not in ("split", "around", "counts")}
@@ -101,30 +100,13 @@ class TokenCounter:
         return total + self._plain(text[start:])
 
     def _plain(self, text: str) -> int:
-        of = self.counts.__getitem__
-        return sum(sum(map(of, self.split(leaf))) for leaf in leaves(text))
+        return sum(sum(map(self._tokens, self.split(leaf))) for leaf in leaves(text))
 
-
-class _Counts(dict):
-    """Tokens of a pre-token: one if proven whole, else merged when first asked for."""
-
-    def __init__(self, counter: TokenCounter):
-        super().__init__(dict.fromkeys(counter.whole, 1))
-        self.counter = counter
-
-    def __missing__(self, piece: str) -> int:
-        n = self.counter.merged(piece)
-        if len(piece) <= 64:
-            if len(self) > MEMO + len(self.counter.whole):
-                self.clear()
-                self.update(dict.fromkeys(self.counter.whole, 1))
-            self[piece] = n
-        return n
-
-
-@lru_cache(maxsize=2)
-def _counter(pickled: bytes) -> TokenCounter:
-    return pickle.loads(pickled)
+    def _tokens(self, piece: str) -> int:
+        """Tokens of a pre-token: one if proven whole, else merged when first asked for."""
+        if piece in self.whole:
+            return 1
+        return self.counts[piece] if len(piece) <= MEMO_CHARS else self.merged(piece)
 
 
 def count_tokens(
@@ -138,10 +120,10 @@ def count_tokens(
     with open(tokenizer_path, encoding="utf-8") as file:
         counter = TokenCounter(json.load(file))
     df = df.drop(out)
-    proven = df.sparkSession.sparkContext.broadcast(pickle.dumps(counter))  # bounded by the vocabulary
+    proven = share(df.sparkSession, counter)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _counter(proven.value)
+        known = proven()
         for batch in batches:
             counts = [known.count(t) if t else 0 for t in batch.column(text).to_pylist()]
             columns = [*batch.columns, pa.array(counts, pa.int64())]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, lowest_hashes, store
+from .common import lowest_hashes, share, store
 
 #: Labelled texts of each label that the model is fitted on and that vote, at most.
 SAMPLE_DOCS = 1500
@@ -232,14 +232,14 @@ def classify(df: DataFrame, model: Model, text: str = "text", out: str = "score"
     rows stay, a column that has the name ``out`` is replaced, an empty table stays empty.
     """
     df = df.drop(out) if out != text else df
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df.sparkSession, model, lambda model: (model, Terms()))
     rest = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = held("votes", "terms", Terms)
+        known, terms = shared()
         for batch in batches:
             rows = [terms.of(t or "") for t in batch.column(text).to_pylist()]
-            columns = [*(batch.column(c) for c in rest), pa.array(shared.value.scores(rows))]
+            columns = [*(batch.column(c) for c in rest), pa.array(known.scores(rows))]
             yield pa.RecordBatch.from_arrays(columns, [*rest, out])
 
     fields = [f for f in df.schema if f.name != text]

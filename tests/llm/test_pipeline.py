@@ -18,7 +18,7 @@ from test_mixing import SIZE, plain_targets  # noqa: E402
 from test_near_dup import plain_classes  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from marquee.llm import bpe, langid  # noqa: E402
+from marquee.llm import bpe, common, langid  # noqa: E402
 from marquee.llm.common import prepare  # noqa: E402
 from marquee.llm.queries import RANKS, SEED, learnable  # noqa: E402
 
@@ -68,16 +68,37 @@ def test_documents(spark):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in found)
 
 
+CLASHING = ["position", "size", "n_removed", "n_lines", "lang_pred", "lang_score", "target", "class", "ids", "other_column_1"]
+
+
 def test_stages_keep_the_columns(spark, odd_documents, no_documents):
+    """Extra columns keep their values, whatever they are called."""
+    mark = F.concat_ws("/", F.col("doc_id").cast("string"), F.substring("text", 1, 9))
     for table in (odd_documents, no_documents):
-        docs = table.withColumn("lang_pred", F.lit("x")).withColumn("class", F.lit(1))
+        docs = table
+        for name in CLASHING:
+            docs = docs.withColumn(name, F.concat(F.lit(f"{name}:"), mark))
         for name, stage in corpus_pipeline.STAGES[:-1]:
             after = stage(spark, docs, SMALL)
             assert after.columns == docs.columns, name
+            before = {tuple(r) for r in docs.select("doc_id", *CLASHING).collect()}
+            assert {tuple(r) for r in after.select("doc_id", *CLASHING).collect()} <= before, name
             docs = after
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
 
 
+def test_run_deletes_its_steps(spark, odd_documents, no_documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "STORED", [])
+    monkeypatch.setattr(corpus_pipeline, "STORED", common.STORED)
+    for name, table in (("odd", odd_documents), ("none", no_documents)):
+        since = len(common.STORED)
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert all(r.round_trip for r in found.collect())
+        assert len(common.STORED) == since + 1  # what the last stage reads
+    assert found.collect() == []
+
+
 def test_copies_end_with_one(spark):
     rows = [(i, f"word{i % 3} " * 30 + "and the same text again", "en", "a", 9) for i in range(30)]
     docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
