@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.llm import bpe, langid, line_dedup, mixing, near_dup
-from marquee.llm.common import WORD, prepare, store, unused
+from marquee.llm.common import STORED, WORD, discard, prepare, store, unused
 from marquee.llm.queries import RANKS, SEED, learnable
 
 #: Least share of a document's letters in its main language.
 LEAST_SCORE = 1 / 3
+#: Columns of documents that stages work with.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keeps_columns(stage: Stage) -> Stage:
+    """A stage that sees other columns than DOCUMENT under names that nothing clashes with, and
+    returns the columns it was given."""
 
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hidden = {c: f"other_column_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        found = stage(spark, docs.withColumnsRenamed(hidden), sf_dir)
+        return found.withColumnsRenamed({v: k for k, v in hidden.items()}).select(*docs.columns)
 
+    return run
+
+
+@keeps_columns
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a clear main language, which becomes their ``lang``.
 
@@ -27,10 +47,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(clear).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@keeps_columns
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows removed; ``n_chars`` follows the text.
 
-    A document of which that leaves no word goes.
+    A document of which that leaves no word goes. Null, empty and wordless texts have no lines and
+    stay as they are; repeated rows (equal id and text) are one document and lose the same lines.
     """
     prepare(spark)
     found = line_dedup.dedup_lines(docs)
@@ -39,6 +61,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(~emptied).withColumn("n_chars", counted.cast("long")).select(*docs.columns)
 
 
+@keeps_columns
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least id.
 
@@ -68,18 +91,28 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.unionByName(repeated)
 
 
+@keeps_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as its source's target asks for."""
+    """Documents in training order, each as often as its source's target asks for.
+
+    Documents without a word take no share and are not in the mix; documents without a source
+    are a source of their own. Repeated rows count as often as they come.
+    """
     prepare(spark)
     return mixing.training_order(mixing.mix(docs, SEED), docs.columns).drop("position")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text.
+
+    A null or empty text has no ids. Every row is encoded, repeated ones too; other columns than
+    those named are left out.
+    """
     prepare(spark)
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    docs = docs.select("doc_id", "text", "lang", "source")
+    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded")
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return bpe.decode(encoded, RANKS).select(
+    return encoded.select(
         "doc_id",
         "lang",
         "source",
@@ -101,10 +134,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, the result of each written before the next reads it."""
+    """All stages over ``documents``, the result of each written before the next reads it.
+
+    What a stage stored on its way, and what it read, is deleted as soon as its result is written.
+    """
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = store(docs, "pipeline")
-    return docs
+    since = len(STORED)
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), "pipeline")
+        discard(spark, since, but=STORED[-1:])
+    return STAGES[-1][1](spark, docs, sf_dir)
