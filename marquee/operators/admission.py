@@ -37,21 +37,24 @@ NO_EMAIL, NO_AMOUNT, NO_SEATS = "NO_EMAIL", "NO_AMOUNT", "NO_SEATS"
 UNKNOWN_SHOWTIME, UNKNOWN_SEAT, SEAT_TAKEN = "UNKNOWN_SHOWTIME", "UNKNOWN_SEAT", "SEAT_TAKEN"
 
 
-def _checked(requests: DataFrame, showtimes: DataFrame | None, seats: DataFrame | None) -> DataFrame:
+def _checked(
+    requests: DataFrame, showtimes: DataFrame | None, seats: DataFrame | None, paid: bool
+) -> DataFrame:
     """Requests in slim form, with the reason why one cannot be booked whoever else wants what.
 
     A null showtime or seat refers to nothing and is no error; unknown ones are.
     """
     ids = F.transform("seats", lambda s: s["id"])
+    reason = F.when(F.col("seats").isNull(), NO_SEATS)
+    if paid:
+        reason = reason.when(F.col("customer_email").isNull(), NO_EMAIL)
+        reason = reason.when(F.col("payment_amount").isNull(), NO_AMOUNT)
     slim = requests.select(
         "request_id",
         "requested_at",
         "showtime_id",
         ids.alias("seat_ids"),
-        F.when(F.col("seats").isNull(), NO_SEATS)
-        .when(F.col("customer_email").isNull(), NO_EMAIL)
-        .when(F.col("payment_amount").isNull(), NO_AMOUNT)
-        .alias("reason"),
+        reason.alias("reason"),
     )
     names_seat = F.size(F.coalesce("seat_ids", F.array().cast("array<bigint>"))) > 0
     if showtimes is not None:
@@ -115,6 +118,7 @@ def admit_bookings(
     holds: DataFrame | None = None,
     showtimes: DataFrame | None = None,
     seats: DataFrame | None = None,
+    paid: bool = True,
 ) -> DataFrame:
     """Decide every request: (request_id, accepted, rejected_seat, reason).
 
@@ -123,7 +127,8 @@ def admit_bookings(
     the slots committed before. ``rejected_seat`` is the first seat, in the order of the
     request, that was unavailable when its turn came. Requests that cannot be booked at all,
     without seats, e-mail or amount, or with a showtime or seat that is not in ``showtimes`` and
-    ``seats`` (where given), are rejected first and take nothing either.
+    ``seats`` (where given), are rejected first and take nothing either. Requests that are not
+    ``paid`` for need neither e-mail nor amount.
 
     The requests are stored once in slim form. Rounds then decide winners by aggregation until
     none is undecided: each gives seats away in every open showtime, so there are at most as many
@@ -131,7 +136,7 @@ def admit_bookings(
     seats given away in its showtime; AQE may split a showtime with very many requests there.
     """
     ensure_checkpoint_dir(requests.sparkSession)
-    slim = _checked(requests, showtimes, seats).checkpoint()
+    slim = _checked(requests, showtimes, seats, paid).checkpoint()
     # null never equals null, so without showtime or seats there is nothing to compete for
     real = F.filter("seat_ids", lambda s: s.isNotNull())
     competes = F.coalesce(
@@ -281,10 +286,11 @@ def hold_seats(
     By default any existing row blocks a seat, because the slot is unique in the table; with
     ``reuse_expired`` only active holds, as of ``as_of``, block, as the availability check
     intends. A hold runs for five minutes from its request. ``customers`` give the id of the
-    customer with the request's e-mail, null without one.
+    customer with the request's e-mail, null without one. A hold is not paid for, so a request
+    needs neither amount nor e-mail.
     """
     blocking = active_holds(holds, as_of) if reuse_expired else holds
-    decisions = admit_bookings(requests, blocking, **known)
+    decisions = admit_bookings(requests, blocking, **known, paid=False)
     won = requests.join(decisions.filter("accepted").select("request_id"), "request_id", "left_semi")
     if customers is None:
         who = won.select("request_id", F.lit(None).cast("bigint").alias("customer_id"))

@@ -451,6 +451,15 @@ SQL = {
            FROM request_seats r JOIN customers c ON c.email = r.customer_email
            WHERE request_id IN (SELECT request_id FROM decisions WHERE accepted)""",
     ),
+    "hold_seats_unpaid": (
+        _queue(ACTIVE_HOLDS),
+        """SELECT r.request_id, r.showtime_id, r.seat_id,
+                  CASE WHEN r.request_id % 3 <> 0 THEN c.id END AS customer_id,
+                  r.requested_at + INTERVAL 5 MINUTE AS hold_expires_at, 'HELD' AS status
+           FROM request_seats r JOIN customers c ON c.email = r.customer_email
+           WHERE request_id IN (SELECT request_id FROM decisions WHERE accepted)""",
+    ),
+    "fact_bookings_followed": "SELECT * FROM fact",
     "booking_outputs": (
         _queue(NO_HOLDS),
         """SELECT r.request_id, r.showtime_id, r.seat_id, r.requested_at + INTERVAL 1 HOUR AS hold_expires_at,
@@ -609,6 +618,8 @@ SQL = {
 
 # The same results, by way of the published fact.
 SQL["load_fact"] = SQL["etl_summary"]
+SQL["mv_movie_performance_refreshed"] = SQL["mv_movie_performance"]
+SQL["analytics_summary_refreshed"] = SQL["analytics_summary"]
 SQL["daily_revenue_published"] = SQL["daily_revenue"]
 
 ORACLES = {

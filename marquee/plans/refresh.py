@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..operators.reports import mv_daily_revenue, mv_movie_performance, mv_timeslot_analysis
-from ..sinks.tables import write_full_refresh
+from ..sinks.publish import publish
 from ..sources.snapshots import read_fact
 
 REPORTS = {
@@ -25,6 +25,5 @@ def refresh_all_reports(spark: SparkSession, fact_path: str, reports_path: str)
     written = {}
     for name, report in REPORTS.items():
         target = f"{reports_path.rstrip('/')}/{name}"
-        write_full_refresh(report(fact), target, partition_by=(), sort_by=())
-        written[name] = target
+        written[name] = publish(report(fact), target, (), ())
     return written

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import calendar as cal
@@ -23,13 +24,16 @@ from .operators import (
     sampling,
     seating,
 )
-from .plans import dimensions, fact, load, reconciliation
+from .plans import dimensions, fact, load, partials, reconciliation
 from .session import configure, ensure_checkpoint_dir
 from .sinks.json_rows import to_json_rows
+from .sinks.publish import publish
 from .sinks.tables import append_ignore_duplicates, append_with_defaults
 from .sources.generators import build_seats, build_showtimes, date_sequence, explode_int_series
 from .sources.schemas import FACT_NOT_NULL, OPERATIONAL, PAYMENT_DEFAULTS
+from .sources.snapshots import read_fact
 from .sources.trade_tables import TradeTables
+from .streaming.follow import FactFollower
 
 AS_OF = date(2001, 8, 1)
 HOLDS_AS_OF = datetime(1998, 6, 1)
@@ -39,6 +43,9 @@ PICK_SEATS = 3
 SHOWTIME = 7
 # The fact is rebuilt in two parts, before and from this day on.
 REBUILT_FROM = date(1997, 1, 1)
+# Months whose reports are refreshed, and buckets of the stores that follow a feed here.
+STALE = [(1996, 5), (1997, 2)]
+FOLLOW_BUCKETS = 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +91,79 @@ def load_fact(t: TradeTables) -> DataFrame:
     return _published(t)[1]
 
 
+def _refreshed(t: TradeTables) -> partials.Partials:
+    """Monthly tables made from a fact that lacks bookings of one month and has a month too many
+    seats, and brought up to date with these two months."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    whole = fact.fact_bookings(t.booking_model())
+    first = (F.col("year") == STALE[0][0]) & (F.col("month_num") == STALE[0][1])
+    second = (F.col("year") == STALE[1][0]) & (F.col("month_num") == STALE[1][1])
+    stale = whole.filter(~first | (F.col("id") % 3 == 0)).withColumn(
+        "seats_booked", F.when(second, F.col("seats_booked") + 1).otherwise(F.col("seats_booked"))
+    )
+    found = partials.Partials(t.spark, f"{folder}/partials")
+    publish(stale, f"{folder}/fact")
+    found.refresh(f"{folder}/fact")
+    publish(whole, f"{folder}/fact")
+    found.refresh(f"{folder}/fact", STALE)
+    return found
+
+
+@_query
+def mv_movie_performance_refreshed(t: TradeTables) -> DataFrame:
+    return _refreshed(t).mv_movie_performance()
+
+
+@_query
+def analytics_summary_refreshed(t: TradeTables) -> DataFrame:
+    return _refreshed(t).analytics_summary()
+
+
+def _model_feed(t: TradeTables) -> list[DataFrame]:
+    """The booking model as three micro-batches of a change feed: tickets, holds and showtimes
+    with old attributes; then old customers, movies, auditoriums and all payments; last the
+    changes of every showtime, customer, movie and auditorium that was old."""
+    m = t.booking_model()
+    old = F.col("id") % 3 == 0
+
+    def rows(table: str, stale: dict[str, Column], kind: str, version: int) -> DataFrame:
+        df = m[table]
+        if kind == "UPDATE":
+            df = df.filter(old)
+        elif stale:
+            df = df.withColumns({c: F.when(old, value).otherwise(F.col(c)) for c, value in stale.items()})
+        return df.withColumns(
+            {"change_kind": F.lit(kind), "change_version": F.lit(version).cast("long"), "table": F.lit(table)}
+        )
+
+    stale = {
+        "showtimes": {"start_time": cal.shift("start_time", "MINUTE", 30)},
+        "customers": {"name": F.lit("old name")},
+        "movies": {"title": F.lit("old title"), "price": F.lit("1.00").cast("decimal(10,2)")},
+        "auditoriums": {"name": F.lit("old hall")},
+    }
+    batches = [
+        [rows(n, stale.get(n, {}), "INSERT", 1) for n in names]
+        for names in (
+            ("tickets", "reservation_holds", "showtimes"),
+            ("customers", "movies", "auditoriums", "payments"),
+        )
+    ]
+    batches.append([rows(n, {}, "UPDATE", 2) for n in stale])
+    return [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) for parts in batches]
+
+
+@_query
+def fact_bookings_followed(t: TradeTables) -> DataFrame:
+    """The fact kept by signed deltas over a feed in which children come before their parents and
+    all four dimensions change afterwards."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/follow-{uuid.uuid4().hex}"
+    follower = FactFollower(t.spark, f"{folder}/state", f"{folder}/fact", FOLLOW_BUCKETS)
+    for number, batch in enumerate(_model_feed(t)):
+        follower.apply(batch, number)
+    return read_fact(t.spark, f"{folder}/fact").drop("id")
+
+
 @_query
 def daily_revenue_published(t: TradeTables) -> DataFrame:
     """Revenue of the last days from the months of the published fact that hold them."""
@@ -305,6 +385,19 @@ def hold_seats_reuse_expired(t: TradeTables) -> DataFrame:
     return _held(t, True)["reservation_holds"]
 
 
+@_query
+def hold_seats_unpaid(t: TradeTables) -> DataFrame:
+    """Holds of requests that carry no amount, and on every third request no e-mail."""
+    requests = t.booking_requests().withColumns(
+        {
+            "payment_amount": F.lit(None).cast("decimal(10,2)"),
+            "customer_email": F.when(F.col("request_id") % 3 != 0, F.col("customer_email")),
+        }
+    )
+    held = admission.hold_seats(requests, t.reservation_holds(), HOLDS_AS_OF, True, t.customers(), **_known(t))
+    return held["reservation_holds"]
+
+
 @_query
 def booking_outputs(t: TradeTables) -> DataFrame:
     """The rows of all accepted requests side by side, joined by their new ids.

@@ -70,6 +70,9 @@ FACT_BOOKINGS = _table(
     ("time_of_day", STR),
 )
 
+#: Columns that partition the fact and what is kept by month.
+MONTH = "year int, month_num int"
+
 DIM_MOVIES = _table(
     ("movie_id", LONG),
     ("title", STR),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sinks.publish import resolve
 from .schemas import CHANGE, FACT_BOOKINGS, OPERATIONAL
 
 Model = dict[str, DataFrame]
@@ -93,9 +94,9 @@ def read_fact(spark: SparkSession, path: str, since: date | None = None) -> Data
     """Published fact, optionally only the months from ``since`` on.
 
     The month filter prunes whole partitions; the day filter of a report then only has to skip
-    row groups inside them.
+    row groups inside them. The version that is current now is the one that is read.
     """
-    fact = spark.read.schema(FACT_BOOKINGS).parquet(path)
+    fact = spark.read.schema(FACT_BOOKINGS).parquet(resolve(spark, path))
     if since is None:
         return fact
     year, month = F.col("year"), F.col("month_num")

@@ -1,7 +1,8 @@
 """Streaming versions of the fact load, daily revenue, seat claims, admission and expiry.
 
-Every job works by micro-batch on what the batch touches: months, days or showtimes. None has a
-watermark, so nothing that comes late is lost, and none forgets a slot.
+Every job works by micro-batch on what the batch touches. None has a watermark, so nothing that
+comes late is lost. What jobs remember lies in stores whose runs grow with the logarithm of the
+number of batches, and a batch reads the buckets of its own keys.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.calendar import ntz
 from ..operators.admission import admit_bookings
 from ..operators.seating import slot_first_claim
+from .expiry import expire_batch
 from .feed import read_all_changes, read_change_feed
 from .follow import FactFollower, RevenueFollower, daily_revenue_of
-from .slots import SLOT, read_slots, write_slots
+from .slots import SLOT, begun, given_away, slot_store, without
 from .store import BUCKETS
 
-CLAIM = "showtime_id long, seat_id long, request_id long, requested_at timestamp"
 RELEASED = "showtime_id long, seat_id long, released_at timestamp_ntz"
-_SLOTS = "showtime_id long, seat_id long"
 
 
 def _state(checkpoint: str) -> str:
@@ -82,35 +82,68 @@ def stream_daily_revenue(
     return _start(payments, checkpoint, follower.apply, available_now)
 
 
-def claim_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """First claims of one micro-batch on slots that nobody has claimed before it."""
-    claims = batch.dropna(subset=SLOT)
-    earlier = read_slots(claims, out, CLAIM, batch_id).select(*SLOT)
-    first = slot_first_claim(claims).join(earlier, SLOT, "left_anti")
-    write_slots(first, out, batch_id)
+Clock = Callable[[], datetime]
+
+
+def _now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
+def claim_batch(
+    batch: DataFrame, batch_id: int, out: str, showtimes: DataFrame | None = None, as_of: datetime | None = None
+) -> None:
+    """First claims of one micro-batch on slots that nobody has claimed before it.
+
+    The claims of a batch are a folder of ``out``. With ``showtimes`` and ``as_of``, showtimes that
+    have begun cannot be claimed, and their slots are forgotten.
+    """
+    over = begun(showtimes, as_of)
+    store = slot_store(batch.sparkSession, f"{out}/_slots", over)
+    claims = without(batch.dropna(subset=SLOT), over)
+    first = slot_first_claim(claims).join(given_away(store, claims, batch_id), SLOT, "left_anti")
+    path = f"{out}/batch_id={batch_id}"
+    first.hint("rebalance").write.mode("overwrite").parquet(path)
+    stored = batch.sparkSession.read.schema(first.schema).parquet(path)
+    store.add(stored.select(*SLOT), batch_id)
 
 
 def stream_first_claim(
-    claims: DataFrame, out: str, checkpoint: str, available_now: bool = False
+    claims: DataFrame,
+    out: str,
+    checkpoint: str,
+    available_now: bool = False,
+    showtimes: DataFrame | None = None,
+    clock: Clock = _now,
 ) -> StreamingQuery:
     """First claim per slot from a stream of (showtime_id, seat_id, request_id, requested_at).
 
     Across micro-batches the earlier batch wins, inside one the earlier time, then id. A slot
-    stays claimed for ever. Claims without a showtime or seat claim nothing.
+    stays claimed for ever, or until its showtime begins where ``showtimes`` are given. Claims
+    without a showtime or seat claim nothing.
     """
-    return _start(claims, checkpoint, lambda b, i: claim_batch(b, i, out), available_now)
+    return _start(claims, checkpoint, lambda b, i: claim_batch(b, i, out, showtimes, clock()), available_now)
 
 
 def admit_batch(
-    batch: DataFrame, batch_id: int, holds: DataFrame | None, out: str, **known: DataFrame | None
+    batch: DataFrame,
+    batch_id: int,
+    holds: DataFrame | None,
+    out: str,
+    as_of: datetime | None = None,
+    **known: DataFrame | None,
 ) -> None:
     """Decide one micro-batch against all slots given away before it, and store the outcome.
 
-    Decisions and slots go to a folder of their own per batch; a replayed batch ignores what a
-    broken run of itself left behind and overwrites it.
+    Decisions go to a folder of their own per batch; a replayed batch gives the same. With
+    ``as_of`` those of the known showtimes that have begun are unknown to requests, and their
+    slots are forgotten.
     """
     spark = batch.sparkSession
-    taken = read_slots(batch, f"{out}/slots", _SLOTS, batch_id)
+    over = begun(known.get("showtimes"), as_of)
+    if over is not None:
+        known["showtimes"] = known["showtimes"].filter(F.col("start_time") > ntz(as_of))
+    store = slot_store(spark, f"{out}/slots", over)
+    taken = given_away(store, batch, batch_id)
     if holds is not None:
         shows = batch.select("showtime_id").distinct()
         taken = taken.unionByName(holds.select(*SLOT).join(shows, "showtime_id", "left_semi"))
@@ -118,8 +151,7 @@ def admit_batch(
     admit_bookings(batch, taken, **known).write.mode("overwrite").parquet(decided)
     stored = spark.read.parquet(decided).filter("accepted")
     won = batch.join(stored.select("request_id"), "request_id", "left_semi")
-    given = won.select("showtime_id", F.explode("seats.id").alias("seat_id")).dropna()
-    write_slots(given, f"{out}/slots", batch_id)
+    store.add(won.select("showtime_id", F.explode("seats.id").alias("seat_id")).dropna(), batch_id)
 
 
 def stream_admit_bookings(
@@ -128,53 +160,24 @@ def stream_admit_bookings(
     checkpoint: str,
     holds: DataFrame | None = None,
     available_now: bool = False,
+    clock: Clock | None = None,
     **known: DataFrame | None,
 ) -> StreamingQuery:
     """Admission over a request stream. The slots given away are the durable state; arrival
     decides between micro-batches, time and id inside one. ``known`` are the showtimes and seats
-    that requests are held against."""
-    return _start(
-        requests, checkpoint, lambda b, i: admit_batch(b, i, holds, out, **known), available_now
-    )
+    that requests are held against; with a ``clock``, showtimes that have begun are over."""
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        admit_batch(batch, batch_id, holds, out, clock() if clock else None, **known)
 
-def expire_batch(batch: DataFrame, batch_id: int, out: str, as_of: datetime) -> None:
-    """Release the seats whose short holds have run out by ``as_of``.
-
-    ``batch`` are new hold rows. Open holds are kept as one snapshot per batch, no larger than
-    the holds that still run; slots that are sold, and releases, are kept for ever and read by the
-    showtimes at hand. A hold that is sold, in this batch or before, is never released; a renewed
-    hold runs until its latest expiry; the same expiry is released once.
-    """
-    spark = batch.sparkSession
-    rows = batch.dropna(subset=SLOT)
-    write_slots(rows.filter("status <> 'HELD'").select(*SLOT).distinct(), f"{out}/settled", batch_id)
-    schema = "showtime_id long, seat_id long, expires timestamp_ntz"
-    held = rows.filter("status = 'HELD'").select(*SLOT, F.col("hold_expires_at").alias("expires"))
-    if batch_id > 0:
-        held = held.unionByName(spark.read.schema(schema).parquet(f"{out}/open/batch_id={batch_id - 1}"))
-    held = held.dropna().groupBy(*SLOT).agg(F.max("expires").alias("expires")).persist()
-    settled = read_slots(held, f"{out}/settled", _SLOTS, batch_id + 1)
-    released = read_slots(held, f"{out}/released", RELEASED, batch_id)
-    done = released.groupBy(*SLOT).agg(F.max("released_at").alias("released_at"))
-    waiting = (
-        held.join(settled, SLOT, "left_anti")
-        .join(done, SLOT, "left")
-        .filter(F.col("released_at").isNull() | (F.col("released_at") < F.col("expires")))
-        .drop("released_at")
-    )
-    over = F.col("expires") <= ntz(as_of)
-    write_slots(waiting.filter(over).withColumnRenamed("expires", "released_at"), f"{out}/released", batch_id)
-    still = waiting.filter(~over).hint("rebalance")
-    still.write.mode("overwrite").parquet(f"{out}/open/batch_id={batch_id}")
-    held.unpersist()
+    return _start(requests, checkpoint, run, available_now)
 
 
 def stream_hold_expiry(
     holds: DataFrame,
     out: str,
     checkpoint: str,
-    clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None),
+    clock: Clock = _now,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Seats released because their short hold ran out, from a stream of hold rows.

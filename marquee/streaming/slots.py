@@ -1,51 +1,44 @@
-"""Slots stored by micro-batch, for jobs that must remember every slot for ever.
+"""Slots that are given away, for jobs that must remember them until nobody can want them.
 
-A store is a Parquet table partitioned by micro-batch and by a bucket of the showtime. A batch
-reads only the buckets its own showtimes fall into, and rewrites only its own folder, so that a
-replayed batch gives the same table.
+A slot is kept in a store by showtime; a batch reads the buckets of its own showtimes. Where the
+showtimes are known, slots of those that have begun are forgotten when runs are folded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.calendar import ntz
+from .store import BUCKETS, RunStore, hashed
 
 SLOT = ["showtime_id", "seat_id"]
-BUCKETS = 64
+_SLOTS = T.StructType([T.StructField(c, T.LongType()) for c in SLOT])
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("showtime_id"), F.lit(BUCKETS)).cast("int")
+def begun(showtimes: DataFrame | None, as_of: datetime | None) -> DataFrame | None:
+    """Showtimes that nobody can book any more."""
+    if showtimes is None or as_of is None:
+        return None
+    return showtimes.filter(F.col("start_time") <= ntz(as_of)).select(F.col("id").alias("showtime_id")).distinct()
 
 
-def write_slots(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Store the rows of one micro-batch, few files for each bucket."""
-    (
-        rows.withColumn("bucket", _bucket())
-        .hint("rebalance", F.col("bucket"))
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(f"{path}/batch_id={batch_id}")
-    )
+def without(rows: DataFrame, over: DataFrame | None) -> DataFrame:
+    return rows if over is None else rows.join(over, "showtime_id", "left_anti")
 
 
-def read_slots(wanted: DataFrame, path: str, schema: str, before: int) -> DataFrame:
-    """Rows stored by batches before ``before`` for the showtimes of ``wanted``.
-
-    Which of the BUCKETS are wanted is the only thing that comes to the driver; it prunes the
-    folders. The semi join leaves the showtimes themselves.
-    """
-    spark = wanted.sparkSession
-    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
-    shows = wanted.select("showtime_id").distinct()
-    buckets = [row[0] for row in shows.select(_bucket().alias("bucket")).distinct().collect()]
-    if before <= 0 or not buckets:
-        return spark.createDataFrame([], schema)
-    stored = (
-        spark.read.schema(f"{schema}, batch_id long, bucket int")
-        .option("basePath", path)
-        .option("ignoreMissingFiles", True)
-        .parquet(path)
-        .filter((F.col("batch_id") < before) & F.col("bucket").isin(buckets))
+def slot_store(
+    spark: SparkSession, path: str, over: DataFrame | None = None, buckets: int = BUCKETS
+) -> RunStore:
+    """Store of (showtime_id, seat_id) that forgets the slots of the showtimes ``over``."""
+    return RunStore(
+        spark, path, _SLOTS, hashed("showtime_id", buckets=buckets), lambda rows: without(rows.distinct(), over)
     )
-    return stored.join(shows, "showtime_id", "left_semi").select(*columns)
+
+
+def given_away(store: RunStore, wanted: DataFrame, before: int) -> DataFrame:
+    """Slots given away before a batch in the showtimes of ``wanted``."""
+    return store.find(before, wanted.select("showtime_id").dropna().distinct())

@@ -157,6 +157,16 @@ def test_expired_hold_blocks_unless_reuse_is_asked_for(spark):
     assert row["customer_id"] == 4
 
 
+def test_a_hold_needs_neither_amount_nor_email(spark):
+    holds = spark.createDataFrame([hold(1, 10, 1)], HOLDS)
+    wanted = frame(spark, [request(1, [2]), request(2, [1]), request(3, [3])])
+    bare = wanted.withColumns({c: F.lit(None).cast(wanted.schema[c].dataType) for c in ("payment_amount", "customer_email")})
+    found = admission.hold_seats(bare, holds, NOON)
+    assert rows(found["decisions"]) == [(1, True, None, None), (2, False, 1, "SEAT_TAKEN"), (3, True, None, None)]
+    assert rows(found["reservation_holds"], "request_id", "seat_id", "customer_id") == [(1, 2, None), (3, 3, None)]
+    assert rows(admission.admit_bookings(bare), "request_id", "accepted", "reason")[0] == (1, False, "NO_EMAIL")
+
+
 def test_known_email_keeps_its_name_and_new_email_is_added_once(spark, make_model):
     existing = make_model(**BASE)["customers"]
     wanted = [

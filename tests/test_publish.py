@@ -1,0 +1,122 @@
+"""Published versions, Bloom filters of lookups, and reports refreshed by month."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from cinema import BASE, at, hold, money
+from frames import rows
+from pyspark.sql import functions as F
+
+from marquee.operators import reports
+from marquee.plans.fact import fact_bookings
+from marquee.plans.partials import REPORTS, Partials, refresh_changed_months
+from marquee.sinks.publish import publish, resolve
+from marquee.sources.snapshots import read_fact
+
+
+def test_a_reader_finishes_on_its_version(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+    publish(spark.range(5), path, (), ())
+    old = spark.read.parquet(resolve(spark, path))
+    publish(spark.range(9), path, (), ())
+    assert old.count() == 5 and spark.read.parquet(resolve(spark, path)).count() == 9
+    publish(spark.range(2), path, (), ())
+    versions = sorted(n for n in os.listdir(path) if n.startswith("version-"))
+    assert versions == ["version-000000002", "version-000000003"]
+
+
+def test_a_failed_publish_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+    publish(spark.range(5), path, (), ())
+    broken = spark.range(9).withColumn("id", F.raise_error(F.lit("boom")).cast("long"))
+    with pytest.raises(Exception, match="boom"):
+        publish(broken, path, (), ())
+    assert spark.read.parquet(resolve(spark, path)).count() == 5
+    publish(spark.range(7), path, (), ())
+    assert spark.read.parquet(resolve(spark, path)).count() == 7
+
+
+def scanned_rows(df):
+    """Rows that the file scan of ``df`` hands on, once it has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    return scan.metrics().get("numOutputRows").get().value()
+
+
+def test_a_lookup_skips_row_groups_by_bloom_filter(spark, tmp_path):
+    table = spark.range(20_000).select((F.col("id") * 2).alias("customer_id"), F.lit(1).alias("n"))
+    table = table.orderBy(F.hash("customer_id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for lookup_by, expected in (((), 20_000), (("customer_id",), 0)):
+            path = str(tmp_path / f"by-{len(lookup_by)}")
+            publish(table.coalesce(1), path, (), (), lookup_by)
+            stored = spark.read.parquet(resolve(spark, path))
+            assert stored.filter("customer_id = 1234").count() == 1
+            # 4,321 is odd: inside the least and greatest value of the row group, but not in it
+            assert scanned_rows(stored.filter("customer_id = 4321")) == expected
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def model(make_model, last_amount=300, months=(9, 10, 10, 11)):
+    n = len(months)
+    return make_model(
+        **BASE,
+        payments=[
+            (k, 1 + k % 2, money(last_amount if k == n - 1 else 100 * k), at(f"2025-{m:02}-0{k + 1} 1{k}:00:00"), "CASH")
+            for k, m in enumerate(months)
+        ],
+        reservation_holds=[hold(k, 10 + k % 3, 100 + k) for k in range(n + 2)],
+        tickets=[(k, k, k % n, money(1)) for k in range(n + 2)],
+    )
+
+
+def test_reports_follow_changed_months(spark, make_model, tmp_path):
+    fact_path, parts, out = (str(tmp_path / n) for n in ("fact", "partials", "reports"))
+    for number, (m, months) in enumerate(
+        (
+            (model(make_model), None),
+            (model(make_model, last_amount=999), [(2025, 11)]),
+            (model(make_model, last_amount=999, months=(9, 10, 9, 11)), [(2025, 9), (2025, 10)]),
+            (model(make_model, last_amount=999, months=(9, 9, 9, 11)), [(2025, 9), (2025, 10)]),  # October goes
+        )
+    ):
+        publish(fact_bookings(m), fact_path)
+        for _ in range(2 if number == 1 else 1):
+            written = refresh_changed_months(spark, fact_path, parts, out, months)
+        fact = read_fact(spark, fact_path)
+        assert set(written) == set(REPORTS)
+        for name in REPORTS:
+            assert rows(spark.read.parquet(written[name])) == rows(getattr(reports, name)(fact)), (number, name)
+
+
+def test_only_changed_months_of_the_fact_are_read(spark, make_model, tmp_path):
+    fact_path, parts = str(tmp_path / "fact"), str(tmp_path / "partials")
+    publish(fact_bookings(model(make_model)), fact_path)
+    Partials(spark, parts).refresh(fact_path)
+    total = read_fact(spark, fact_path).count()
+    version = resolve(spark, fact_path)
+    for month in (9, 11):  # what is not read may as well be broken
+        folder = f"{version}/year=2025/month_num={month}"
+        for name in os.listdir(folder):
+            if name.endswith(".parquet"):
+                with open(f"{folder}/{name}", "wb") as file:
+                    file.write(b"no parquet")
+            elif name.endswith(".crc"):
+                os.remove(f"{folder}/{name}")
+    Partials(spark, parts).refresh(fact_path, [(2025, 10)])
+    assert Partials(spark, parts).analytics_summary().first()["total_bookings"] == total
+
+
+def test_reports_of_an_empty_fact(spark, make_model, tmp_path):
+    fact_path, parts = str(tmp_path / "fact"), str(tmp_path / "partials")
+    fact = fact_bookings(make_model())
+    publish(fact, fact_path)
+    found = Partials(spark, parts)
+    found.refresh(fact_path)
+    for name in REPORTS:
+        assert rows(getattr(found, name)()) == rows(getattr(reports, name)(fact)), name
