@@ -15,6 +15,9 @@ SETTINGS = {
     # Hot keys: let AQE split an oversized join partition even if that costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A union that keeps its inputs' partitioning zips their partitions, and fails where AQE has
+    # left one input with fewer.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
