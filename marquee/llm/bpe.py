@@ -30,12 +30,13 @@ from .merges import merge, rule
 
 #: Characters of a text that are split into pre-tokens at a time.
 LEAF_CHARS = 1 << 18
-#: Bytes of a leaf of the encoding tree, merged without further halving.
-LEAF_BYTES = 4
+#: Bytes of a leaf of the encoding tree, merged without further halving: below, joining two halves
+#: costs more than merging both at once.
+LEAF_BYTES = 16
 #: Words, and halves and windows of words, in one of the two generations of a worker's memos.
 MEMO, PART_MEMO = 200_000, 100_000
 #: Longest words, halves (bytes) and windows (tokens) that are remembered.
-MEMO_CHARS, MEMO_BYTES, MEMO_TOKENS = 64, 4 * 4, 8
+MEMO_CHARS, MEMO_BYTES, MEMO_TOKENS = 64, 32, 8
 #: Ids decoded in one leaf of the decoding tree.
 LEAF_IDS = 1 << 15
 _CUT = regex.compile(r"(?<=\S)\s")
@@ -82,10 +83,10 @@ class TreeCodec:
             if token[:i] in ranks and token[i:] in ranks
         }
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
-        self.halves = Memo(self._halved, PART_MEMO)
-        self.windows = Memo(self._merged, PART_MEMO)
-        self.fitting = Memo(lambda edge: self._plain(edge) == edge, PART_MEMO)
-        self.words = Memo(self._word, MEMO)
+        self.halves = Memo(self._tree, PART_MEMO, MEMO_BYTES)
+        self.windows = Memo(self._merged, PART_MEMO, MEMO_TOKENS)
+        self.fitting = Memo(lambda edge: self.windows[edge] == edge, PART_MEMO)
+        self.words = Memo(self._word, MEMO, MEMO_CHARS)
 
     # -- bytes ------------------------------------------------------------------------------
 
@@ -95,13 +96,10 @@ class TreeCodec:
         return (whole,) if whole is not None else self._tree(piece)
 
     def _tree(self, piece: bytes) -> tuple[int, ...]:
-        return self.halves[piece] if len(piece) <= MEMO_BYTES else self._halved(piece)
-
-    def _halved(self, piece: bytes) -> tuple[int, ...]:
         if len(piece) <= LEAF_BYTES:
             return tuple(merge([self.of_byte[b] for b in piece], self.pairs))
         middle = len(piece) // 2
-        return self._join(self._tree(piece[:middle]), self._tree(piece[middle:]))
+        return self._join(self.halves[piece[:middle]], self.halves[piece[middle:]])
 
     def _join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if self.fitting[left[-1], right[0]]:
@@ -109,16 +107,13 @@ class TreeCodec:
         size = 2
         while True:
             head, tail = left[-size:], right[:size]
-            window = self._plain(head + tail)
+            window = self.windows[head + tail]
             left_final = size >= len(left) or window[0] == head[0]
             right_final = size >= len(right) or window[-1] == tail[-1]
             if left_final and right_final:
                 return left[: max(0, len(left) - size)] + window + right[size:]
             size *= 2
 
-    def _plain(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
-        return self.windows[tokens] if len(tokens) <= MEMO_TOKENS else self._merged(tokens)
-
     def _merged(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
         data = b"".join(map(self.vocabulary.__getitem__, tokens))
         return tuple(merge([self.of_byte[b] for b in data], self.pairs))
@@ -127,12 +122,10 @@ class TreeCodec:
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text."""
-        found = b"".join(b"".join(map(self._bytes_of, self.split(leaf))) for leaf in leaves(text))
+        bytes_of = self.words.__getitem__
+        found = b"".join(b"".join(map(bytes_of, self.split(leaf))) for leaf in leaves(text))
         return np.frombuffer(found, np.int32)
 
-    def _bytes_of(self, word: str) -> bytes:
-        return self.words[word] if len(word) <= MEMO_CHARS else self._word(word)
-
     def _word(self, word: str) -> bytes:
         """Ids of a pre-token as the bytes of 32-bit numbers."""
         return array("i", self.encode_piece(word.encode())).tobytes()

@@ -154,12 +154,15 @@ def share(spark: SparkSession, value: Any, make: Callable[[Any], Any] = lambda v
 
 class Memo(dict):
     """Values by key, made when first asked for; of two generations the older is forgotten when
-    the younger has ``size`` entries, so what is asked for often stays."""
+    the younger has ``size`` entries, so what is asked for often stays. Keys longer than
+    ``longest`` are not remembered."""
 
-    def __init__(self, make: Callable[[Any], Any], size: int):
-        self.make, self.size, self.old = make, size, {}
+    def __init__(self, make: Callable[[Any], Any], size: int, longest: int | None = None):
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
 
     def __missing__(self, key: Any) -> Any:
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)

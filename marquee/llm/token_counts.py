@@ -66,7 +66,7 @@ class TokenCounter:
         self.split = regex.compile(SPLIT).findall
         longest_first = sorted(self.added, key=len, reverse=True)
         self.around = regex.compile("|".join(map(regex.escape, longest_first))) if self.added else None
-        self.counts = Memo(self.merged, MEMO)
+        self.counts = Memo(self.merged, MEMO, MEMO_CHARS)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in vars(self).items() if k not in ("split", "around", "counts")}
@@ -106,7 +106,7 @@ class TokenCounter:
         """Tokens of a pre-token: one if proven whole, else merged when first asked for."""
         if piece in self.whole:
             return 1
-        return self.counts[piece] if len(piece) <= MEMO_CHARS else self.merged(piece)
+        return self.counts[piece]
 
 
 def count_tokens(
