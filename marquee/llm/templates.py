@@ -140,6 +140,49 @@ def _key(block: Block) -> str:
     return f"/{path}" if block.kind == "close" else path
 
 
+def parsed(markup: str | None) -> list[Block]:
+    """The blocks of a page, told apart by their place where no name tells the article.
+
+    There, an element that may hold others is told from those of its name beside it by its turn in
+    the element around them, so that each is a token of its own and the parts of a page are slots
+    of their own. Neighbours that hold elements of the same names are records of one kind and take
+    the same turn; elements of text and lists repeat as articles have them, and stay alike.
+    """
+    page = list(blocks(markup or ""))
+    if any(_holds(b.path, by_name) for b in page if b.kind == "open" for by_name in (True, False)):
+        return page
+    inside: list[set[str]] = []  # names right below each opened element, in the order of opening
+    around: list[int] = []
+    for block in page:
+        if block.kind == "open":
+            if around:
+                inside[around[-1]].add(block.path[-1])
+            around.append(len(inside))
+            inside.append(set())
+        elif block.kind == "close":
+            around.pop()
+    out: list[Block] = []
+    path: list[str] = []
+    turns: list[dict[str, tuple[int, set[str] | None]]] = [{}]
+    opened = 0
+    for block in page:
+        if block.kind == "open":
+            name, below = block.path[-1], inside[opened]
+            opened += 1
+            if name.split(".")[0] not in LEAF_TAGS:
+                turn, before = turns[-1].get(name, (-1, None))
+                turn += before is None or before != below
+                turns[-1][name] = turn, below
+                name = f"{name}.~{turn}"
+            path.append(name)
+            turns.append({})
+        out.append(Block(block.kind, tuple(path), block.text))
+        if block.kind == "close":
+            path.pop()
+            turns.pop()
+    return out
+
+
 def layout_of(page: list[Block]) -> int:
     """A number for the elements of a page that may hold others, wherever they repeat."""
     opened = {b.path for b in page if b.kind == "open"}
@@ -169,7 +212,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (batch.column(c).to_pylist() for c in ("host", "page", "html"))
         for host, page, markup in zip(*columns):
             own: dict[str, list] = {"": [1, 0, []]}
-            all_blocks = list(blocks(markup or ""))
+            all_blocks = parsed(markup)
             layout = layout_of(all_blocks)
             for place, block in enumerate(all_blocks):
                 if block.kind == "text":
@@ -462,7 +505,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", out: str = "tex
         templates = Memo(_template, 1024)
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in (html, template, n_pages))
-            texts = [templates[t, n or 0].text(list(blocks(h or ""))) for h, t, n in zip(*columns)]
+            texts = [templates[t, n or 0].text(parsed(h)) for h, t, n in zip(*columns)]
             rest = batch.drop_columns([template, n_pages])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(texts, pa.string())], [*rest.schema.names, out]
@@ -477,7 +520,7 @@ def _with_layout(df: DataFrame, html: str, split: str, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages = zip(batch.column(html).to_pylist(), batch.column(split).to_pylist())
-            layouts = [layout_of(list(blocks(h or ""))) if wanted else None for h, wanted in pages]
+            layouts = [layout_of(parsed(h)) if wanted else None for h, wanted in pages]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(layouts, pa.int64())], [*batch.schema.names, out]
             )

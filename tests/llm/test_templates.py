@@ -191,3 +191,34 @@ def test_odd_rows(spark):
     found = {(r.page_id, r.text[:20]) for r in out.collect()}
     assert found == {(1, ""), (2, ""), (3, "plain text only"), (4, "a"), (None, ""), (5, "<<>>"), (6, "word word word word ")}
     assert templates.extract(df.where("false")).collect() == []
+
+
+def test_pages_without_names(spark):
+    """Names and telling tags taken away, the classes alone find the same articles."""
+    from collections import Counter
+
+    pages = prepare(spark).read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    bare = F.regexp_replace("html", r"(?i)<(/?)(?:article|nav|footer|header|aside|main|section)\b[^>]*>", "<$1div>")
+    bare = F.regexp_replace(bare, r"""(?i)\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
+    nameless = pages.withColumn("html", bare)
+    named = {r.page_id: r.text for r in templates.extract(pages).collect()}
+    found = {r.page_id: r.text for r in templates.extract(nameless).collect()}
+    said = lambda text: Counter(t for t in text.split("\n\n") if t)
+    common = sum(sum((said(named[k]) & said(found[k])).values()) for k in named)
+    assert common >= 0.95 * sum(sum(said(t).values()) for t in found.values())
+    assert common >= 0.95 * sum(sum(said(t).values()) for t in named.values())
+    # Without the classes of its host a page keeps its menu, advert and footer.
+    alone = templates.Template([], 0)
+    whole = [alone.text(templates.parsed(r.html)) for r in nameless.limit(40).collect()]
+    assert all(a not in named.values() for a in whole)
+
+
+def test_elements_are_told_apart_by_their_turn():
+    page = "<div><div><p>a</p><p>b</p></div><div><div>c</div></div><div><div>e</div></div></div><div>d</div>"
+    at = [(b.text, ">".join(b.path)) for b in templates.parsed(page) if b.kind == "text"]
+    assert at == [
+        ("a", "div.~0>div.~0>p"), ("b", "div.~0>div.~0>p"), ("c", "div.~0>div.~1>div.~0"),
+        ("e", "div.~0>div.~1>div.~0"), ("d", "div.~1"),
+    ]
+    named = "<div><div class='x'>a</div><article><p>b</p></article></div>"
+    assert [">".join(b.path) for b in templates.parsed(named) if b.kind == "text"] == ["div>div.x", "div>article>p"]
