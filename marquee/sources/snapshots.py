@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -16,14 +16,44 @@ from .schemas import CHANGE, FACT_BOOKINGS, OPERATIONAL
 Model = dict[str, DataFrame]
 
 
+def split_predicates(points: Sequence[int], column: str = "id") -> list[str]:
+    """Conditions that deal rows to ranges between ``points``: each row, also one without a value,
+    meets exactly one of them."""
+    cuts = sorted(set(points))
+    if not cuts:
+        return ["1 = 1"]
+    lowest = [f"{column} < {cuts[0]} OR {column} IS NULL"]
+    between = [f"{column} >= {low} AND {column} < {high}" for low, high in zip(cuts, cuts[1:])]
+    return [*lowest, *between, f"{column} >= {cuts[-1]}"]
+
+
+def split_query(table: str, parts: int, column: str = "id") -> str:
+    """SQL for the least value of each of ``parts`` equally large parts of a table but the first.
+
+    Equal depth, not equal width: ids that were never used or are long gone make no part small.
+    """
+    return (
+        f"SELECT MIN({column}) AS point FROM (SELECT {column}, NTILE({parts}) OVER (ORDER BY {column}) AS part "
+        f"FROM {table} WHERE {column} IS NOT NULL) parts WHERE part > 1 GROUP BY part"
+    )
+
+
 @dataclass(frozen=True)
 class JdbcSource:
-    """Operational database. Each table is read in ``partitions`` parallel ranges of its id."""
+    """Operational database. Each table is read in ``partitions`` parallel ranges of its id.
+
+    The ranges hold equally many rows; the database finds their bounds in its index of the ids.
+    ``by_width`` makes them equally wide instead, for databases without window functions.
+    """
 
     url: str
     properties: Mapping[str, str] = field(default_factory=dict)
     partitions: int = 64
     fetch_size: int = 10_000
+    by_width: bool = False
+
+    def settings(self) -> dict[str, str]:
+        return {"fetchsize": str(self.fetch_size), "preferTimestampNTZ": "true", **self.properties}
 
     def options(self, table: str, low: int, high: int) -> dict[str, str]:
         return {
@@ -33,25 +63,28 @@ class JdbcSource:
             "lowerBound": str(low),
             "upperBound": str(high + 1),
             "numPartitions": str(self.partitions),
-            "fetchsize": str(self.fetch_size),
-            "preferTimestampNTZ": "true",
-            **self.properties,
+            **self.settings(),
         }
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        bounds = (
-            spark.read.format("jdbc")
-            .options(url=self.url, query=f"SELECT MIN(id) AS lo, MAX(id) AS hi FROM {table}")
-            .options(**self.properties)
-            .load()
-            .first()
-        )
-        low, high = (bounds["lo"] or 0, bounds["hi"] or 0)
-        rows = spark.read.format("jdbc").options(**self.options(table, low, high)).load()
+        rows = self._by_width(spark, table) if self.by_width else self._by_depth(spark, table)
         return rows.select(
             *[rows[f.name].cast(f.dataType).alias(f.name) for f in OPERATIONAL[table].fields]
         )
 
+    def _ask(self, spark: SparkSession, query: str) -> DataFrame:
+        return spark.read.format("jdbc").options(url=self.url, query=query, **self.properties).load()
+
+    def _by_depth(self, spark: SparkSession, table: str) -> DataFrame:
+        points = self._ask(spark, split_query(table, self.partitions)).collect()  # as many as partitions
+        predicates = split_predicates([row[0] for row in points])
+        return spark.read.jdbc(self.url, table, predicates=predicates, properties=self.settings())
+
+    def _by_width(self, spark: SparkSession, table: str) -> DataFrame:
+        bounds = self._ask(spark, f"SELECT MIN(id) AS lo, MAX(id) AS hi FROM {table}").first()
+        options = self.options(table, bounds["lo"] or 0, bounds["hi"] or 0)
+        return spark.read.format("jdbc").options(**options).load()
+
 
 def read_changes(spark: SparkSession, root: str, table: str) -> DataFrame:
     """All versions of the rows of one landing table, with CHANGE columns (null in a first copy)."""

@@ -5,6 +5,7 @@ import os
 from datetime import date, datetime
 from decimal import Decimal
 
+import duckdb
 import pytest
 from cinema import BASE, hold, money
 from frames import rows
@@ -25,7 +26,13 @@ from marquee.sinks.tables import (
 from marquee.sources.request_log import as_samples, read_request_log
 from marquee.sources.schemas import DIM_TIME, HOLD_DEFAULTS, OPERATIONAL
 from marquee.sources.seed_rows import seed_fact_rows
-from marquee.sources.snapshots import JdbcSource, load_booking_model, read_fact
+from marquee.sources.snapshots import (
+    JdbcSource,
+    load_booking_model,
+    read_fact,
+    split_predicates,
+    split_query,
+)
 
 AS_OF = date(2025, 11, 18)
 
@@ -140,6 +147,23 @@ def test_jdbc_options_split_the_id_range():
     assert (options["lowerBound"], options["upperBound"], options["user"]) == ("1", "101", "u")
 
 
+def test_jdbc_parts_hold_equally_many_rows():
+    """Skewed ids, a value that is missing, and tables of few rows, in a database of this process."""
+    duck = duckdb.connect()
+    ids = [*range(1, 800), *range(10**6, 10**6 + 150), 10**9, None]
+    for name, part in (("many", ids), ("few", ids[:3]), ("none", [])):
+        duck.execute(f"CREATE TABLE {name} (id BIGINT)")
+        if part:
+            duck.executemany(f"INSERT INTO {name} VALUES (?)", [(x,) for x in part])
+        points = [row[0] for row in duck.execute(split_query(name, 8)).fetchall()]
+        predicates = split_predicates(points)
+        count = lambda where, name=name: duck.execute(f"SELECT count(*) FROM {name} WHERE {where}").fetchone()[0]
+        sizes = [count(p) for p in predicates]
+        assert sum(sizes) == len(part)  # with the next line: each row meets exactly one
+        assert count(" OR ".join(f"({p})" for p in predicates)) == len(part)
+        assert max(sizes) <= len(part) // 8 + 2
+
+
 def test_calendar_dimension(spark):
     days = dim_time(calendar_bounds(spark, AS_OF))
     assert days.columns == DIM_TIME_COLUMNS and dict(days.dtypes) == {
