@@ -70,7 +70,11 @@ mixed AS (
   FROM placed)
 SELECT doc_id, size, source_size, target, taken,
        CASE WHEN taken > 0 THEN round(before / target * 2 / (1.0 - tilt + sqrt((1.0 - tilt) * (1.0 - tilt)
-                                      + tilt * 4 * (before / target))), 9) END AS first_position
+                                      + tilt * 4 * (before / target))), 9) END AS first_position,
+       CASE WHEN taken > 0 THEN array_to_string(list_transform(range(0, CAST(ceil(taken / size) AS BIGINT)), lambda i:
+         CAST(round(1e6 * ((before + i * source_size) / target * 2 / (1.0 - tilt + sqrt((1.0 - tilt) * (1.0 - tilt)
+                    + tilt * 4 * ((before + i * source_size) / target))))) AS BIGINT)), ',')
+       ELSE '' END AS positions_millionths
 FROM mixed
 """
 

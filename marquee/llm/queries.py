@@ -110,6 +110,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         "taken",
         F.round(F.get("positions", F.lit(0)), 9).alias("first_position"),
+        F.array_join(
+            F.transform("positions", lambda p: F.round(p * 1e6).cast("long").cast("string")), ","
+        ).alias("positions_millionths"),
     )
 
 
