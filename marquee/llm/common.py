@@ -82,6 +82,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def looked_up(values: dict[Any, int], key: Column) -> Column:
+    """The long that a few values have by ``key``, null for others: a map in the plan, so that no
+    row is moved to meet its value."""
+    pairs = [F.lit(x) for k, v in values.items() for x in (k, v)]
+    return F.try_element_at(F.create_map(*pairs), key).cast("long") if pairs else F.lit(None).cast("long")
+
+
 #: Bits of a hash that one count looks at when the lowest hashes are searched.
 REACH_BITS = 12
 
@@ -112,10 +119,8 @@ def lowest_hashes(hashed: DataFrame, group: str, n: int) -> dict[Any, int]:
                 below += number
 
     def inside(bits: int) -> DataFrame:
-        table = rows.sparkSession.createDataFrame([(k, c[0]) for k, c in cut.items()], f"of {kind}, lead long")
-        return rows.join(table, "of").where(F.shiftright("hash", 64 - bits) == F.col("lead")).drop("lead")
+        return rows.where(F.shiftright("hash", 64 - bits) == looked_up({k: c[0] for k, c in cut.items()}, F.col("of")))
 
-    kind = rows.schema["of"].dataType.simpleString()
     narrow(rows, REACH_BITS)
     if not cut:
         return {}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowest_hashes, share
+from .common import looked_up, lowest_hashes, share
 
 #: Labelled texts that a language's model is fitted on at most, the first by a hash of the text.
 SAMPLE_DOCS = 600
@@ -171,11 +171,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     hashed = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")
     )
-    reach = list(lowest_hashes(hashed.select("lang", "hash"), "lang", SAMPLE_DOCS).items())
-    reach = labelled.sparkSession.createDataFrame(reach, "lang string, reach long")
+    reach = lowest_hashes(hashed.select("lang", "hash"), "lang", SAMPLE_DOCS)
     sample = (
-        hashed.join(reach, "lang")
-        .where(F.col("hash") <= F.col("reach"))
+        hashed.where(F.col("hash") <= looked_up(reach, F.col("lang")))
         .dropDuplicates(["lang", "hash"])
         .select("lang", "text")
     )

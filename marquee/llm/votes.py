@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowest_hashes, share, store
+from .common import looked_up, lowest_hashes, share, store
 
 #: Labelled texts of each label that the model is fitted on and that vote, at most.
 SAMPLE_DOCS = 1500
@@ -201,10 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = store(texts, "vote-texts")
     number = {row["label"]: row["n"] for row in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     reach = lowest_hashes(texts, "label", SAMPLE_DOCS)
-    inside = F.lit(False)
-    for value, hash_ in reach.items():
-        inside |= (F.col("label") == value) & (F.col("hash") <= F.lit(hash_).cast("long"))
-    chosen = store(texts.where(inside), "vote-sample")
+    chosen = store(texts.where(F.col("hash") <= looked_up(reach, F.col("label"))), "vote-sample")
     sample = (
         docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
         .join(chosen, "hash")
