@@ -45,6 +45,8 @@ def publish(
     out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
     out = out.sortWithinPartitions(*partition_by, *sort_by) if sort_by else out
     writer = out.write.options(**(options or {}))
+    if lookup_by:  # filters as large as the values of a row group ask for, not the most allowed
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     for column in lookup_by:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.partitionBy(*partition_by).parquet(f"{root}/{name}")
