@@ -42,7 +42,8 @@ def _checked(
 ) -> DataFrame:
     """Requests in slim form, with the reason why one cannot be booked whoever else wants what.
 
-    A null showtime or seat refers to nothing and is no error; unknown ones are.
+    A null showtime or seat refers to nothing and is no error; unknown ones are. Neither known
+    showtimes nor known seats are sent whole through the driver.
     """
     ids = F.transform("seats", lambda s: s["id"])
     reason = F.when(F.col("seats").isNull(), NO_SEATS)
@@ -61,13 +62,14 @@ def _checked(
         known = showtimes.select(F.col("id").alias("showtime_id"), F.lit(True).alias("shown")).distinct()
         unknown = F.col("shown").isNull() & F.col("showtime_id").isNotNull() & names_seat
         slim = (
-            slim.join(known, "showtime_id", "left")
+            slim.join(known.hint("merge"), "showtime_id", "left")
             .withColumn("reason", F.coalesce("reason", F.when(unknown, UNKNOWN_SHOWTIME)))
             .drop("shown")
         )
     if seats is not None:
         named = slim.select("request_id", F.explode("seat_ids").alias("seat_id")).dropna()
-        odd = named.join(seats.select(F.col("id").alias("seat_id")), "seat_id", "left_anti")
+        known = seats.select(F.col("id").alias("seat_id")).hint("merge")
+        odd = named.join(known, "seat_id", "left_anti")
         odd = odd.select("request_id", F.lit(True).alias("odd")).distinct()
         slim = (
             slim.join(odd, "request_id", "left")
@@ -150,7 +152,8 @@ def admit_bookings(
     if holds is not None:
         slots = holds.select("showtime_id", "seat_id").dropna()
         if seats is not None:
-            slots = slots.join(seats.select(F.col("id").alias("seat_id")), "seat_id", "left_semi")
+            known = seats.select(F.col("id").alias("seat_id")).hint("merge")
+            slots = slots.join(known, "seat_id", "left_semi")
         taken = slots.groupBy("showtime_id").agg(F.collect_set("seat_id").alias("taken"))
         queue = queue.join(taken, "showtime_id", "left")
     else:

@@ -42,25 +42,28 @@ def schedule(m: Model, show_date: date | None) -> DataFrame:
 def halls_of_showtimes(m: Model, showtime_id: int | None = None) -> DataFrame:
     """One row per showtime: the seats of its auditorium and the ids of those taken, as arrays.
 
-    None takes all showtimes. Holds meet showtimes as one array each, and seats as one per
-    auditorium; neither array can outgrow an auditorium, and no row per seat is shuffled.
+    None takes all showtimes; for one, only the seats of its auditorium are gathered. Holds meet
+    showtimes as one array each, and seats as one per auditorium; neither array can outgrow an
+    auditorium, and no row per taken seat is shuffled. Seats are many more bytes than a plan that
+    unfolds them foresees, so they are never sent whole through the driver.
     """
     shows, holds = m["showtimes"], m["reservation_holds"].select("showtime_id", "seat_id")
+    seats = m["seats"]
     if showtime_id is not None:
         shows = shows.filter(F.col("id") == showtime_id)
         holds = holds.filter(F.col("showtime_id") == showtime_id)
+        seats = seats.join(shows.select("auditorium_id"), "auditorium_id", "left_semi")
     taken = holds.groupBy("showtime_id").agg(F.collect_set("seat_id").alias("taken"))
     seat = F.struct(F.col("id").alias("seat_id"), "row_code", "number")
     halls = (
-        m["seats"]
-        .join(m["auditoriums"].select(F.col("id").alias("auditorium_id")), "auditorium_id", "left_semi")
+        seats.join(m["auditoriums"].select(F.col("id").alias("auditorium_id")), "auditorium_id", "left_semi")
         .groupBy("auditorium_id")
         .agg(F.array_sort(F.collect_list(seat)).alias("seats"))
     )
     return (
         shows.select(F.col("id").alias("showtime_id"), "auditorium_id")
         .join(taken, "showtime_id", "left")
-        .join(halls, "auditorium_id")
+        .join(halls.hint("merge"), "auditorium_id")
         .select(
             "showtime_id", "seats", F.coalesce("taken", F.array().cast("array<bigint>")).alias("taken")
         )
