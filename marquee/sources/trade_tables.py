@@ -58,6 +58,8 @@ class TradeTables:
         """Every order line with its place in the order, its showtime and its seat there.
 
         Lines that agree in number, part and price are interchangeable.
+        What follows from an order's key is added after the places are known: holds and tickets
+        then shuffle the same columns, and share one shuffle.
         """
         return self.spark.sql(
             f"""
@@ -65,10 +67,10 @@ class TradeTables:
                    showtime_id % (SELECT count(*) FROM {{supplier}}) * {SEATS_PER_AUDITORIUM}L
                      + l_partkey % {SEATS_PER_AUDITORIUM}L AS seat_id
             FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(10,2)) AS price,
-                         l_orderkey % (SELECT count(*) FROM {{part}}) AS showtime_id,
-                         row_number() OVER (PARTITION BY l_orderkey
-                                            ORDER BY l_linenumber, l_partkey, l_extendedprice) AS place
-                  FROM {{lineitem}})
+                         l_orderkey % (SELECT count(*) FROM {{part}}) AS showtime_id
+                  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+                                       ORDER BY l_linenumber, l_partkey, l_extendedprice) AS place
+                        FROM {{lineitem}}))
             """,
             lineitem=self.lineitem,
             part=self.part,
