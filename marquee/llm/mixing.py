@@ -150,6 +150,12 @@ def _positions(begin: Column, tilt: Column) -> Column:
     return F.transform(F.slice(all_rounds, 1, copies.cast("int")), start)
 
 
+def in_time(rows: DataFrame, start: str) -> DataFrame:
+    """Rows sorted by the time in column ``start``; those without one, which are not taken, last."""
+    order = F.col(start).asc_nulls_last()
+    return rows.repartitionByRange(order).sortWithinPartitions(order)
+
+
 def training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per copy that is taken whole or by half at least, sorted by position.
 

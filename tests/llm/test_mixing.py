@@ -99,3 +99,14 @@ def test_odd_rows(odd_documents, no_documents):
     assert len(rows) == odd_documents.count()
     check(rows, odd_documents)
     assert mixing.mix(no_documents, 7).collect() == []
+
+
+def test_query_sorts_by_time(spark, tmp_path):
+    """Rows come as training first meets them, documents that are not taken last."""
+    docs = [(i, "word " * (i % 7) + "end", "abc"[i % 3], None) for i in range(60)] + [(99, None, "a", None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    docs.withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = [r.first_position for r in QUERIES["op8_mixing"](spark, str(tmp_path)).collect()]
+    taken = [p for p in found if p is not None]
+    assert len(found) == 61 and taken == sorted(taken) and found[: len(taken)] == taken
+    assert len(set(taken)) > 30 and found[-1] is None
