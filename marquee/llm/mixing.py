@@ -150,10 +150,11 @@ def _positions(begin: Column, tilt: Column) -> Column:
     return F.transform(F.slice(all_rounds, 1, copies.cast("int")), start)
 
 
-def in_time(rows: DataFrame, start: str) -> DataFrame:
-    """Rows sorted by the time in column ``start``; those without one, which are not taken, last."""
-    order = F.col(start).asc_nulls_last()
-    return rows.repartitionByRange(order).sortWithinPartitions(order)
+def in_time(rows: DataFrame, start: str, key: str = "doc_id") -> DataFrame:
+    """Rows sorted by the time in column ``start``, then by ``key``, which also spreads rows of one
+    time over tasks; rows without a time, which are not taken, come last."""
+    order = [F.col(start).asc_nulls_last(), F.col(key)]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
