@@ -86,16 +86,19 @@ def month_number(column: str = "payment_date") -> Column:
     return F.year(column) * 12 + F.month(column)
 
 
-def described(booked: DataFrame, m: Model, pg_padded: bool = False) -> DataFrame:
+def described(booked: DataFrame, m: Model, pg_padded: bool = False, by_month: bool = False) -> DataFrame:
     """Fact rows of booked seats, with the attributes of their showtime and customer.
 
     The descriptive columns join last, so only narrow rows are shuffled. Showtime decides movie
-    and auditorium, customer id decides e-mail and name: grouping by the ids is enough.
+    and auditorium, customer id decides e-mail and name: grouping by the ids is enough. With
+    ``by_month`` rows are spread by month, before the calendar's columns are added.
     """
     counted = booked.select(*GRAIN, F.col("n").cast("int").alias("seats_booked"))
     # ids of a month do not depend on other months, so months can be rebuilt one by one
     keyed = with_surrogate_key(counted, GRAIN, within=month_number())
     rows = keyed.join(showings(m), "showtime_id").join(_people(m), "customer_id")
+    if by_month:
+        rows = rows.withColumn("_month", month_number()).hint("rebalance", F.col("_month"))
     return rows.select(
         "id",
         F.col("payment_date").alias("booking_timestamp"),

@@ -45,11 +45,11 @@ def _move_into_place(spark: SparkSession, staged: str, path: str) -> None:
         fs.delete(retired, True)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str], spread: bool = False) -> None:
     """Replace only the partitions present in ``df``; running it twice changes nothing. Rows are
-    spread by partition first, so that each is a few well-sized files."""
+    ``spread`` by partition or will be, so that each is a few well-sized files."""
     (
-        df.hint("rebalance", *[F.col(c) for c in partition_by])
+        (df if spread else df.hint("rebalance", *[F.col(c) for c in partition_by]))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)

@@ -13,7 +13,9 @@ first time; what only older manifests name is deleted.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+import math
+from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +38,9 @@ class RunStore:
     """A store at ``path`` of rows of ``schema``, dealt to buckets by the column ``bucket``.
 
     ``fold`` joins the rows of several runs (latest versions, sums, distinct rows); folding some
-    runs first and the rest later must give the same.
+    runs first and the rest later must give the same. Where the columns ``keys`` that it groups by
+    are given, it takes more columns to group by, every run holds a key once, and what lies in one
+    run alone is read as it is. ``dealt`` is the number of buckets then.
     """
 
     def __init__(
@@ -47,9 +51,12 @@ class RunStore:
         bucket: Column,
         fold: Callable[[DataFrame], DataFrame],
         fan: int = FAN,
+        keys: Sequence[str] = (),
+        dealt: int = BUCKETS,
     ):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.bucket, self.fold, self.fan = bucket, fold, fan
+        self.keys, self.dealt = keys, dealt
 
     # -- manifests --------------------------------------------------------------------------
 
@@ -65,6 +72,10 @@ class RunStore:
         earlier = [b for b in self._manifests() if b < before]
         return json.loads(files.read_text(self.spark, self._manifest(earlier[-1]))) if earlier else []
 
+    def kept(self, before: int) -> bool:
+        """Whether batches before have added anything, be it nothing."""
+        return any(b < before for b in self._manifests())
+
     def folders(self, before: int, buckets: Iterable[int] | None = None) -> list[str]:
         """Folders that hold the given buckets, or all."""
         wanted = None if buckets is None else set(buckets)
@@ -87,30 +98,69 @@ class RunStore:
 
     def read(self, before: int, buckets: Iterable[int] | None = None) -> DataFrame:
         """Folded rows of some buckets, or of all, as they are before a batch."""
-        return self.fold(self._read(self.folders(before, buckets)))
-
-    def find(self, before: int, keys: DataFrame) -> DataFrame:
-        """Folded rows whose columns agree with a row of ``keys``. Only the buckets of the keys are
-        read; their numbers are all that comes to the driver. A store of FEW folders is not worth
-        the question."""
+        folders = self.folders(before, buckets)
+        return self._read(folders) if self._folded(folders) else self.fold(self._read(folders))
+
+    def alone(self, before: int, buckets: Iterable[int] | None = None) -> bool:
+        """Whether buckets can be read as they lie."""
+        return self._folded(self.folders(before, buckets))
+
+    def _folded(self, folders: list[str]) -> bool:
+        """Whether no key can lie in two of the folders."""
+        times = Counter(folder.rsplit("/", 1)[1] for folder in folders)
+        return bool(self.keys) and all(n == 1 for n in times.values())
+
+    def find(self, before: int, keys: DataFrame, others: bool = False) -> DataFrame:
+        """Folded rows whose columns agree with a row of ``keys``, and perhaps ``others``. Only the
+        buckets of the keys are read; their numbers are all that comes to the driver. A store of
+        FEW folders is not worth the question."""
         folders = self.folders(before)
         if len(folders) > FEW:
             wanted = [r[0] for r in keys.select(self.bucket.alias("bucket")).distinct().collect()]
             folders = self.folders(before, wanted)
         if not folders:
             return self._read(folders)
-        found = self._read(folders)
-        return self.fold(found.join(keys.distinct(), keys.columns, "left_semi"))
+        found, folded = self._read(folders), self._folded(folders)
+        if folded and others:
+            return found
+        found = found.join(keys.distinct(), keys.columns, "left_semi")
+        return found if folded else self.fold(found)
+
+    def put(self, rows: DataFrame, batch_id: int, folded: bool = False) -> dict[str, Any]:
+        """Write the rows of a batch as a run that counts once it is added.
 
-    def add(self, rows: DataFrame, batch_id: int, drop: Iterable[int] = ()) -> None:
-        """Add the rows of a batch, without the buckets ``drop`` of earlier ones.
+        Unless they are ``folded``, rows are dealt to tasks by bucket and key, once: there they are
+        folded and written, and a task has few buckets.
+        """
+        name = f"{batch_id:012d}-0"
+        if folded:
+            run = self._write(rows, name, 0)
+        else:
+            tasks = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+            tasks = self.spark.conf.get(tasks, None) or self.spark.conf.get("spark.sql.shuffle.partitions")
+            parts = math.ceil(4 * int(tasks) / self.dealt)
+            part = F.pmod(F.hash(*self.keys), F.lit(parts))
+            rows = rows.select(*self.schema.names, self.bucket.alias("bucket"), part.alias("_part"))
+            rows = self.fold(rows.repartition("bucket", "_part"), "bucket", "_part")
+            run = self._written(rows.select(*self.schema.names, "bucket"), name, 0)
+        if not run["buckets"]:
+            files.remove(self.spark, f"{self.path}/runs/{name}")
+        return run
+
+    def rows(self, run: dict[str, Any]) -> DataFrame:
+        """The rows of a run."""
+        return self._read([f"{self.path}/runs/{run['folder']}/bucket={bucket}" for bucket in run["buckets"]])
+
+    def add(self, rows: DataFrame | dict[str, Any], batch_id: int, drop: Iterable[int] = ()) -> None:
+        """Add the rows of a batch, or the run they were put in, without the buckets ``drop`` of
+        earlier ones.
 
         Adding again under the same batch replaces what was added.
         """
         gone = set(drop)
         runs = [{**run, "buckets": [b for b in run["buckets"] if b not in gone]} for run in self.runs(batch_id)]
         runs = [run for run in runs if run["buckets"]]
-        fresh = self._write(rows, f"{batch_id:012d}-0", 0)
+        fresh = rows if isinstance(rows, dict) else self._write(rows, f"{batch_id:012d}-0", 0)
         if fresh["buckets"]:
             runs.append(fresh)
         level = 0
@@ -124,9 +174,12 @@ class RunStore:
         self._clean(batch_id)
 
     def _write(self, rows: DataFrame, folder: str, level: int) -> dict[str, Any]:
-        path = f"{self.path}/runs/{folder}"
         dealt = rows.select(*self.schema.names).withColumn("bucket", self.bucket)
-        dealt.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return self._written(dealt.hint("rebalance", F.col("bucket")), folder, level)
+
+    def _written(self, dealt: DataFrame, folder: str, level: int) -> dict[str, Any]:
+        path = f"{self.path}/runs/{folder}"
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
         names = [n for n in files.children(self.spark, path) if n.startswith("bucket=")]
         return {"folder": folder, "level": level, "buckets": sorted(int(n.removeprefix("bucket=")) for n in names)}
 
@@ -147,6 +200,15 @@ class RunStore:
                 files.remove(self.spark, f"{self.path}/runs/{folder}")
 
 
-def distinct(rows: DataFrame) -> DataFrame:
+def distinct(rows: DataFrame, *dealt: str) -> DataFrame:
     """Fold for rows that are only there or not."""
     return rows.distinct()
+
+
+def summed(*keys: str) -> Callable[..., DataFrame]:
+    """Fold that adds up the differences ``n`` of a key; a key without any left goes."""
+
+    def fold(rows: DataFrame, *dealt: str) -> DataFrame:
+        return rows.groupBy(*dealt, *keys).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+    return fold

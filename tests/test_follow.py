@@ -7,6 +7,7 @@ from datetime import timedelta
 
 from cinema import BASE, NOON, at, hold, money
 from frames import rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.plans.fact import FACT_COLUMNS, fact_bookings
@@ -172,3 +173,47 @@ def test_untouched_payments_are_not_read(spark, tmp_path):
     assert len(found.inputFiles()) == 1 < len(store.folders(1))
     feed.apply(("payments", (7, 1, money(1000), at("2025-12-01 10:00:00"), "CASH"), "UPDATE", 1))
     feed.check()
+
+
+def test_a_batch_is_derived_once(spark, tmp_path):
+    """Each table of a batch is evaluated once and stored once, under the keys that later batches ask for."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(_):
+        seen.add(1)
+        return True
+
+    def part(name, table):
+        schema = T.StructType([*OPERATIONAL[name].fields, *CHANGE.fields])
+        df = spark.createDataFrame([(*row, None, None) for row in table], schema).coalesce(1)
+        return df.filter(counted("id")).withColumn("table", F.lit(name))
+
+    tables = bookings()
+    batch = part("tickets", tables["tickets"]).unionByName(part("payments", tables["payments"]), allowMissingColumns=True)
+    follower = FactFollower(spark, f"{tmp_path}/state", f"{tmp_path}/fact", BUCKETS)
+    follower.apply(batch, 0)
+    assert seen.value == len(tables["tickets"]) + len(tables["payments"])
+    assert not follower.links.store.folders(1)  # tickets are found by reservation, seats by payment
+    assert rows(follower.reserved.read(1)) == [(n, p, 1) for n, p in ((1, 0), (2, 1), (3, 2), (4, 2))]
+
+
+def test_late_holds_moved_tickets_and_old_versions(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    tables = bookings()
+    holds = tables.pop("reservation_holds")
+    feed.apply(*first_copy(**MASTERS, **tables, reservation_holds=holds[:2]))
+    feed.apply(
+        *first_copy(reservation_holds=holds[2:]),
+        ("tickets", (1, 3, 1, money(1)), "UPDATE", 5),  # to a hold of this batch and another payment
+        ("payments", (1, 2, money(7), at("2025-12-09 10:00:00"), "CASH"), "UPDATE", 5),
+        ("reservation_holds", hold(2, 10, 102), "UPDATE", 5),
+    )
+    feed.check()
+    feed.apply(
+        ("tickets", (1, 1, 0, money(1)), "UPDATE", 4),  # older than what is known
+        ("reservation_holds", hold(2, 11, 102), "DELETE", 4),
+        ("payments", (2, 1, None, None, "CASH"), "UPDATE", 6),  # no longer dated
+    )
+    # tickets 1 and 2, both with payment 1 and showtime 10
+    assert [r[FACT_COLUMNS.index("seats_booked")] for r in feed.check()] == [2]
