@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import shift
-from ..session import ensure_checkpoint_dir
-from ..sinks.keys import with_surrogate_key
+from ..session import stored
+from ..sinks.keys import KEY_BUCKETS, with_surrogate_key
 from ..sources.snapshots import Model
 from .customers import upsert_customers
 from .seating import active_holds
@@ -40,43 +40,57 @@ UNKNOWN_SHOWTIME, UNKNOWN_SEAT, SEAT_TAKEN = "UNKNOWN_SHOWTIME", "UNKNOWN_SEAT",
 def _checked(
     requests: DataFrame, showtimes: DataFrame | None, seats: DataFrame | None, paid: bool
 ) -> DataFrame:
-    """Requests in slim form, with the reason why one cannot be booked whoever else wants what.
+    """Requests in slim form, stored, with the reason why one cannot be booked whoever else wants
+    what.
 
     A null showtime or seat refers to nothing and is no error; unknown ones are. Neither known
-    showtimes nor known seats are sent whole through the driver.
+    showtimes nor known seats are sent whole through the driver. What is unknown is found among the
+    distinct showtimes and seats that are named and stored, so requests are shuffled for it only
+    where there is much of it.
     """
     ids = F.transform("seats", lambda s: s["id"])
     reason = F.when(F.col("seats").isNull(), NO_SEATS)
     if paid:
         reason = reason.when(F.col("customer_email").isNull(), NO_EMAIL)
         reason = reason.when(F.col("payment_amount").isNull(), NO_AMOUNT)
-    slim = requests.select(
-        "request_id",
-        "requested_at",
-        "showtime_id",
-        ids.alias("seat_ids"),
-        reason.alias("reason"),
+    slim = checked = stored(
+        requests.select(
+            "request_id",
+            "requested_at",
+            "showtime_id",
+            ids.alias("seat_ids"),
+            reason.alias("reason"),
+        )
     )
     names_seat = F.size(F.coalesce("seat_ids", F.array().cast("array<bigint>"))) > 0
     if showtimes is not None:
-        known = showtimes.select(F.col("id").alias("showtime_id"), F.lit(True).alias("shown")).distinct()
-        unknown = F.col("shown").isNull() & F.col("showtime_id").isNotNull() & names_seat
-        slim = (
-            slim.join(known.hint("merge"), "showtime_id", "left")
-            .withColumn("reason", F.coalesce("reason", F.when(unknown, UNKNOWN_SHOWTIME)))
-            .drop("shown")
-        )
+        unknown = _unknown(slim.filter(names_seat).select("showtime_id"), showtimes)
+        if not unknown.isEmpty():
+            odd = F.col("odd").isNotNull() & names_seat
+            checked = (
+                checked.join(unknown.withColumn("odd", F.lit(True)), "showtime_id", "left")
+                .withColumn("reason", F.coalesce("reason", F.when(odd, UNKNOWN_SHOWTIME)))
+                .drop("odd")
+            )
     if seats is not None:
-        named = slim.select("request_id", F.explode("seat_ids").alias("seat_id")).dropna()
-        known = seats.select(F.col("id").alias("seat_id")).hint("merge")
-        odd = named.join(known, "seat_id", "left_anti")
-        odd = odd.select("request_id", F.lit(True).alias("odd")).distinct()
-        slim = (
-            slim.join(odd, "request_id", "left")
-            .withColumn("reason", F.coalesce("reason", F.when(F.col("odd"), UNKNOWN_SEAT)))
-            .drop("odd")
-        )
-    return slim
+        named = slim.select("request_id", F.explode("seat_ids").alias("seat_id"))
+        unknown = _unknown(named.select("seat_id"), seats)
+        if not unknown.isEmpty():
+            odd = named.join(unknown, "seat_id", "left_semi")
+            odd = stored(odd.select("request_id", F.lit(True).alias("odd")).distinct())
+            checked = (
+                checked.join(odd, "request_id", "left")
+                .withColumn("reason", F.coalesce("reason", F.when(F.col("odd"), UNKNOWN_SEAT)))
+                .drop("odd")
+            )
+    return slim if checked is slim else stored(checked)
+
+
+def _unknown(named: DataFrame, table: DataFrame) -> DataFrame:
+    """The ids named that a table does not have, stored."""
+    name = named.columns[0]
+    known = table.select(F.col("id").alias(name)).hint("merge")
+    return stored(named.dropna().distinct().join(known, name, "left_anti"))
 
 
 def _round(undecided: DataFrame) -> DataFrame:
@@ -105,13 +119,12 @@ def _round(undecided: DataFrame) -> DataFrame:
     )
     won = F.array_contains("winners", F.col("request_id"))
     lost = ~won & F.arrays_overlap("seat_ids", "gone")
-    return (
+    return stored(
         undecided.drop("won")
         .join(winners, "showtime_id", "left")
         .withColumn("won", F.coalesce(won, F.lit(False)))
         .filter(~F.coalesce(lost, F.lit(False)))
         .drop("winners", "gone")
-        .checkpoint()
     )
 
 
@@ -137,8 +150,7 @@ def admit_bookings(
     as an auditorium has seats, and usually a handful. Last, every request is judged against the
     seats given away in its showtime; AQE may split a showtime with very many requests there.
     """
-    ensure_checkpoint_dir(requests.sparkSession)
-    slim = _checked(requests, showtimes, seats, paid).checkpoint()
+    slim = _checked(requests, showtimes, seats, paid)
     # null never equals null, so without showtime or seats there is nothing to compete for
     real = F.filter("seat_ids", lambda s: s.isNotNull())
     competes = F.coalesce(
@@ -210,21 +222,26 @@ def _after(existing: DataFrame):
 def booking_outputs(requests: DataFrame, decisions: DataFrame, m: Model) -> dict[str, DataFrame]:
     """Rows that accepted requests add: customers, payments, confirmed holds and tickets.
 
-    New ids continue after those in use. ``request_id`` is kept for tracing. Each of the tables
-    reads ``decisions``, so pass stored or checkpointed ones.
+    New ids continue after those in use. ``request_id`` is kept for tracing. Accepted requests are
+    stored, and once more with their ids, so that all tables agree; holds and tickets unfold from
+    there, and no row of theirs is shuffled to get an id. ``requests`` and ``decisions`` are read once.
     """
-    won = requests.join(decisions.filter("accepted").select("request_id"), "request_id", "left_semi")
+    won = stored(requests.join(decisions.filter("accepted").select("request_id"), "request_id", "left_semi"))
     people = upsert_customers(m["customers"], won)
     # where a feed holds an e-mail twice, the oldest customer books
     by_email = people.groupBy(F.col("email").alias("customer_email")).agg(F.min("id").alias("customer_id"))
-    booked = with_surrogate_key(
-        won, ["request_id"], "payment_id", _after(m["payments"])
-    ).join(by_email, "customer_email")
-    seats = with_surrogate_key(
-        booked.select("*", F.posexplode("seats").alias("position", "seat")),
-        ["request_id", "position"],
-        "line",
-        0,
+    seats = ("line", F.size(F.coalesce("seats", F.array())))
+    booked = stored(
+        with_surrogate_key(
+            won.join(by_email, "customer_email").drop("customer_email", "customer_name"),
+            ["request_id"],
+            "payment_id",
+            _after(m["payments"]),
+            items=seats,
+        )
+    )
+    seats = booked.select("*", F.posexplode("seats").alias("position", "seat")).withColumn(
+        "line", F.col("line") + F.col("position") * F.lit(KEY_BUCKETS)
     )
     return {
         "customers": people.filter("is_new").drop("is_new"),

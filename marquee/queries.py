@@ -25,7 +25,7 @@ from .operators import (
     seating,
 )
 from .plans import dimensions, fact, load, partials, reconciliation
-from .session import configure, ensure_checkpoint_dir
+from .session import configure, ensure_checkpoint_dir, stored
 from .sinks.json_rows import to_json_rows
 from .sinks.publish import publish
 from .sinks.tables import append_ignore_duplicates, append_with_defaults
@@ -406,11 +406,10 @@ def booking_outputs(t: TradeTables) -> DataFrame:
     Only customers of the AUTOMOBILE segment are known, the others are made. New ids depend on
     hashes and are left out, but every join on them must find its one row.
     """
-    requests = t.booking_requests()
+    requests = stored(t.booking_requests())
     m = dict(t.booking_model(), **{n: getattr(t, n)() for n in ("payments", "reservation_holds", "tickets")})
     m["customers"] = _automobile(t)
-    ensure_checkpoint_dir(t.spark)
-    decisions = admission.admit_bookings(requests, **_known(t)).checkpoint()
+    decisions = admission.admit_bookings(requests, **_known(t))
     made = admission.booking_outputs(requests, decisions, m)
     holds = made["reservation_holds"].withColumnRenamed("id", "reservation_id")
     tickets = made["tickets"].drop("id", "request_id")
@@ -420,10 +419,11 @@ def booking_outputs(t: TradeTables) -> DataFrame:
         .unionByName(made["customers"].select("id", "email", F.lit(True).alias("is_new")))
         .withColumnRenamed("id", "customer_id")
     )
+    # customers meet payments, which are fewer than their holds and tickets
+    paid = payments.join(people, "customer_id")
     return (
         holds.join(tickets, "reservation_id")
-        .join(payments, ["payment_id", "customer_id"])
-        .join(people, "customer_id")
+        .join(paid, ["payment_id", "customer_id"])
         .drop("reservation_id", "payment_id", "customer_id")
     )
 

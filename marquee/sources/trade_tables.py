@@ -164,7 +164,10 @@ class TradeTables:
     # -- logs ---------------------------------------------------------------------------
 
     def booking_requests(self) -> DataFrame:
-        """One request per order with lines; its body holds one seat per line."""
+        """One request per order with lines; its body holds one seat per line.
+
+        Payments meet their customers first, so that no array of lines is shuffled.
+        """
         return self.spark.sql(
             """
             SELECT request_id, payment_date AS requested_at, showtime_id,
@@ -174,8 +177,8 @@ class TradeTables:
             FROM (SELECT l_orderkey AS request_id, showtime_id,
                          array_sort(collect_list(struct(place, seat_id AS id, price))) AS lines
                   FROM {lines} GROUP BY l_orderkey, showtime_id)
-            JOIN {payments} p ON p.id = request_id
-            JOIN {customers} c ON c.id = customer_id
+            JOIN (SELECT p.*, name, email FROM {payments} p JOIN {customers} c ON c.id = customer_id) paid
+              ON paid.id = request_id
             """,
             lines=self.lines(),
             payments=self.payments(),

@@ -216,3 +216,37 @@ def test_conflict_report(spark):
         (4, "Seat ID 1 is unavailable."),
     ]
     assert rows(admission.conflicts_per_showtime(wanted, decisions)) == [(10, 2)]
+
+
+def test_outputs_read_requests_once_and_number_lines_without_unfolding_them(spark, make_model):
+    """New ids are unique and agree between the tables, also for requests that come twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(_):
+        seen.add(1)
+        return True
+
+    m = make_model(**BASE)
+    wanted = [request(n, [10 * n + i for i in range(n % 4)], email=f"{n % 3}@x.com") for n in range(1, 30)]
+    wanted.append(wanted[2])
+    decided = spark.createDataFrame([(n, True) for n in range(1, 30)], "request_id long, accepted boolean")
+    made = admission.booking_outputs(frame(spark, wanted).filter(counted("customer_name")), decided, m)
+    holds, tickets, payments = (made[n].collect() for n in ("reservation_holds", "tickets", "payments"))
+    assert seen.value == len(wanted)
+    lines = sum(len(w[3]) for w in wanted)
+    assert len({h["id"] for h in holds}) == len({t["id"] for t in tickets}) == len(holds) == len(tickets) == lines
+    assert {t["reservation_id"]: t["request_id"] for t in tickets} == {h["id"]: h["request_id"] for h in holds}
+    assert len({p["id"] for p in payments}) == len(payments) == len(wanted)
+    assert {t["payment_id"] for t in tickets} <= {p["id"] for p in payments}
+    plan = made["tickets"]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_unknown_ids_are_looked_for_among_distinct_ones(spark, make_model):
+    m = make_model(**BASE)
+    odd = [request(n, [101, 9999 if n % 5 == 0 else 102], 99 if n % 7 == 0 else 10, minute=n) for n in range(1, 41)]
+    found = admission._checked(frame(spark, odd), m["showtimes"], m["seats"], True)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = {n: "UNKNOWN_SHOWTIME" if n % 7 == 0 else "UNKNOWN_SEAT" if n % 5 == 0 else None for n in range(1, 41)}
+    assert dict(rows(found, "request_id", "reason")) == expected

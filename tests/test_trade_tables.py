@@ -54,3 +54,18 @@ def test_refreshed_reports_build_the_fact_once(tables, monkeypatch):
     refreshed = queries._refreshed(tables)
     assert len(read) == 2 and not any("lineitem" in name for names in read for name in names)
     assert refreshed.analytics_summary().first()["total_seats_sold"] == 120
+
+
+def test_no_array_of_lines_is_shuffled_for_requests(tables, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        requests = tables.booking_requests()
+        plan = requests._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    (first,) = [i for i, line in enumerate(lines) if "functions=[collect_list" in line]
+    assert not any("Exchange" in line for line in lines[:first])
+    assert sorted((r["request_id"], len(r["seats"]), r["customer_name"]) for r in requests.collect()) == [
+        (n, 3, f"c{n % 3}") for n in range(40)
+    ]
